@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,14 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: White space other than spaces and line feeds.
+_ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 class Bpe:
     """A vocabulary, and a bounded cache of what parts of texts become: two generations of at most `cache` entries."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_char = byte_alphabet()
@@ -182,33 +187,39 @@ class Bpe:
 
     @staticmethod
     def _parts(text: str) -> list[str]:
-        """The text cut at each space. Exact where no other white space is beside one; see _unsafe."""
+        """The text cut where no word goes over the cut: at each space, if no other white space is beside one."""
         if not text:
             return []
+        if "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace() or _ODD.search(text):
+            return _CUT.split(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    @staticmethod
-    def _unsafe(parts: set[str]) -> set[str]:
-        """Parts with white space beside a cut: their texts are to be cut by _CUT."""
-        return {p for p in parts if p[-1:].isspace() or p[1:2].isspace() or not p}
+    def _cut(self, part: str) -> list[str]:
+        """The words of a part; a word alone, or with a stop or comma after it, needs no pattern."""
+        body = part[1:] if part[0] == " " else part
+        if body.isalpha():
+            return [part]
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return self.words.findall(part)
+
+    def _lacking(self, parts: set[str]) -> set[str]:
+        """Those that aren't cached; what only the old generation has moves on to the new one."""
+        lacking = parts.difference(self.new)
+        for p in lacking.intersection(self.old):
+            self.new[p] = self.old[p]
+        return lacking.difference(self.new)
 
     def _learn(self, parts: set[str]) -> None:
-        new, old = self.new, self.old
-        lacking = []
-        for p in parts:
-            if p not in new:
-                if p in old:
-                    new[p] = old[p]
-                else:
-                    lacking.append(p)
-        if not lacking:
-            return
-        cut = [self.words.findall(p) for p in lacking]
-        words = list({w for ws in cut for w in ws})
-        ids = dict(zip(words, self.encode_words([w.encode() for w in words])))
+        lacking = list(self._lacking(parts))
+        cut = [self._cut(p) for p in lacking]
+        words = list(self._lacking({w for ws in cut for w in ws}))
+        new = self.new
+        new.update(zip(words, self.encode_words([w.encode() for w in words])))  # a word is a part, too
         for p, ws in zip(lacking, cut):
-            new[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+            if len(ws) > 1:
+                new[p] = b"".join([new[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as <u4. Works through about a million characters at a time."""
@@ -227,11 +238,7 @@ class Bpe:
                     at = m.end()
             segments.append((k, text[at:]))
         cut = [s if isinstance(s, int) else self._parts(s) for _, s in segments]
-        parts = set().union(*[c for c in cut if isinstance(c, list)])
-        if unsafe := self._unsafe(parts):
-            cut = [_CUT.split(s) if isinstance(c, list) and s and not unsafe.isdisjoint(c) else c for (_, s), c in zip(segments, cut)]
-            parts = set().union(*[c for c in cut if isinstance(c, list)])
-        self._learn(parts)
+        self._learn(set().union(*[c for c in cut if isinstance(c, list)]))
         cached = self.new.__getitem__
         raw: list[list[bytes]] = [[] for _ in texts]
         for (k, _), c in zip(segments, cut):
