@@ -15,20 +15,35 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import tokenizer
+from .bpe import PATTERN
 
 WINDOW = 2048
 END = 1
 
 
+@cache
+def encoder(path: str) -> tiktoken.Encoding:
+    """The vocabulary as ranks, with the end-of-text string as the id after the last; its ids are those of the same vocabulary's JSON file."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+
+
+def encode(path: str, text: str) -> np.ndarray:
+    return encoder(path).encode_to_numpy(text, allowed_special="all")
+
+
 class Index:
     """BM25 postings of a shard."""
 
@@ -119,7 +134,7 @@ def fill(sizes: list[int], neighbours, window: int = WINDOW) -> list[tuple[int,
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1_000_000) -> DataFrame:
-    """Per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
+    """path: a vocabulary as ranks. Per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
     if window < 2:
         raise ValueError("a window has two ids at least")
     plain = common.id_and_text(docs, id_col, text_col)
@@ -127,7 +142,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending")])
-        tokens = [np.append(t, np.uint32(END)).astype("<u4") for t in tokenizer(path).encode(common.texts_of(table["text"]))]
+        tokens = [np.append(encode(path, t), np.uint32(END)).astype("<u4") for t in common.texts_of(table["text"])]
         index = Index(tokens)
         first = table["shard"][0].as_py() << 32
         rows = fill([t.size for t in tokens], index.neighbours, window)
