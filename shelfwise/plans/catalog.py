@@ -2,10 +2,512 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed, scores
+from ..functions import text as t
+from ..operators import evidence, families, fields, keys, pages, state
+from ..sources.views import PRODUCTS_SQL, products, table
+from . import sql
+
+c = F.col
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if oracle:
+            _sql[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+V = f"WITH v AS ({PRODUCTS_SQL})"
+
+# identifiers and keys
+
+
+@query(f"""
+    WITH raw AS (SELECT p_partkey AS key, CASE p_partkey % 5 WHEN 0 THEN p_partkey || '.0' WHEN 1 THEN ' 00' || p_partkey || ' ' WHEN 2 THEN 'N' || p_partkey WHEN 3 THEN 'n/a' ELSE p_partkey || '.50' END AS raw FROM part),
+    x AS (SELECT key, replace(raw, ' ', '') AS p FROM raw)
+    SELECT key, CASE WHEN lower(p) IN ({sql.strings(fixed.SENTINELS)}) THEN NULL ELSE regexp_replace(p, '^([0-9]+)\\.0+$', '\\1') END AS identifier FROM x
+""")
+def q_identifier_normalize(spark, sf):
+    k = c("p_partkey")
+    raw = F.when(k % 5 == 0, F.concat(k, F.lit(".0"))).when(k % 5 == 1, F.concat(F.lit(" 00"), k, F.lit(" "))).when(k % 5 == 2, F.concat(F.lit("N"), k)).when(k % 5 == 3, "n/a").otherwise(F.concat(k, F.lit(".50")))
+    return table(spark, sf, "part").select(k.alias("key"), t.normalize_identifier(raw).alias("identifier"))
+
+
+@query("SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS first_at, count(*) AS n FROM lineitem GROUP BY 1")
+def q_dedup_first_seen(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_partkey", (c("l_orderkey") * 10 + c("l_linenumber")).alias("at"))
+    return keys.first_seen(rows, "l_partkey", "at")
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1
+""")
+def q_last_wins_index(spark, sf):
+    return keys.best(table(spark, sf, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""
+    SELECT count(*) AS n_rows, count(DISTINCT l_partkey) AS n_keys, count(*) - count(DISTINCT l_partkey) AS n_repeats FROM lineitem
+""")
+def q_distinct_counts(spark, sf):
+    n, k = F.count("*"), F.count_distinct("l_partkey")
+    return table(spark, sf, "lineitem").agg(n.alias("n_rows"), k.alias("n_keys"), (n - k).alias("n_repeats"))
+
+
+@query(f"""{V} SELECT key, coalesce(nullif(web_name, ''), nullif(erp_name, '')) AS name,
+    CASE WHEN web_name IS NOT NULL AND erp_name IS NOT NULL THEN 'both' WHEN web_name IS NOT NULL THEN 'website' WHEN erp_name IS NOT NULL THEN 'erp' END AS origin FROM v""")
+def q_two_source_coalesce(spark, sf):
+    w, e = c("web_name").isNotNull(), c("erp_name").isNotNull()
+    return products(spark, sf).select("key", t.first_filled(c("web_name"), c("erp_name")).alias("name"), F.when(w & e, "both").when(w, "website").when(e, "erp").alias("origin"))
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def q_erp_left_lookup(spark, sf):
+    index = table(spark, sf, "customer").select(c("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return keys.lookup(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), index, "o_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def q_semi_has(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders"), c("c_custkey") == c("o_custkey"), "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def q_not_found_anti(spark, sf):
+    done = table(spark, sf, "orders").filter("o_orderstatus = 'F'")
+    return table(spark, sf, "customer").join(done, c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("""
+    WITH r AS (SELECT p_partkey, p_retailprice FROM part WHERE p_partkey % 3 <> 0)
+    SELECT l_orderkey, l_linenumber, l_partkey, p_retailprice FROM lineitem JOIN r ON l_partkey = p_partkey
+""")
+def q_reexpand_duplicates(spark, sf):
+    done = table(spark, sf, "part").filter("p_partkey % 3 <> 0").select(c("p_partkey").alias("l_partkey"), "p_retailprice")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(done, "l_partkey")
+
+
+@query("SELECT l_partkey, l_suppkey, l_orderkey, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_discount DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def q_argmax_confidence(spark, sf):
+    return keys.best(table(spark, sf, "lineitem"), ["l_partkey", "l_suppkey"], F.desc("l_discount"), c("l_orderkey"), c("l_linenumber")).select("l_partkey", "l_suppkey", "l_orderkey", "l_discount")
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, r AS rank FROM (SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey, l_linenumber))::INTEGER AS r FROM lineitem) WHERE r <= 5")
+def q_top5_per_key(spark, sf):
+    return keys.best(table(spark, sf, "lineitem"), ["l_suppkey"], F.desc("l_discount"), c("l_orderkey"), c("l_linenumber"), k=5).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 200 OFFSET 100")
+def q_batch_range(spark, sf):
+    return keys.in_range(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 101, 300)
+
+
+@query("SELECT o_orderkey, md5(o_orderkey || '-7') AS draw FROM orders ORDER BY draw, o_orderkey LIMIT 100")
+def q_batch_random(spark, sf):
+    return keys.sampled(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 7, 100)
+
+
+@query("""
+    WITH w AS (SELECT DISTINCT l_partkey * 3 AS p_partkey FROM lineitem)
+    SELECT w.p_partkey, p.p_partkey IS NOT NULL AS known FROM w LEFT JOIN part p ON w.p_partkey = p.p_partkey
+""")
+def q_batch_specific(spark, sf):
+    wanted = table(spark, sf, "lineitem").select((c("l_partkey") * 3).alias("p_partkey")).distinct()
+    return keys.specific(table(spark, sf, "part"), "p_partkey", wanted)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') ORDER BY p_partkey LIMIT 20 OFFSET 10")
+def q_paged_search(spark, sf):
+    hit = F.contains(F.lower("p_name"), F.lit("red")) | F.contains(F.lower("p_brand"), F.lit("red"))
+    return keys.page(table(spark, sf, "part").filter(hit).select("p_partkey", "p_name"), 10, 20, c("p_partkey"))
+
+
+# fields and areas
+
+_STATUS_COLUMNS = ", ".join(f"{k}_status" for k in fixed.FIELD_WEIGHTS)
+
+
+def _statuses(spark, sf):
+    return fields.with_statuses(products(spark, sf))
+
+
+@query(f"{V} SELECT key, {', '.join(f'{sql.STATUS[k]} AS {k}_status' for k in fixed.FIELD_WEIGHTS)} FROM v")
+def q_field_statuses(spark, sf):
+    return _statuses(spark, sf).select("key", *[f"{k}_status" for k in fixed.FIELD_WEIGHTS])
+
+
+@query(f"{V}, s AS ({sql.STATUSES}) SELECT key, {sql.TOTAL} AS total_score, {sql.OVERALL} AS overall_status FROM s")
+def q_total_score_overall_status(spark, sf):
+    return _statuses(spark, sf).select("key", fields.total_score().alias("total_score"), fields.overall_status().alias("overall_status"))
+
+
+@query(f"{V}, a AS ({sql.AREAS}) SELECT key, {', '.join(f'{k}_score' for k in fixed.AREA_WEIGHTS)}, {sql.AREA_MEAN} AS overall FROM a")
+def q_area_scores(spark, sf):
+    return fields.scored_areas(products(spark, sf)).select("key", *[f"{k}_score" for k in fixed.AREA_WEIGHTS], "overall")
+
+
+@query(f"{V}, a AS ({sql.AREAS}), o AS (SELECT *, {sql.AREA_MEAN} AS overall FROM a) SELECT key, {sql.PRIORITY} AS priority FROM o")
+def q_priority(spark, sf):
+    return fields.scored_areas(products(spark, sf)).select("key", "priority")
+
+
+@query(f"""{V}, a AS ({sql.AREAS}), o AS (SELECT *, {sql.AREA_MEAN} AS overall FROM a) SELECT {sql.PRIORITY} AS priority, count(*) AS n FROM o GROUP BY 1""")
+def q_priority_distribution(spark, sf):
+    return fields.scored_areas(products(spark, sf)).groupBy("priority").agg(F.count("*").alias("n"))
+
+
+@query(f"""{V}, a AS ({sql.AREAS}), l AS ({' UNION ALL '.join(f"SELECT key, {i} AS place, '{k}' AS area, {k}_score AS score FROM a" for i, k in enumerate(fixed.AREA_WEIGHTS))}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, place) AS r FROM l WHERE score < 75)
+    SELECT a.key, coalesce(string_agg(area, ', ' ORDER BY r), '') AS why_low FROM a LEFT JOIN r ON a.key = r.key AND r.r <= 2 GROUP BY a.key""")
+def q_why_low(spark, sf):
+    return fields.scored_areas(products(spark, sf)).select("key", "why_low")
+
+
+@query(f"""{V}, a AS ({sql.AREAS}) SELECT area, avg(score) AS avg_score, count_if(score = 0) AS n_missing FROM
+    ({' UNION ALL '.join(f"SELECT '{k}' AS area, {k}_score AS score FROM a" for k in fixed.AREA_WEIGHTS)}) GROUP BY area""")
+def q_area_averages(spark, sf):
+    scored = fields.scored_areas(products(spark, sf))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("area"), c(f"{k}_score").alias("score")) for k in fixed.AREA_WEIGHTS])).alias("x")
+    return scored.select(each).groupBy("x.area").agg(F.avg("x.score").alias("avg_score"), F.count_if(c("x.score") == 0).alias("n_missing"))
+
+
+@query(f"{V}, a AS ({sql.AREAS}) SELECT key, (name_score * 8 + images_score * 6)::DOUBLE / 14 AS overall FROM a")
+def q_focus_presets(spark, sf):
+    return fields.scored_areas(products(spark, sf), ["name", "images", "no such area"]).select("key", "overall")
+
+
+@query(f"""{V}, s AS ({sql.STATUSES}), x AS ({' UNION ALL '.join(f"SELECT '{k}' AS field, {k}_status AS status FROM s" for k in fixed.FIELD_WEIGHTS)})
+    SELECT field, count_if(status = 'STRONG') AS "STRONG", count_if(status = 'OK') AS "OK", count_if(status = 'MISSING') AS "MISSING", count_if(status = 'SHOULD_IMPROVE') AS "SHOULD_IMPROVE" FROM x GROUP BY field""")
+def q_status_by_field(spark, sf):
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), c(f"{k}_status").alias("status")) for k in fixed.FIELD_WEIGHTS])).alias("x")
+    wide = _statuses(spark, sf).select(each).groupBy(c("x.field").alias("field")).pivot("x.status", ["STRONG", "OK", "MISSING", "SHOULD_IMPROVE"]).agg(F.count(F.lit(1)))
+    return wide.na.fill(0)
+
+
+@query(f"""{V}, s AS ({sql.STATUSES}), o AS (SELECT *, {sql.TOTAL} AS total FROM s)
+    SELECT count(*) AS n, count(web_name) AS n_found, count(erp_name) AS n_erp, avg(total) AS avg_total, count_if(total < 40) AS n_critical, count(brand) AS n_brand, count(packaging) AS n_packaging FROM o""")
+def q_summary_kpis(spark, sf):
+    s = _statuses(spark, sf).withColumn("total", fields.total_score())
+    return s.agg(
+        F.count("*").alias("n"), F.count("web_name").alias("n_found"), F.count("erp_name").alias("n_erp"), F.avg("total").alias("avg_total"), F.count_if(c("total") < 40).alias("n_critical"),
+        F.count("brand").alias("n_brand"), F.count("packaging").alias("n_packaging"),
+    )
+
+
+_VERIFIED = "CASE key % 7 WHEN 0 THEN 'EXACT_MATCH' WHEN 1 THEN 'NORMALIZED_MATCH' WHEN 2 THEN 'SKU_IN_PAGE' WHEN 3 THEN 'MISMATCH' ELSE 'UNVERIFIED' END"
+
+
+@query(f"""{V}, x AS (SELECT key, web_name IS NOT NULL AS found, {_VERIFIED} AS verification FROM v)
+    SELECT key, CASE WHEN NOT found THEN 'not found' WHEN verification NOT IN ('EXACT_MATCH', 'NORMALIZED_MATCH', 'SKU_IN_PAGE') THEN 'not verified: ' || verification END AS excluded FROM x""")
+def q_hard_filter_excluded(spark, sf):
+    x = products(spark, sf).select("key", c("web_name").isNotNull().alias("found"), F.expr(_VERIFIED).alias("verification"))
+    sure = c("verification").isin("EXACT_MATCH", "NORMALIZED_MATCH", "SKU_IN_PAGE")
+    return x.select("key", F.when(~c("found"), "not found").when(~sure, F.concat(F.lit("not verified: "), c("verification"))).alias("excluded"))
+
+
+@query(f"{V} SELECT coalesce(brand, 'Ukjent produsent') AS manufacturer, count(*) AS n FROM v WHERE specification IS NULL OR brand IS NULL GROUP BY 1")
+def q_manufacturer_followup(spark, sf):
+    lacking = products(spark, sf).filter("specification is null or brand is null")
+    return lacking.groupBy(F.coalesce("brand", F.lit("Ukjent produsent")).alias("manufacturer")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{V} SELECT key, CASE WHEN erp_name IS NULL THEN FALSE WHEN web_name IS NULL THEN TRUE WHEN lower(trim(web_name)) = lower(trim(erp_name)) THEN FALSE ELSE NOT (length(web_name) > 10 AND length(erp_name) > 10
+    AND (contains(lower(web_name), lower(erp_name)) OR contains(lower(erp_name), lower(web_name))) AND abs(length(web_name) - length(erp_name)) < 0.2 * least(length(web_name), length(erp_name))) END AS material FROM v""")
+def q_material_change(spark, sf):
+    return products(spark, sf).select("key", t.material_change(c("web_name"), c("erp_name")).alias("material"))
+
+
+@query(f"""{V} SELECT key, 'name' AS field, erp_name AS suggested FROM v WHERE key % 2 = 0 AND erp_name IS NOT NULL AND lower(trim(erp_name)) <> coalesce(lower(trim(web_name)), '')
+    UNION ALL SELECT key, 'name', 'checked ' || p_name FROM v WHERE web_name IS NULL AND NOT (key % 2 = 0 AND erp_name IS NOT NULL AND lower(trim(erp_name)) <> coalesce(lower(trim(web_name)), ''))""")
+def q_improvement_rows(spark, sf):
+    v = products(spark, sf)
+    rich = v.filter("key % 2 = 0 and erp_name is not null").filter(F.lower(F.trim("erp_name")) != F.coalesce(F.lower(F.trim("web_name")), F.lit(""))).select("key", F.lit("name").alias("field"), c("erp_name").alias("suggested"))
+    plain = v.filter("web_name is null").select("key", F.lit("name").alias("field"), F.concat(F.lit("checked "), c("p_name")).alias("suggested"))
+    return rich.unionByName(plain.join(rich, ["key", "field"], "left_anti"))
+
+
+@query(f"""{V}, r AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id) SELECT key, web_name AS current_name, erp_name AS suggested_name,
+    CASE WHEN q = 1 THEN 'Godkjent' WHEN q = 0 THEN 'Avslått' ELSE 'Ikke godkjent' END AS approval FROM v LEFT JOIN r ON key = doc_id WHERE erp_name IS NOT NULL AND (web_name IS NULL OR lower(web_name) <> lower(erp_name))""")
+def q_pim_staging(spark, sf):
+    reviews = table(spark, sf, "labels").groupBy(c("doc_id").alias("key")).agg(F.min("quality").alias("q"))
+    v = products(spark, sf).filter("erp_name is not null and (web_name is null or lower(web_name) <> lower(erp_name))")
+    approval = F.when(c("q") == 1, "Godkjent").when(c("q") == 0, "Avslått").otherwise("Ikke godkjent")
+    return v.join(reviews, "key", "left").select("key", c("web_name").alias("current_name"), c("erp_name").alias("suggested_name"), approval.alias("approval"))
+
+
+@query(f"""{V} SELECT key, (web_name IS NOT NULL)::INTEGER + (description IS NOT NULL)::INTEGER + (specification IS NOT NULL)::INTEGER + (brand IS NOT NULL)::INTEGER + (category IS NOT NULL)::INTEGER
+    + (packaging IS NOT NULL)::INTEGER AS n_filled FROM v""")
+def q_batch_evaluate(spark, sf):
+    filled = [t.filled(c(x)).isNotNull().cast("int") for x in ("web_name", "description", "specification", "brand", "category", "packaging")]
+    return products(spark, sf).select("key", sum(filled[1:], filled[0]).alias("n_filled"))
+
+
+# text
+
+
+@query(f"SELECT doc_id, n AS line, {sql.JUNK} AS reason FROM ({sql.LINES}) WHERE {sql.JUNK} IS NOT NULL")
+def q_junk_lines(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "x"))
+    return lines.select("doc_id", c("n").cast("long").alias("line"), t.junk_reason(c("x")).alias("reason")).filter("reason is not null")
+
+
+@query(f"""WITH l AS ({sql.LINES}), k AS (SELECT doc_id, n, x, lower(trim(regexp_replace(x, ' +', ' ', 'g'))) AS y FROM l WHERE {sql.JUNK} IS NULL),
+    f AS (SELECT doc_id, y, min(n) AS n FROM k GROUP BY 1, 2) SELECT doc_id, count(*) AS n_lines, sum(length(y))::BIGINT AS n_chars FROM f GROUP BY doc_id""")
+def q_clean_lines(spark, sf):
+    """Junk lines out, then the first of each document's equal lines."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "x")).filter(t.junk_reason(c("x")).isNull())
+    first = lines.groupBy("doc_id", F.lower(F.trim(F.regexp_replace("x", " +", " "))).alias("y")).agg(F.min("n").alias("n"))
+    return first.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("y")).alias("n_chars"))
+
+
+@query(f"SELECT doc_id, {sql.GATE} AS reason FROM (SELECT doc_id, trim(coalesce(text, '')) AS t, string_split(trim(coalesce(text, '')), chr(10)) AS ls FROM documents)")
+def q_description_gate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.description_gate(c("text")).alias("reason"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, {sql.words('text')} AS w FROM documents), h AS (SELECT *, len(list_filter(w, lambda x: x IN ({sql.strings(fixed.ENGLISH)}))) AS n FROM d)
+    SELECT doc_id, length(text) >= 20 AND n >= 3 AND n > len(w) * 0.15 AS english FROM h""")
+def q_looks_english(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.looks_english(c("text")).alias("english"))
+
+
+@query(f"SELECT p_partkey, {sql.measurable('s')} AS measurable, {sql.hits('s')} AS n_keywords FROM (SELECT p_partkey, 'size ' || p_size || ' ' || p_type AS s FROM part)")
+def q_measurable_content(spark, sf):
+    s = F.concat(F.lit("size "), c("p_size"), F.lit(" "), c("p_type"))
+    return table(spark, sf, "part").select("p_partkey", t.has_measurable_content(s).alias("measurable"), t.keyword_hits(s).cast("long").alias("n_keywords"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_distinct({sql.words('text')}) AS w, {sql.words('text')}[1] AS f FROM documents), b AS (SELECT item_id, list_distinct({sql.words('text')}) AS v, {sql.words('text')}[1] AS f FROM benchmark)
+    SELECT doc_id, item_id, len(list_intersect(w, v))::DOUBLE / len(list_distinct(list_concat(w, v))) AS jaccard FROM d JOIN b ON d.f = b.f""")
+def q_jaccard_gate(spark, sf):
+    """Similarity of documents and benchmark passages that begin with the same word."""
+    d = table(spark, sf, "documents").select("doc_id", t.words(c("text")).alias("w")).withColumn("f", F.try_element_at("w", F.lit(1)))
+    b = table(spark, sf, "benchmark").select("item_id", t.words(c("text")).alias("v")).withColumn("f", F.try_element_at("v", F.lit(1)))
+    return d.join(b, "f").select("doc_id", "item_id", t.jaccard(c("w"), c("v")).alias("jaccard"))
+
+
+# evidence
+
+
+def _sources(spark, sf):
+    p = table(spark, sf, "part")
+    pdf = p.filter("p_partkey % 3 <> 0").select(c("p_partkey").alias("key"), F.lit("name").alias("field"), c("p_name").alias("value"), (50 + c("p_size") % 40).cast("long").alias("conf"))
+    mfr_value = F.when(c("p_partkey") % 5 == 0, F.concat(F.lit("other "), c("p_brand"))).otherwise(F.initcap("p_name"))
+    mfr = p.filter("p_partkey % 4 <> 0").select(c("p_partkey").alias("key"), F.lit("name").alias("field"), mfr_value.alias("value"), (40 + c("p_size") % 50).cast("long").alias("conf"))
+    return pdf, mfr
+
+
+@query("""
+    WITH p AS (SELECT p_partkey AS key, p_name AS value, 50 + p_size % 40 AS conf FROM part WHERE p_partkey % 3 <> 0),
+    m AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 5 = 0 THEN 'other ' || p_brand ELSE p_name END AS value, 40 + p_size % 50 AS conf, p_partkey % 5 <> 0 AS same FROM part WHERE p_partkey % 4 <> 0)
+    SELECT coalesce(p.key, m.key) AS key, 'name' AS field, lower(coalesce(p.value, m.value)) AS value,
+        CASE WHEN p.key IS NULL THEN 'FOUND_IN_MANUFACTURER_ONLY' WHEN m.key IS NULL THEN 'FOUND_IN_PDF_ONLY' WHEN same THEN 'FOUND_IN_BOTH_MATCH' ELSE 'FOUND_IN_BOTH_CONFLICT' END AS match_status,
+        (CASE WHEN p.key IS NULL THEN m.conf WHEN m.key IS NULL THEN p.conf WHEN same THEN least(95, p.conf + 15) ELSE floor(greatest(p.conf, m.conf) * 60 / 100) END)::BIGINT AS conf
+    FROM p FULL OUTER JOIN m ON p.key = m.key
+""")
+def q_full_outer_merge(spark, sf):
+    return evidence.merge(*_sources(spark, sf)).withColumn("value", F.lower("value"))
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS key, 'the ' || p_name || ' of ' || p_brand AS cur, CASE p_partkey % 4 WHEN 0 THEN 'THE ' || p_name || '  of ' || p_brand WHEN 1 THEN '' ELSE 'a new text on ' || p_name || ' size ' || p_size END AS new,
+    30 + p_size AS conf FROM part), w AS (SELECT *, {sql.words('cur')} AS a, {sql.words('new')} AS b FROM s)
+    SELECT key, new AS suggested FROM w WHERE trim(new) <> '' AND conf >= 50 AND array_to_string(a, ' ') <> array_to_string(b, ' ')
+    AND NOT (length(cur) > 20 AND len(list_intersect(list_distinct(a), list_distinct(b)))::DOUBLE / len(list_distinct(list_concat(a, b))) > 0.8)""")
+def q_suggestion_gate(spark, sf):
+    k, size = c("p_partkey"), c("p_size")
+    new = F.when(k % 4 == 0, F.concat(F.lit("THE "), c("p_name"), F.lit("  of "), c("p_brand"))).when(k % 4 == 1, "").otherwise(F.concat(F.lit("a new text on "), c("p_name"), F.lit(" size "), size))
+    s = table(spark, sf, "part").select(k.alias("key"), F.concat(F.lit("the "), c("p_name"), F.lit(" of "), c("p_brand")).alias("current"), new.alias("suggested"), (30 + size).alias("conf"))
+    return evidence.gate(s).select("key", "suggested")
+
+
+@query(f"""SELECT l_suppkey, url, confidence FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY confidence DESC, url) AS r FROM (SELECT l_suppkey, 'http://img/' || l_partkey AS url,
+    max(CASE WHEN l_discount = 0 THEN {sql.case('l_linenumber % 5 + 1', fixed.SOURCE_BASELINE)} ELSE l_discount * {sql.case('l_linenumber % 5 + 1', fixed.SOURCE_TRUST)} END) AS confidence FROM lineitem GROUP BY 1, 2)) WHERE r <= 5""")
+def q_candidate_rank(spark, sf):
+    """Image candidates of five stages: trust times identity, one of each address, the best five of a key."""
+    stage = c("l_linenumber") % 5 + 1
+    pick = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[stage]
+    conf = F.when(c("l_discount") == 0, pick(fixed.SOURCE_BASELINE)).otherwise(c("l_discount") * pick(fixed.SOURCE_TRUST))
+    one = table(spark, sf, "lineitem").groupBy("l_suppkey", F.concat(F.lit("http://img/"), c("l_partkey")).alias("url")).agg(F.max(conf).alias("confidence"))
+    return keys.best(one, ["l_suppkey"], F.desc("confidence"), c("url"), k=5).select("l_suppkey", "url", "confidence")
+
+
+# families
+
+
+def _records(spark, sf):
+    return families.records(products(spark, sf))
+
+
+@query(f"{V}, {sql.RECORDS}, {sql.GROUPS} SELECT family_id, group_key, n, score, varying, needs_review, mother_key, first_key FROM fam")
+def q_family_groups(spark, sf):
+    return families.groups(_records(spark, sf))
+
+
+@query(f"""{V}, {sql.RECORDS}, {sql.GROUPS} SELECT r.key, f.family_id, CASE WHEN f.family_id IS NULL THEN 'standalone' WHEN r.key = f.mother_key THEN 'mother' ELSE 'child' END AS role
+    FROM rec r LEFT JOIN (SELECT * FROM fam WHERE score >= 30) f ON r.group_key = f.group_key""")
+def q_family_members(spark, sf):
+    recs = _records(spark, sf)
+    return families.members(recs, families.groups(recs))
+
+
+@query(f"""{V}, {sql.RECORDS}, n AS (SELECT group_key, name, count(*) AS uses, min(key) AS k FROM rec GROUP BY 1, 2)
+    SELECT group_key, name AS family_name, uses FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY uses DESC, k) AS r FROM n) WHERE r = 1""")
+def q_family_name(spark, sf):
+    return families.family_names(_records(spark, sf))
+
+
+@query(f"{V}, {sql.RECORDS}, {sql.GROUPS} SELECT count(*) AS n, count_if(score >= 65) AS n_strong, count_if(varying <> '') AS n_varying, count_if(n > 15) AS n_large, sum(n)::BIGINT AS n_members FROM fam")
+def q_family_summary(spark, sf):
+    f = families.groups(_records(spark, sf))
+    return f.agg(F.count("*").alias("n"), F.count_if(c("score") >= 65).alias("n_strong"), F.count_if(c("varying") != "").alias("n_varying"), F.count_if(c("n") > 15).alias("n_large"), F.sum("n").alias("n_members"))
+
+
+@query(f"{V}, {sql.RECORDS} SELECT key, dim_size, dim_colour FROM rec")
+def q_variant_dims(spark, sf):
+    return _records(spark, sf).select("key", "dim_size", "dim_colour")
+
+
+@query("""
+    WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Nitril hanske usteril' WHEN 1 THEN 'Steril, latex-free, disposable' WHEN 2 THEN 'vinyl reusable latex' ELSE p_name END AS x FROM part)
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Usteril' WHEN 1 THEN 'Steril' END AS sterility, CASE p_partkey % 4 WHEN 1 THEN 'Lateksfri' WHEN 2 THEN 'Latex' END AS latex,
+        CASE p_partkey % 4 WHEN 1 THEN 'Engangs' WHEN 2 THEN 'Flergangs' END AS "use", CASE p_partkey % 4 WHEN 0 THEN 'Nitril' WHEN 2 THEN 'Vinyl' END AS material FROM s
+""")
+def q_safety_attributes(spark, sf):
+    k = c("p_partkey")
+    x = F.when(k % 4 == 0, "Nitril hanske usteril").when(k % 4 == 1, "Steril, latex-free, disposable").when(k % 4 == 2, "vinyl reusable latex").otherwise(c("p_name"))
+    return table(spark, sf, "part").select("p_partkey", *[v.alias(n) for n, v in families.safety(x).items()])
+
+
+@query(f"""{V}, {sql.RECORDS}, {sql.GROUPS}, m AS (SELECT r.key, f.family_id FROM rec r LEFT JOIN (SELECT * FROM fam WHERE score >= 30) f ON r.group_key = f.group_key),
+    o AS (SELECT user_id AS key, 'FAM-' || event_type AS target FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_type <> 'error') WHERE r = 1)
+    SELECT m.key, coalesce(target, family_id) AS family_id, target IS NOT NULL AS moved FROM m LEFT JOIN o ON m.key = o.key""")
+def q_family_override_replay(spark, sf):
+    recs = _records(spark, sf)
+    log = table(spark, sf, "events").select(c("user_id").cast("long").alias("key"), c("event_id").alias("seq"), F.concat(F.lit("FAM-"), c("event_type")).alias("target"), (c("event_type") == "error").alias("undone"))
+    return families.replay(families.members(recs, families.groups(recs)), log)
+
+
+# images
+
+_METRICS = {
+    "resolution": lambda: scores.resolution(c("l_orderkey") % 1000 + 1.0, c("l_partkey") % 1200 + 1.0), "blur": lambda: scores.blur(c("l_quantity") * 3), "brightness": lambda: scores.brightness(c("l_quantity") * 5),
+    "contrast": lambda: scores.contrast(c("l_quantity")), "background": lambda: scores.background(c("l_discount") * 4), "edge": lambda: scores.edge(c("l_tax") / 3), "fill": lambda: scores.fill(c("l_quantity") / 50),
+}
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {', '.join(f'{v} AS {k}' for k, v in sql.IMAGE.items())} FROM lineitem")
+def q_image_piecewise(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[f().alias(k) for k, f in _METRICS.items()])
+
+
+@query(f"""WITH m AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS place, {sql.IMAGE_OVERALL} AS score FROM lineitem)
+    SELECT l_partkey, count(*) AS n, max(score) AS best, avg(score) AS mean, arg_min(score, place) AS main, CASE WHEN avg(score) < 40 THEN 'low_quality' WHEN avg(score) < 70 THEN 'review' ELSE 'ok' END AS status FROM m GROUP BY 1""")
+def q_image_summary(spark, sf):
+    m = table(spark, sf, "lineitem").select("l_partkey", (c("l_orderkey") * 10 + c("l_linenumber")).alias("at"), scores.image_overall({k: f() for k, f in _METRICS.items()}).alias("score"))
+    mean = F.avg("score")
+    return m.groupBy("l_partkey").agg(F.count("*").alias("n"), F.max("score").alias("best"), mean.alias("mean"), F.min_by("score", "at").alias("main"), F.when(mean < 40, "low_quality").when(mean < 70, "review").otherwise("ok").alias("status"))
+
+
+@query("""
+    WITH e AS (SELECT user_id, event_id, event_type <> 'error' AS hit, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    s AS (SELECT a.user_id, min(a.i) AS stop FROM e a JOIN e b ON a.user_id = b.user_id AND b.i = a.i + 1 WHERE NOT a.hit AND NOT b.hit GROUP BY 1)
+    SELECT e.user_id, e.event_id FROM e LEFT JOIN s ON e.user_id = s.user_id WHERE s.stop IS NULL OR e.i < s.stop
+""")
+def q_consecutive_miss_cut(spark, sf):
+    return state.before_misses(table(spark, sf, "events"), "user_id", "event_id", c("event_type") != "error").select("user_id", "event_id")
+
+
+# pages
+
+
+@query("""
+    SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages
+""")
+def q_page_title_links(spark, sf):
+    return table(spark, sf, "pages").select("page_id", pages.heading(c("html")).alias("heading"), F.size(pages.links(c("html"))).cast("long").alias("n_links"), pages.host(c("url")).alias("host"))
+
+
+@query("""
+    WITH x AS (SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN page_id::VARCHAR WHEN 1 THEN 'N' || page_id WHEN 2 THEN 'Z9' END AS sku, page_id::VARCHAR AS wanted FROM pages)
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'EXACT_MATCH' WHEN 1 THEN 'NORMALIZED_MATCH' WHEN 2 THEN 'MISMATCH' ELSE CASE WHEN contains(html, wanted) THEN 'SKU_IN_PAGE' ELSE 'UNVERIFIED' END END AS status FROM x
+""")
+def q_sku_verify(spark, sf):
+    k = c("page_id").cast("string")
+    sku = F.when(c("page_id") % 4 == 0, k).when(c("page_id") % 4 == 1, F.concat(F.lit("N"), k)).when(c("page_id") % 4 == 2, "Z9")
+    html = F.concat(c("html"), F.coalesce(F.concat(F.lit('{"sku": "'), sku, F.lit('"}')), F.lit("")))
+    return table(spark, sf, "pages").select("page_id", pages.sku_status(html, pages.page_sku(html), k).alias("status"))
+
+
+@query()
+def q_structured_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", pages.structured_text(c("html")).alias("text"))
+
+
+_URL = "image_url || CASE key % 4 WHEN 0 THEN '/logo.png' WHEN 1 THEN '/a.JPG?w=2' WHEN 2 THEN '/icon' ELSE '' END"
+
+
+@query(f"""{V} SELECT key, url FROM (SELECT key, {_URL} AS url FROM v) WHERE key % 4 IN (1, 3) AND url IS NOT NULL""")
+def q_image_url_filter(spark, sf):
+    urls = products(spark, sf).select("key", F.expr(_URL).alias("url"))
+    return urls.filter(pages.is_product_image(c("url")))
+
+
+# state
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def q_history_fifo(spark, sf):
+    return state.newest(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), F.desc("o_orderdate"), F.desc("o_orderkey"), keep=100)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01' - INTERVAL 60 DAYS")
+def q_ttl_expired(spark, sf):
+    return state.expired(table(spark, sf, "orders"), "o_orderdate", "1998-06-01", 60).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01' - INTERVAL 60 DAYS ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def q_saved_jobs_list(spark, sf):
+    live = table(spark, sf, "orders").select("o_orderkey", "o_orderdate").filter(c("o_orderdate") >= F.lit("1998-06-01").cast("timestamp") - F.expr("INTERVAL 60 DAYS"))
+    return state.newest(live, F.desc("o_orderdate"), F.desc("o_orderkey"), keep=50)
+
+
+@query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) <= 5 AS allowed FROM events")
+def q_rate_limit(spark, sf):
+    return state.recent_count(table(spark, sf, "events"), "user_id", "ts", 3600).select("user_id", "event_id", (c("recent") <= 5).alias("allowed"))
+
+
+@query("SELECT count_if(quality = 1) AS n_approved, count_if(quality = 0) AS n_rejected, count_if(toxic = 1) AS n_flagged, count(*) AS n FROM labels")
+def q_review_counts(spark, sf):
+    n = lambda x: F.count_if(F.expr(x))
+    return table(spark, sf, "labels").agg(n("quality = 1").alias("n_approved"), n("quality = 0").alias("n_rejected"), n("toxic = 1").alias("n_flagged"), F.count("*").alias("n"))
+
+
+@query("""
+    WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
+    SELECT c_custkey AS key, coalesce(event_type, 'new') AS status FROM customer LEFT JOIN (SELECT * FROM e WHERE r = 1) x ON c_custkey = user_id
+    UNION ALL SELECT user_id, event_type FROM e WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)
+""")
+def q_review_upsert(spark, sf):
+    base = table(spark, sf, "customer").select(c("c_custkey").cast("long").alias("key"), F.lit("new").alias("status"), F.lit(None).cast("long").alias("seq"))
+    log = table(spark, sf, "events").select(c("user_id").cast("long").alias("key"), c("event_type").alias("status"), c("event_id").cast("long").alias("seq"))
+    return state.upsert(base, log, "key", "seq").select("key", "status")
