@@ -11,8 +11,8 @@ blocks beside that path which reach it belong to the content too, as does the he
 footer, sidebar, notice, advert, form, script, style or comment section by its element, role, class or id is taken out
 beforehand, wherever it lies.
 
-Text comes block by block in page order, with white space (and <br>) as one space within a block, trimmed, joined by line
-feeds; preformatted text is treated likewise. Nothing else is dropped or cut.
+Text comes block by block in page order, with white space (and <br>) as one space within a block, trimmed, joined by two
+line feeds; preformatted text is treated likewise. Nothing else is dropped or cut.
 
 Defined cases: a null or empty html, or one without text outside the taken-out parts, gives an empty text; text without
 any tags is one block; long pages are handled whole; rows that repeat get equal results; an empty table gives an empty
@@ -257,7 +257,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
-    return "\n".join(blocks_of(content(root)))
+    return "\n\n".join(blocks_of(content(root)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
