@@ -3,8 +3,8 @@
 Vectors become floor(1024 x) and are dealt into shards by a hash of vec_id. A shard builds a KD-tree by median splits of
 the widest component, with tight bounding boxes. A query's best possible product with a box is known from the box's
 corners; nodes are visited best first, and a node whose bound lies below the query's kth score so far is never opened.
-Queries travel in blocks: each block first searches the shard of its own rows, and the kth scores found there go with it
-to all other shards.
+Each query first searches the shard of its own row; the kth score found there goes with it to all other shards. Queries
+travel in blocks, so a task holds one shard and one block, whose sizes are parameters, however many rows and queries there are.
 
 Defined cases: vectors that are null or hold a null or a non-finite component take no part; an empty vector counts as
 zeros, and vectors of unequal length as if the shorter ended in zeros; ties go to the smaller vec_id; rows that repeat a
@@ -19,7 +19,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,6 +30,11 @@ SCALE = 1024.0
 EXACT = 2.0**53
 
 
+def clipped(scores: np.ndarray) -> np.ndarray:
+    """Python's integers as far as a long goes; doubles stay, as they are used below 2^53 only."""
+    return np.clip(scores, -(1 << 63), (1 << 63) - 1) if scores.dtype == object else scores
+
+
 class Tree:
     """Median splits down to leaves of at most `leaf` points; rows are reordered so that each node is a range of them."""
 
@@ -60,7 +65,7 @@ class Tree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest product that each query can have with a point of each node's box."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return clipped(np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T)
 
     def search(self, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
         """The k best (score, vec_id) here that reach `floor`, best first."""
@@ -76,7 +81,7 @@ class Tree:
                         heapq.heappush(heap, (-bound[c], c))
                 continue
             a, b = self.begin[node], self.end[node]
-            scores, ids = self.points[a:b] @ query, self.ids[a:b]
+            scores, ids = clipped(self.points[a:b] @ query), self.ids[a:b]
             for s, i in zip(*(x[(scores >= floor) & (ids != own)].tolist() for x in (scores, ids))):
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
@@ -104,10 +109,6 @@ def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return part.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).filter(finite).select("vec_id", scaled.alias("v"))
 
 
-def clip(score: int) -> int:
-    return max(-(1 << 63), min((1 << 63) - 1, score))
-
-
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 12_000, block_rows: int = 2048
 ) -> DataFrame:
@@ -118,7 +119,15 @@ def top_k(
     shards, blocks = 1 + n_points // shard_rows, 1 + n_asked // block_rows
     shard = common.bucket_of(shards, "vec_id")
     points = points.withColumn("shard", shard)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
+
+    def block(n: int) -> Column:
+        return F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n)).cast("int").alias("block")
+
+    def matched(asks: DataFrame, n: int) -> DataFrame:
+        """What `asks` (in n blocks) find in their shards."""
+        every = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 1 else points.withColumn("block", F.lit(0))
+        asks = asks.select("shard", block(n), "vec_id", "v", "floor")
+        return every.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(found, schema)
 
     def found(own: pa.Table, asks: pa.Table) -> pa.Table:
         lists, ids = own["v"].to_pylist(), own["vec_id"].to_numpy()
@@ -134,20 +143,20 @@ def top_k(
             for a in range(0, len(wanted), 256):
                 bounds = tree.bounds(wanted[a : a + 256])
                 for q, own_id, floor, bound in zip(wanted[a : a + 256], asks["vec_id"].to_pylist()[a : a + 256], asks["floor"].to_pylist()[a : a + 256], bounds):
-                    least = -float("inf") if floor is None or abs(floor) >= EXACT else floor
-                    rows += [(own_id, i, clip(s)) for s, i in tree.search(q, own_id, bound, k, least)]
+                    least = -float("inf") if floor is None else floor
+                    rows += [(own_id, i, s) for s, i in tree.search(q, own_id, bound, k, least)]
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], names=["query_id", "vec_id", "score"])
 
     schema = "query_id long, vec_id long, score long"
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # first each query in the shard of its own row; the kth score there bounds the search elsewhere
     home = asked.withColumn("shard", shard).withColumn("floor", F.lit(None).cast("long"))
-    near = common.stored(points.groupBy("shard").cogroup(home.select("shard", "vec_id", "v", "floor").groupBy("shard")).applyInArrow(found, schema), "near")
+    near = common.stored(matched(home, 1 + n_asked // (shards * block_rows)), "near")
     kth = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     away = (
         asked.join(kth, "vec_id", "left").withColumn("home", shard)
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
     )
-    far = points.groupBy("shard").cogroup(away.select("shard", "vec_id", "v", "floor").groupBy("shard")).applyInArrow(found, schema) if shards > 1 else near.limit(0)
+    far = matched(away, blocks) if shards > 1 else near.limit(0)
     ranked = near.unionByName(far).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

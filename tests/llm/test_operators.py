@@ -186,7 +186,7 @@ def test_html(spark):
     <div class=comments><p>Nice post by someone who writes a lot of words here</p></div></div><div class="sidebar"><p>Side</p></div><form>Name</form><script>x</script><footer>Foot</footer></body></html>"""
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "plain &lt;b"), (5, "u", "<p>a<p>b"), (5, "u", "<p>a<p>b"), (6, "u", "<div><p>" * 3000 + "deep"), (7, "u", "<nav>only</nav>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).orderBy("page_id").collect()
-    assert [r.text for r in got] == ["Title\nFirst & para em text, with length enough to count. Second\nAnother para with a link in it, long enough.\none\ntwo", "", "", "plain <b", "a\nb", "a\nb", "deep", ""]
+    assert [r.text for r in got] == ["Title\n\nFirst & para em text, with length enough to count. Second\n\nAnother para with a link in it, long enough.\n\none\n\ntwo", "", "", "plain <b", "a\n\nb", "a\n\nb", "deep", ""]
     assert all(r.n_chars == len(r.text) for r in got)
 
 
@@ -284,7 +284,7 @@ def test_top_k(spark, scale):
     vectors = [(k, (r.normal(size=6) * scale).tolist()) for k in range(700)]
     vectors += [(k, [0.5 * scale] * 6) for k in range(700, 760)] + [(800, None), (801, [float("nan")] * 6), (802, [None] * 6), (803, [float("inf")] * 6), (900, []), (None, [1.0] * 6), (701, [0.25] * 6)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("v", F.lit(1))
-    got = topk.top_k(df, df.filter("vec_id % 100 = 0"), shard_rows=200).collect()
+    got = topk.top_k(df, df.filter("vec_id % 100 = 0"), shard_rows=200, block_rows=2).collect()
     whole = [(k, [math.floor(1024 * x) for x in v]) for k, v in vectors if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q, a in whole:
