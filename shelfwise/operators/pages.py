@@ -32,11 +32,12 @@ def sku_status(html: Column, sku: Column, wanted: Column) -> Column:
 
 
 def structured_text(html: Column) -> Column:
-    """Paragraphs and line breaks as lines, list items as bullets, tags out, white space closed up."""
+    """Paragraphs and line breaks as lines, list items as bullets, tags out, white space closed up; a null is an empty text."""
     x = F.regexp_replace(html, "(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
     x = F.regexp_replace(F.regexp_replace(x, "<li[^>]*>", "\n• "), "<br ?/?>|</p>|<p>|</li>|</h1>", "\n")
     x = F.regexp_replace(F.regexp_replace(x, "<[^>]+>", ""), "[ \t]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, " *\n *", "\n"), "\n+", "\n"))
+    lines = F.regexp_replace(F.regexp_replace(x, " *\n *", "\n"), "\n+", "\n")
+    return F.coalesce(F.regexp_replace(lines, r"^\s+|\s+$", ""), F.lit(""))
 
 
 def is_product_image(url: Column) -> Column:
