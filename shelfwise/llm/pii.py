@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -231,10 +232,34 @@ def trained() -> dict[str, tuple[Trees, float]]:
     return out
 
 
+class Taken:
+    """Stretches of a text that don't overlap, in order; a question takes time in proportion to the logarithm of their number."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def all_spans(text: str, models: dict[str, tuple[Trees, float]] | None = None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start, then by kind as listed."""
     base = base_spans(text)
-    proposed = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, b, _ in base)]
+    taken = Taken(base)
+    proposed = [c for c in candidates(text) if not taken.meets(c[0], c[1])]
     if not proposed:
         return base, base
     chosen = []
@@ -244,10 +269,9 @@ def all_spans(text: str, models: dict[str, tuple[Trees, float]] | None = None) -
             p = model.score(np.array([describe(text, c) for c in own], float))
             chosen += [(s, c) for s, c in zip(p.tolist(), own) if s >= threshold]
     added: list[Span] = []
-    reach: list[Span] = []
     for _, c in sorted(chosen, key=lambda x: (-x[0], x[1])):
-        if not any(a < c[1] and c[0] < b for a, b, _ in reach):
-            reach.append(c)
+        if not taken.meets(c[0], c[1]):
+            taken.add(c[0], c[1])
             added.append(c)
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

@@ -152,6 +152,16 @@ def test_pii(docs, empty, rows):
     assert red.columns == docs.columns and red.filter("text is null").count() == 1 and red.filter("text like '%@y.org%'").count() == 0
 
 
+def test_pii_of_a_long_text_keeps_what_each_part_has():
+    part = "mail a@b.com or call (555) 123-4567, card 4111 1111 1111 1111 from 10 . 0 . 0 . 7 on order 123456789. "
+    base, every = pii.all_spans(part)
+    assert len(every) > len(base) >= 2
+    many = 4000
+    long_base, long_every = pii.all_spans(part * many)
+    assert long_base == [(a + k * len(part), b + k * len(part), kind) for k in range(many) for a, b, kind in base]
+    assert long_every == [(a + k * len(part), b + k * len(part), kind) for k in range(many) for a, b, kind in every]
+
+
 def test_pii_model_on_a_fresh_draw():
     drawn = [(pii.describe(x, s), s[2], y) for x, s, y in pii.drawn(77, 1200)]
     for kind, (model, threshold) in pii.trained().items():
