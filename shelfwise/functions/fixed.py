@@ -11,6 +11,11 @@ TYPE_KEYWORDS = [
 ]
 #: Values that stand for a missing one.
 PLACEHOLDERS = ["ukjent", "unknown", "n/a", "-", ".", "na", "ingen", "test", "todo", "tbd", "xxx", "placeholder"]
+#: Words that say nothing of a product; the first four count for categories.
+COMMON_WORDS = ["og", "i", "for", "med", "til", "av", "en", "et", "den", "det", "de", "er"]
+#: Names that name nothing, and English words of which two call for a translation; matched as substrings.
+GENERIC_NAMES = ["produkt", "vare", "artikkel", "item", "product", "test"]
+ENGLISH_NAMES = ["gloves", "bandage", "tape", "pack", "box", "piece"]
 SENTINELS = ["none", "nan", "null", "na", "n/a", "", "<na>"]
 #: Words of a real specification; matched as substrings.
 SPEC_KEYWORDS = [

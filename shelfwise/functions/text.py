@@ -43,6 +43,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))
 
 
+def restates(current: Column, suggested: Column) -> Column:
+    """Whether a suggestion for a value of over 30 characters holds over 85 % of its words and under 20 % of new ones."""
+    x, y = F.array_distinct(words(current)), F.array_distinct(words(suggested))
+    kept, new = F.size(F.array_intersect(x, y)) / F.nullif(F.size(x), F.lit(0)), F.size(F.array_except(y, x)) / F.nullif(F.size(y), F.lit(0))
+    return F.coalesce((F.length(current) > 30) & (kept > 0.85) & (F.coalesce(new, F.lit(0)) < 0.2), F.lit(False))
+
+
+def source_label(a: Column, b: Column, a_name: str = "nettside", b_name: str = "ERP") -> Column:
+    """Which of two sources has a value; null for neither."""
+    x, y = filled(a).isNotNull(), filled(b).isNotNull()
+    return F.when(x & y, f"{a_name} + {b_name}").when(x, f"{a_name} kun").when(y, f"{b_name} kun")
+
+
+def line_key(c: Column) -> Column:
+    """What makes two lines equal: case, and white space at the ends and in between, don't count."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[ \t\r\n]+", " "))
+
+
 def sentences(c: Column) -> Column:
     """How many parts between sentence ends have over ten characters."""
     return F.size(F.filter(F.split(c, r"[.!?]+"), lambda s: F.length(F.trim(s)) > 10))
@@ -116,3 +134,9 @@ def description_gate(c: Column) -> Column:
         .when(F.lower(text).rlike(r"(^|[^0-9a-z_])side\s+[0-9]+"), "page").when(F.lower(text).rlike("størrelseskode|bestillingsnummer|produktdatablad|salgsenhet|transportkartong"), "sheet")
         .when((F.size(lines) > 5) & (short > 0.6 * F.size(lines)), "table").when(broken, "broken")
     )
+
+
+def merged_lines(c: Column) -> Column:
+    """A text's lines without junk; a line that begins in lower case goes on with one that has no end mark."""
+    kept = F.transform(F.filter(F.split(c, "\n"), lambda x: junk_reason(x).isNull()), F.trim)
+    return F.split(F.regexp_replace(F.array_join(kept, "\n"), r"([^.!?:;)\n])\n(\p{Ll})", "$1 $2"), "\n")

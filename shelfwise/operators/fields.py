@@ -13,8 +13,9 @@ c = F.col
 
 def name_status() -> Column:
     name, web = t.first_filled(c("web_name"), c("erp_name")), t.filled(c("web_name"))
-    wrong = name.rlike("^[0-9]+$")
-    poor = (F.length(name) < 5) | ((F.length(name) > 5) & (F.upper(name) == name) & name.rlike("[A-Z]"))
+    wrong = name.rlike(r"^[0-9 \t\r\n/-]+$")
+    english = t.keyword_hits(name, fixed.ENGLISH_NAMES) >= 2
+    poor = (F.length(name) < 5) | F.lower(F.trim(name)).isin(fixed.GENERIC_NAMES) | english | ((F.length(name) > 3) & (F.upper(name) == name))
     return F.when(name.isNull(), "MISSING").when(web.isNull(), "OK").when(wrong, "PROBABLE_ERROR").when(poor, "SHOULD_IMPROVE").when(F.length(name) >= 10, "STRONG").otherwise("OK")
 
 
@@ -43,9 +44,17 @@ def presence(column: str, missing: str = "MISSING") -> Column:
     return F.when(v.isNull(), missing).when(t.is_placeholder(v), "PROBABLE_ERROR").when(F.length(v) < 3, "SHOULD_IMPROVE").otherwise("OK")
 
 
+def _apart(a: Column, b: Column, common: list[str], more_a: int, more_b: int) -> Column:
+    """Whether two texts share no word but common ones, and have more than so many distinct words each."""
+    x, y = (F.array_distinct(F.filter(t.words(v), lambda w: ~w.isin(common))) for v in (a, b))
+    return F.coalesce((F.size(x) > more_a) & (F.size(y) > more_b) & ~F.arrays_overlap(x, y), F.lit(False))
+
+
 def consistency_status() -> Column:
-    name, d = t.words(t.first_filled(c("web_name"), c("erp_name"))), t.words(c("description"))
-    return F.when((F.size(name) == 0) | (F.size(d) == 0), "OK").when(F.arrays_overlap(name, d), "OK").otherwise("MANUAL_REVIEW")
+    """Name against description and name against category."""
+    name = c("web_name")
+    odd = _apart(name, c("description"), fixed.COMMON_WORDS, 2, 0) | _apart(c("category"), name, fixed.COMMON_WORDS[:4], 1, 1)
+    return F.when(odd, "SHOULD_IMPROVE").otherwise("OK")
 
 
 def statuses() -> dict[str, Column]:

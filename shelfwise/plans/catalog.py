@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scores
 from ..functions import text as t
-from ..operators import evidence, families, fields, keys, pages, state
+from ..operators import cleaning, evidence, families, fields, keys, pages, state
 from ..sources.views import PRODUCTS_SQL, products, table
 from . import sql
 
@@ -81,6 +81,11 @@ def q_two_source_coalesce(spark, sf):
     return products(spark, sf).select("key", t.first_filled(c("web_name"), c("erp_name")).alias("name"), F.when(w & e, "both").when(w, "website").when(e, "erp").alias("origin"))
 
 
+@query(f"""{V} SELECT key, CASE WHEN web_name IS NOT NULL AND erp_name IS NOT NULL THEN 'nettside + ERP' WHEN web_name IS NOT NULL THEN 'nettside kun' WHEN erp_name IS NOT NULL THEN 'ERP kun' END AS label FROM v""")
+def q_source_label(spark, sf):
+    return products(spark, sf).select("key", t.source_label(c("web_name"), c("erp_name")).alias("label"))
+
+
 @query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def q_erp_left_lookup(spark, sf):
     index = table(spark, sf, "customer").select(c("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
@@ -156,6 +161,11 @@ def q_field_statuses(spark, sf):
     return _statuses(spark, sf).select("key", *[f"{k}_status" for k in fixed.FIELD_WEIGHTS])
 
 
+@query(f"{V} SELECT key, {sql.STATUS['consistency']} AS consistency FROM v")
+def q_consistency(spark, sf):
+    return products(spark, sf).select("key", fields.consistency_status().alias("consistency"))
+
+
 @query(f"{V}, s AS ({sql.STATUSES}) SELECT key, {sql.TOTAL} AS total_score, {sql.OVERALL} AS overall_status FROM s")
 def q_total_score_overall_status(spark, sf):
     return _statuses(spark, sf).select("key", fields.total_score().alias("total_score"), fields.overall_status().alias("overall_status"))
@@ -280,6 +290,27 @@ def q_clean_lines(spark, sf):
     return first.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("y")).alias("n_chars"))
 
 
+_LINE_KEY = "trim(regexp_replace(lower(x), '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, min(n) AS line, count(*) AS n_copies FROM ({sql.LINES}) GROUP BY doc_id, {_LINE_KEY}")
+def q_dedup_lines(spark, sf):
+    """The first of each document's equal lines."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "x"))
+    return lines.groupBy("doc_id", t.line_key(c("x")).alias("y")).agg(F.min("n").cast("long").alias("line"), F.count("*").alias("n_copies")).drop("y")
+
+
+@query(f"""WITH k AS (SELECT doc_id, n, trim(x) AS x FROM ({sql.LINES}) WHERE {sql.JUNK} IS NULL),
+    j AS (SELECT doc_id, string_split(regexp_replace(string_agg(x, chr(10) ORDER BY n), '([^.!?:;)\\n])\\n(\\p{{Ll}})', '\\1 \\2', 'g'), chr(10)) AS m FROM k GROUP BY doc_id),
+    e AS (SELECT doc_id, unnest(m) AS x, generate_subscripts(m, 1) AS n FROM j),
+    f AS (SELECT doc_id, min(n) AS n, arg_min(x, n) AS x FROM e GROUP BY doc_id, {_LINE_KEY}),
+    r AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS cleaned FROM f WHERE len({sql.words('x')}) >= 3 OR regexp_matches(x, '[.:!]$') GROUP BY doc_id)
+    SELECT doc_id, cleaned FROM r WHERE length(cleaned) >= 20""")
+def q_clean_documents(spark, sf):
+    """What is left of each text as a description; texts of which under 20 characters are left have no row."""
+    return cleaning.clean_descriptions(table(spark, sf, "documents"), "doc_id", "text")
+
+
 @query(f"SELECT doc_id, {sql.GATE} AS reason FROM (SELECT doc_id, trim(coalesce(text, '')) AS t, string_split(trim(coalesce(text, '')), chr(10)) AS ls FROM documents)")
 def q_description_gate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.description_gate(c("text")).alias("reason"))
@@ -306,6 +337,15 @@ def q_jaccard_gate(spark, sf):
     return d.join(b, "f").select("doc_id", "item_id", t.jaccard(c("w"), c("v")).alias("jaccard"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, text, list_distinct({sql.words('text')}) AS w, {sql.words('text')}[1] AS f FROM documents), b AS (SELECT item_id, list_distinct({sql.words('text')}) AS v, {sql.words('text')}[1] AS f FROM benchmark)
+    SELECT doc_id, item_id, length(text) > 30 AND len(list_intersect(w, v))::DOUBLE / len(w) > 0.85 AND (len(v) - len(list_intersect(w, v)))::DOUBLE / len(v) < 0.2 AS restates FROM d JOIN b ON d.f = b.f""")
+def q_containment(spark, sf):
+    """Whether a benchmark passage only restates a document that begins with the same word."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.try_element_at(t.words(c("text")), F.lit(1)).alias("f"))
+    b = table(spark, sf, "benchmark").select("item_id", c("text").alias("passage"), F.try_element_at(t.words(c("text")), F.lit(1)).alias("f"))
+    return d.join(b, "f").select("doc_id", "item_id", t.restates(c("text"), c("passage")).alias("restates"))
+
+
 # evidence
 
 

@@ -17,8 +17,8 @@ def words(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[ \\t\\r\\n]+'), lambda w: w <> '')"
 
 
-def hits(x: str) -> str:
-    return f"len(list_filter([{strings(fixed.SPEC_KEYWORDS)}], lambda k: contains(lower({x}), k)))"
+def hits(x: str, keywords: list[str] = fixed.SPEC_KEYWORDS) -> str:
+    return f"len(list_filter([{strings(keywords)}], lambda k: contains(lower({x}), k)))"
 
 
 UNIT = "[0-9]+([.,][0-9]+)?[ \\t\\r\\n]*(mm|cm|m|ml|l|g|kg)"
@@ -39,14 +39,19 @@ def _presence(x: str, missing: str = "MISSING") -> str:
     return f"CASE WHEN {x} IS NULL THEN '{missing}' WHEN lower(trim({x})) IN ({strings(fixed.PLACEHOLDERS)}) THEN 'PROBABLE_ERROR' WHEN length({x}) < 3 THEN 'SHOULD_IMPROVE' ELSE 'OK' END"
 
 
+def _apart(a: str, b: str, common: list[str], more_a: int, more_b: int) -> str:
+    x, y = (f"list_distinct(list_filter({words(v)}, lambda w: w NOT IN ({strings(common)})))" for v in (a, b))
+    return f"(len({x}) > {more_a} AND len({y}) > {more_b} AND NOT list_has_any({x}, {y}))"
+
+
 _ATTRS = "CASE WHEN len(string_split(specification, ';')) + len(string_split(specification, chr(10))) > 2 THEN len(string_split(specification, ';')) + len(string_split(specification, chr(10))) - 1 ELSE 1 END"
 STATUS = {
-    "name": f"CASE WHEN {_NAME} IS NULL THEN 'MISSING' WHEN web_name IS NULL THEN 'OK' WHEN regexp_matches({_NAME}, '^[0-9]+$') THEN 'PROBABLE_ERROR' WHEN length({_NAME}) < 5 OR (length({_NAME}) > 5 AND upper({_NAME}) = {_NAME} AND regexp_matches({_NAME}, '[A-Z]')) THEN 'SHOULD_IMPROVE' WHEN length({_NAME}) >= 10 THEN 'STRONG' ELSE 'OK' END",
+    "name": f"CASE WHEN {_NAME} IS NULL THEN 'MISSING' WHEN web_name IS NULL THEN 'OK' WHEN regexp_matches({_NAME}, '^[0-9 \\t\\r\\n/-]+$') THEN 'PROBABLE_ERROR' WHEN length({_NAME}) < 5 OR lower(trim({_NAME})) IN ({strings(fixed.GENERIC_NAMES)}) OR {hits(_NAME, fixed.ENGLISH_NAMES)} >= 2 OR (length({_NAME}) > 3 AND upper({_NAME}) = {_NAME}) THEN 'SHOULD_IMPROVE' WHEN length({_NAME}) >= 10 THEN 'STRONG' ELSE 'OK' END",
     "description": "CASE WHEN description IS NULL THEN 'MISSING' WHEN lower(description) = lower(coalesce(web_name, '')) THEN 'SHOULD_IMPROVE' WHEN length(description) BETWEEN 10 AND 19 THEN 'WEAK' WHEN length(description) < 20 THEN 'SHOULD_IMPROVE' WHEN length(description) >= 80 AND regexp_matches(description, '[.!?]') THEN 'STRONG' ELSE 'OK' END",
     "specification": f"CASE WHEN specification IS NULL THEN 'MISSING' WHEN {_ATTRS} >= 4 OR ({_ATTRS} >= 2 AND {measurable('specification')}) THEN 'STRONG' WHEN {measurable('specification')} THEN 'OK' WHEN length(specification) < 10 THEN 'WEAK' ELSE 'SHOULD_IMPROVE' END",
     "manufacturer": _presence("brand"), "mfr_number": _presence("article_number"), "category": _presence("category"), "packaging": _presence("packaging"), "image": _presence("image_url"),
     "brand": _presence("brand", "SHOULD_IMPROVE"),
-    "consistency": f"CASE WHEN {_NAME} IS NULL OR description IS NULL OR len(list_intersect({words(_NAME)}, {words('description')})) > 0 THEN 'OK' ELSE 'MANUAL_REVIEW' END",
+    "consistency": f"CASE WHEN {_apart('web_name', 'description', fixed.COMMON_WORDS, 2, 0)} OR {_apart('category', 'web_name', fixed.COMMON_WORDS[:4], 1, 1)} THEN 'SHOULD_IMPROVE' ELSE 'OK' END",
 }
 STATUSES = f"SELECT *, {', '.join(f'{v} AS {k}_status' for k, v in STATUS.items())} FROM v"
 _POINTS = {k: f"(CASE {k}_status {' '.join(f'''WHEN '{s}' THEN {p}''' for s, p in fixed.STATUS_POINTS.items())} END)" for k in fixed.FIELD_WEIGHTS}

@@ -49,7 +49,7 @@ def article_numbers(sheets: DataFrame, aliases: list[str]) -> DataFrame:
     """(path, row, value) of the column whose header is an alias (lower case, without dots, blanks and underscores), else the first; in order, repeats kept."""
     clean = lambda c: F.regexp_replace(F.lower(c), r"[. _]", "")
     head = sheets.filter("row = 1").select("path", F.greatest(F.lit(1), F.array_max(F.transform(F.array(*map(F.lit, aliases)), lambda a: F.array_position(F.transform("cells", clean), a)))).cast("int").alias("at"))
-    return sheets.filter("row > 1").join(F.broadcast(head), "path").select("path", "row", F.try_element_at("cells", F.col("at")).alias("value")).filter("value is not null")
+    return sheets.filter("row > 1").join(head, "path").select("path", "row", F.try_element_at("cells", F.col("at")).alias("value")).filter("value is not null")
 
 
 def sitemap_urls(spark: SparkSession, path: str, holds: str = "/products/") -> DataFrame:
@@ -61,3 +61,9 @@ def sitemap_urls(spark: SparkSession, path: str, holds: str = "/products/") -> D
 def cached(snapshot: DataFrame, version: int = 2) -> DataFrame:
     """Entries of the current version that were found."""
     return snapshot.filter((F.col("_cache_version") == version) & F.col("found"))
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
+    """Each table as a folder of its own under a path, in any format Spark writes; what is there is replaced."""
+    for name, sheet in sheets.items():
+        sheet.write.format(form).mode("overwrite").option("header", True).save(f"{path.rstrip('/')}/{name}")

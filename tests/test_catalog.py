@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import streaming
 from shelfwise.functions import text as t
-from shelfwise.operators import evidence, families, pages, state
+from shelfwise.operators import cleaning, evidence, families, fields, pages, state
 from shelfwise.plans import catalog
 from shelfwise.sources import files
 
@@ -116,3 +116,41 @@ def test_rate_limit_ignores_rejected(spark, tmp_path):
     stream = spark.readStream.schema("k long, ts timestamp").parquet(str(tmp_path / "in"))
     streaming.admitted(stream, "k", "ts").writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
     assert [r.allowed for r in spark.table("limited").orderBy("ts").collect()] == [True] * 5 + [False, False, True]
+
+
+def test_consistency_and_name_rules(spark):
+    rows = [
+        (1, "nitril hanske rosa", "god bandasje for sår", None, "SHOULD_IMPROVE", "STRONG"),
+        (2, "nitril hanske og", "god bandasje for sår", None, "OK", "STRONG"),
+        (3, "nitril hanske", None, "sår pleie", "SHOULD_IMPROVE", "STRONG"),
+        (4, "nitril hanske", None, "sår", "OK", "STRONG"),
+        (5, "12-34 / 5", None, None, "OK", "PROBABLE_ERROR"),
+        (6, "HANSKE", None, None, "OK", "SHOULD_IMPROVE"),
+        (7, "produkt", None, None, "OK", "SHOULD_IMPROVE"),
+        (8, "box of gloves", None, None, "OK", "SHOULD_IMPROVE"),
+        (9, None, "god bandasje", None, "OK", "MISSING"),
+    ]
+    df = spark.createDataFrame(rows, "k int, web_name string, description string, category string, c string, n string").withColumn("erp_name", F.lit(None).cast("string"))
+    for r in df.select("k", "c", "n", fields.consistency_status().alias("consistency"), fields.name_status().alias("name")).collect():
+        assert (r.k, r.consistency, r.name) == (r.k, r.c, r.n)
+
+
+def test_labels_and_restated_values(spark):
+    long = "one two three four five six seven eight"
+    rows = [(1, "a", "b", "nettside + ERP", False), (2, "a", "", "nettside kun", False), (3, None, "b", "ERP kun", False), (4, "", None, None, False), (5, long, long + " nine", "nettside + ERP", True), (6, long, long + " a b c d", "nettside + ERP", False)]
+    df = spark.createDataFrame(rows, "k int, a string, b string, label string, same boolean")
+    for r in df.select("*", t.source_label(F.col("a"), F.col("b")).alias("x"), t.restates(F.col("a"), F.col("b")).alias("y")).collect():
+        assert (r.k, r.x, r.y) == (r.k, r.label, r.same)
+
+
+def test_clean_descriptions(spark):
+    text = "Side 1\nHansken er laget av nitril og\nkan brukes til mat.\nLateksfri.\n150 / 1500\nrosa\nHansken  er laget av nitril og kan brukes til MAT.\n"
+    df = spark.createDataFrame([(1, text), (2, "150 / 1500\n2020-01-01"), (3, None), (4, "")], "id int, text string")
+    out = {r.id: r.cleaned for r in cleaning.clean_descriptions(df, "id", "text").collect()}
+    assert out == {1: "Hansken er laget av nitril og kan brukes til mat.\nLateksfri."}
+
+
+def test_sheets_are_written_and_read(spark, tmp_path):
+    files.write_sheets({"a": spark.range(3).toDF("x"), "b": spark.range(2).toDF("y")}, str(tmp_path), "csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/a").count() == 3
+    assert spark.read.option("header", True).csv(f"{tmp_path}/b").columns == ["y"]
