@@ -142,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc
                 ["doc_id", "y", "buckets", "counts"],
             )
 
-    held = common.id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    # of rows that repeat an id, one: so that `most` bounds what comes to the driver
+    held = common.id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = held.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.buckets), bytes(r.counts)))
     return train([(r.y, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4").astype(float)) for r in rows])

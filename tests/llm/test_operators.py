@@ -133,6 +133,8 @@ def test_quality(spark, docs, empty):
     assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored)
     assert quality.score_documents(empty, model).count() == 0
     assert quality.keep_good(d, model).columns == d.columns
+    again = quality.fit(d.unionByName(d).unionByName(d), labelled)  # rows that repeat an id count once
+    assert (again.weight == model.weight).all() and again.bias == model.bias
     none = quality.fit(empty, labelled.limit(0))
     assert {r.score for r in quality.score_documents(docs, none).collect()} == {0.5}
 
