@@ -19,11 +19,10 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _queries[f.__name__] = f
-        if oracle:
-            _sql[f.__name__] = oracle
+        _sql[f.__name__] = oracle
         return f
 
     return add
@@ -498,7 +497,10 @@ def q_sku_verify(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.sku_status(html, pages.page_sku(html), k).alias("status"))
 
 
-@query()
+@query("""WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS x FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(x, '<li[^>]*>', chr(10) || '• ', 'g'), '<br ?/?>|</p>|<p>|</li>|</h1>', chr(10), 'g') AS x FROM a),
+    l AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n+', chr(10), 'g') AS x FROM b)
+    SELECT page_id, coalesce(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '') AS text FROM l""")
 def q_structured_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.structured_text(c("html")).alias("text"))
 
