@@ -48,6 +48,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def text_digest(text_col: str = "text") -> Column:
+    """64 bits that tell texts of one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def bucket_of(n: int, *cols: str) -> Column:
     """0 to n - 1, by a hash of the columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

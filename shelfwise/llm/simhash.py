@@ -51,15 +51,19 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(total > half, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long; with `digest`, the text's digest too."""
+    plain = common.id_and_text(docs, id_col, text_col)
+    names = ["doc_id", "digest"] if digest else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x, words) for x in common.texts_of(batch["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(fp)], [*names, "fp"])
 
-    return common.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    if digest:
+        plain = plain.withColumn("digest", common.text_digest("text"))
+    return plain.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -172,22 +176,43 @@ def links(points: DataFrame, bits: int = 3) -> DataFrame:
     return met.distinct()
 
 
+def rooted(points: DataFrame, bits: int) -> DataFrame:
+    """points (fp, first_id) with the root of each fingerprint's component; only fingerprints with a link have one, the rest stand alone."""
+    roots = components(links(points, bits))
+    return points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def link_documents(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row doc_id, fingerprint (16 hex digits) and component_id."""
     marked = common.stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    points = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
-    roots = components(links(points, bits))
-    # only fingerprints with a link have a root; the rest stand alone
-    rooted = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
+    points = rooted(common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points"), bits)
+    least = points.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_fp = points.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_least(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each root of `decided` (doc_id, digest, root): the smallest id's (nulls last), then the smallest digest's.
+
+    A row is named by its id and its text's digest (`common.text_digest`), so rows of one id, or of none, are decided apart.
+    """
+    names = decided.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"))
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    gone = decided.join(names, "root").filter(~stays).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (common.text_digest(text_col) == F.col("__gone_digest"))
+    kept = docs.join(gone, same, "left_anti")
+    twice = decided.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
+    if not twice:
+        return kept
+    key = "__digest"
+    while key in docs.columns:
+        key = "_" + key
+    return kept.withColumn(key, common.text_digest(text_col)).dropDuplicates([id_col, key]).select(*docs.columns)
+
+
 def drop_near_copies(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, its smallest id; all columns as they were. Of rows that repeat with that id, one stays."""
-    linked = common.stored(link_documents(docs, words, bits, id_col, text_col), "linked")
-    gone = linked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    twice = linked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
-    return kept.dropDuplicates([id_col]) if twice else kept
+    """docs with one row of each component, by smallest id, then digest; all columns as they were. Rows that repeat id and text are one."""
+    marked = common.stored(fingerprints(docs, words, id_col, text_col, digest=True), "fingerprints")
+    points = rooted(common.stored(marked.select("fp").distinct(), "points"), bits)
+    decided = common.stored(marked.join(points.select("fp", "root"), "fp").select("doc_id", "digest", "root"), "linked")
+    return keep_least(docs, decided, id_col, text_col)

@@ -351,3 +351,14 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces} == set(left)
     assert sum(r.length for r in pieces) == sum(len(tok.encode(x, add_special_tokens=False).ids) + 1 for x in left.values())
     assert json.dumps(sorted({r.doc_tokens for r in pieces}))
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, c), (7, c + " "), (5, b + " x"), (9, d), (9, text()), (9, text()), (9, d)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), bits=1)
+    prints = [simple_fingerprint(x) for _, x in rows]
+    assert (prints[2] ^ prints[5]).bit_count() > 1  # b and its longer version are apart
+    assert by_id(kept) == sorted({(1, a), (None, b), (5, b + " x"), (7, c + " "), (9, d), *rows[7:9]}, key=repr)
