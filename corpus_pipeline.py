@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import common, exact_dedup, packing, pii, quality, simhash
+from shelfwise.llm import common, exact_dedup, near_copies, packing, pii, quality
 from shelfwise.llm.queries import RANKS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,9 +30,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
     common.tune(spark)
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

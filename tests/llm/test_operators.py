@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfwise.llm import attribution, bpe, common, exact_dedup, html_text, lm_score, packing, pii, quality, queries, simhash, topk
+from shelfwise.llm import attribution, bpe, common, exact_dedup, html_text, lm_score, near_copies, packing, pii, quality, queries, simhash, topk
 
 from ..conftest import SF
 
@@ -362,3 +362,42 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     prints = [simple_fingerprint(x) for _, x in rows]
     assert (prints[2] ^ prints[5]).bit_count() > 1  # b and its longer version are apart
     assert by_id(kept) == sorted({(1, a), (None, b), (5, b + " x"), (7, c + " "), (9, d), *rows[7:9]}, key=repr)
+
+
+def jaccard_groups(texts):
+    """Brute force: the groups that pairs of five-word similarity 0.8 or more connect, as smallest places."""
+    sets = []
+    for x in texts:
+        w = (x or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_pipeline_drops_planted_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    own = [[word() for _ in range(r.choice((64, 90, 300)))] for _ in range(60)]
+    hot = [word() for _ in range(80)]
+    texts = [" ".join(x) for x in own] + [None, "", " ", "two words", "Two  words"]
+    for k, x in enumerate(own):
+        for _ in range(1 + k % 3):  # one to eight changed words: on both sides of 0.8
+            y = list(x)
+            for at in r.sample(range(len(y)), 1 + k % 8):
+                y[at] = word()
+            texts.append(" ".join(y))
+    for _ in range(120):
+        y = list(hot)
+        y[r.randrange(80)] = word()
+        texts.append(" ".join(y))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, SF)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(jaccard_groups(texts)))
+    assert near_copies.drop(docs.limit(0)).count() == 0
