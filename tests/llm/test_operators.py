@@ -401,3 +401,17 @@ def test_pipeline_drops_planted_near_copies(spark):
     kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, SF)
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(jaccard_groups(texts)))
     assert near_copies.drop(docs.limit(0)).count() == 0
+
+
+def test_packing_neighbours_meet_across_shards(spark):
+    r = random.Random(9)
+    pool = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work number night point home water room mother area money story fact month lot right study book eye job word business issue side kind head house service friend father power hour game line end member law car city community name president team minute idea kid body information back parent face others level office door health person art war history party result change morning reason research girl guy moment air teacher force education".split()
+    topics = r.sample([(a, b, c) for a in pool[:40] for b in pool[40:70] for c in pool[70:]], 150)
+    texts = [" ".join(r.choice(topic) for _ in range(60)) for topic in topics for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shard = {x.doc_id: x.sequence_id >> 32 for x in packing.pack(docs, RANKS, shard_bytes=5000).collect()}
+    assert len(set(shard.values())) > 10
+    assert sum(shard[2 * k] == shard[2 * k + 1] for k in range(150)) > 75
+    held = packing.tokenised(common.id_and_text(docs), RANKS)
+    whole, parted = packing.Corpus.of([packing.encode(RANKS, x + "<|endoftext|>") for x in texts]), packing.statistics(held)
+    assert parted.n == 300 and parted.mean > 0 and parted.df[packing.END] == 300 and whole.n == parted.n
