@@ -85,15 +85,36 @@ _SPELLED = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\}|<at>
 _AT = re.compile(r"\(at\)|\[at\]|\{at\}|<at>|＠|@|\sdot\s", re.I)
 _HEX = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")
 _OCTETS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\)|\(dot\)|\[dot\])\s?[0-9]{1,3}){3}(?![0-9])", re.I)
-_NUMBER = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[ ().\-/_]{0,3}[0-9]){6,24}(?![0-9])")
+_GROUP = re.compile("[0-9]+")
+_BETWEEN = re.compile(r"[ ().\-/_+]{1,3}")
+#: Digits of a number: 7 to 19.
+FEWEST, MOST = 7, 19
+
+
+def numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Every span of whole groups of digits, joined by three separators at most, with 7 to 19 digits; from each group 13 at most."""
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    for k, (a, b) in enumerate(groups):
+        start = a
+        while start and a - start < 2 and text[start - 1] in "+(":
+            start -= 1
+        n = 0
+        for j in range(k, len(groups)):
+            if j > k and not (groups[j][0] - b <= 3 and _BETWEEN.fullmatch(text, b, groups[j][0])):
+                break
+            n, b = n + groups[j][1] - groups[j][0], groups[j][1]
+            if n > MOST:
+                break
+            if n >= FEWEST:
+                yield start, b
 
 
 def candidates(text: str) -> list[Span]:
     out = [(*m.span(), "email") for m in _SPELLED.finditer(text)] if _AT.search(text) else []
     if re.search("[0-9]", text):
         out += [(*m.span(), "ip") for p in (_OCTETS, _HEX) for m in p.finditer(text)] if "." in text or ":" in text else []
-        for m in _NUMBER.finditer(text):
-            out += [(*m.span(), "card"), (*m.span(), "phone")]
+        for span in numbers(text):
+            out += [(*span, "card"), (*span, "phone")]
     return out
 
 
@@ -106,6 +127,18 @@ _WORDS = {
 _AGAINST = ("order", "isbn", "version", "invoice", "item", "ref", "page", "serial", "no.", "id", "price", "total", "article", "date", "year")
 
 
+_DIGIT_BEFORE = re.compile(r"[0-9]([ ().\-/_+]{0,3})$")
+_DIGIT_AFTER = re.compile(r"([ ().\-/_+]{0,3})[0-9]")
+
+
+def edge(m: re.Match | None, inner: str) -> list[float]:
+    """How digits go on beside a candidate: not at all, by blanks, by another separator; and by one that it has within."""
+    if not m:
+        return [0, 0]
+    mark = m[1].strip() or m[1]
+    return [1 if not m[1].strip() else 2, mark[:1] in inner]
+
+
 def describe(text: str, span: Span) -> list[float]:
     """A candidate's format and the 30 characters on both sides."""
     a, b, kind = span
@@ -119,6 +152,8 @@ def describe(text: str, span: Span) -> list[float]:
         any(w in before for w in _WORDS[kind]), any(w in before for w in _AGAINST), before[-1:] in "$€£#", after[:1] in "%€$£",
         all(len(g) < 4 and int(g) <= 255 for g in groups[:4]), any(c.isalpha() for c in s), before[-2:].strip()[-1:] == ":",
         bool(re.fullmatch(r"(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}.*|[0-9]{1,2}[-./][0-9]{1,2}[-./](19|20)[0-9]{2}.*", s)), len({*map(len, groups)}),
+        *edge(_DIGIT_BEFORE.search(before), s), *edge(_DIGIT_AFTER.match(after), s),
+        bool(re.match(r"(19|20)[0-9]{2}[-./][0-9]{2}(?![0-9])", s)), [*map(len, groups[-3:])] == [3, 3, 4], len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0,
     ]
 
 
@@ -143,7 +178,7 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, rounds: int = 40) -> Trees:
+    def fit(cls, x: np.ndarray, y: np.ndarray, rounds: int = 100) -> Trees:
         model = cls(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), [])
         cuts = [(u[1:] + u[:-1]) / 2 if (u := np.unique(c)).size < 24 else np.unique(np.quantile(c, np.linspace(0.03, 0.97, 24))) for c in x.T]
         z = np.full(len(y), model.start)
@@ -207,21 +242,45 @@ def drawn(seed: int, n: int) -> Iterator[tuple[str, Span, bool]]:
         "email": lambda: r.choice((f"{word()} at {word()}.{word()}", f"{word()} at {word()} . {word()}", f"{word()} @ {word()}.{word()}")),
     }
     real = {"card": lambda: card(True), "phone": phone, "ip": ip, "email": email}
+    beside = lambda: r.choice((phone(), phone(), card(True), f"20{num(2)}-{num(2)}-{num(2)}", ".".join(str(r.randint(1, 255)) for _ in range(4)), num(r.randint(1, 9))))
+    fours = lambda s: " ".join(re.findall("[0-9]{1,4}", digits_of(s)))
     for k in range(n):
         kind, good = KINDS[k % 4], k // 4 % 2 == 0
         s = real[kind]() if good else other[kind]()
+        left = right = ""
+        if kind in ("card", "phone") and r.random() < 0.4:  # numbers side by side; a part of one, or of both, is none
+            s = real[kind]()
+            if kind == "card" and r.random() < 0.5:
+                s = fours(s)
+            near = r.choice((beside, real[kind]))()
+            if kind == "card" and " " in s and r.random() < 0.5:
+                near = fours(card(True))
+            if kind == "phone" and r.random() < 0.5:  # of one format
+                near = "".join(num(1) if c.isdigit() else c for c in s)
+            sep = r.choice((" ", " ", "  ", " / ", " - "))
+            left, right = r.choice(((near + sep, ""), ("", sep + near), ("", "")))
+            if not good:
+                whole, at = left + s + right, len(left)
+                wrong = [x for x in numbers(whole) if x != (at, at + len(s)) and x != (len(whole) - len(near), len(whole)) and x != (0, len(near))]
+                if kind == "card":
+                    wrong = [x for x in wrong if not luhn(digits_of(whole[slice(*x)]))] or wrong
+                if wrong:
+                    a, b = r.choice(wrong)
+                    left, s, right = whole[:a], whole[a:b], whole[b:]
+                else:
+                    s, left, right = other[kind](), "", ""
         # digits without a telling format count as personal only after a word that says so
         vague = kind == "phone" and good and re.fullmatch(r"[0-9]{3}[. ][0-9]{3}[. ][0-9]{4}", s)
-        hint = r.choice(_WORDS[kind]) if vague or r.random() < (0.4 if good else 0.05) else r.choice(_AGAINST) if not good and r.random() < 0.5 else word()
-        before = " ".join(word() for _ in range(3)) + f" {hint}{r.choice((' ', ': '))}"
-        yield before + s + " " + word(), (len(before), len(before) + len(s), kind), good
+        hint = r.choice(_WORDS[kind]) if vague or r.random() < (0.4 if good or left or right else 0.05) else r.choice(_AGAINST) if not good and r.random() < 0.5 else word()
+        before = " ".join(word() for _ in range(3)) + f" {hint}{r.choice((' ', ': '))}" + left
+        yield before + s + right + " " + word(), (len(before), len(before) + len(s), kind), good
 
 
 @cache
 def trained() -> dict[str, tuple[Trees, float]]:
     """By kind: the trees, and the lowest threshold (0.5 at least) at which 99.5 % of what is selected from a second draw is right."""
     out = {}
-    sets = [[(describe(t, s), s[2], y) for t, s, y in drawn(seed, 4000)] for seed in (11, 12)]
+    sets = [[(describe(t, s), s[2], y) for t, s, y in drawn(seed, 10_000)] for seed in (11, 12)]
     for kind in KINDS:
         (x, y), (cx, cy) = ((np.array([f for f, k, _ in rows if k == kind], float), np.array([v for _, k, v in rows if k == kind], float)) for rows in sets)
         model = Trees.fit(x, y)
@@ -269,7 +328,7 @@ def all_spans(text: str, models: dict[str, tuple[Trees, float]] | None = None) -
             p = model.score(np.array([describe(text, c) for c in own], float))
             chosen += [(s, c) for s, c in zip(p.tolist(), own) if s >= threshold]
     added: list[Span] = []
-    for _, c in sorted(chosen, key=lambda x: (-x[0], x[1])):
+    for _, c in sorted(chosen, key=lambda x: (-x[0], x[1][0], -x[1][1], x[1][2])):
         if not taken.meets(c[0], c[1]):
             taken.add(c[0], c[1])
             added.append(c)

@@ -415,3 +415,20 @@ def test_packing_neighbours_meet_across_shards(spark):
     held = packing.tokenised(common.id_and_text(docs), RANKS)
     whole, parted = packing.Corpus.of([packing.encode(RANKS, x + "<|endoftext|>") for x in texts]), packing.statistics(held)
     assert parted.n == 300 and parted.mean > 0 and parted.df[packing.END] == 300 and whole.n == parted.n
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("192.168.1.10 555-123-4567", "[IP] [PHONE]"),
+        ("555-123-4567 555-987-6543", "[PHONE] [PHONE]"),
+        ("2024-01-02 555-123-4567", "2024-01-02 [PHONE]"),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", "[CARD] [CARD]"),
+        ("4111 1111 1111 1111 555-123-4567", "[CARD] [PHONE]"),
+        ("tel 555 123 4567 555 987 6543", "tel [PHONE] [PHONE]"),
+        ("phone: 555.123.4567 / 555.987.6543", "phone: [PHONE] / [PHONE]"),
+        ("order 2024-01-02 2024-03-05", "order 2024-01-02 2024-03-05"),
+    ],
+)
+def test_pii_of_numbers_side_by_side(text, want):
+    assert pii.redact_text(text) == want
