@@ -54,10 +54,10 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "content", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "parent", "content", "noise", "chars", "tags", "link_chars", "links", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.content = tag, parent, []
+        self.tag, self.parent, self.content, self.noise = tag, parent, [], False
 
 
 def is_noise(tag: str, attributes: str, parent: Node) -> bool:
@@ -86,14 +86,28 @@ def path(node: Node | None) -> Iterator[Node]:
 
 def parse(html: str) -> Node:
     """The tree of what isn't noise: a node's content is strings and nodes in order."""
+    root = tree(html)
+    prune(root)
+    return root
+
+
+def prune(root: Node) -> None:
+    """Takes noise out; what is a block leaves a rule, as it still parts the text around it."""
+    for n in in_order(root):
+        if any(isinstance(c, Node) and c.noise for c in n.content):
+            n.content = [c if isinstance(c, str) or not c.noise else Node("hr", n) for c in n.content if isinstance(c, str) or not c.noise or c.tag in BLOCK]
+
+
+def tree(html: str) -> Node:
+    """The tree of all elements, in which what is noise is marked; noise ends where any element would."""
     root = Node("body", None)
-    at, now, skip, end = 0, root, [], len(html)
+    at, now, end = 0, root, len(html)
 
     def close(tags: set[str], until: set[str]) -> None:
         """Closes open elements up to the outermost of `tags`, but none beyond an element of `until`."""
         nonlocal now
         n, found = now, None
-        while n is not root and n.tag not in until:
+        while n is not root and n.tag not in until and not (n.noise and (n.tag in NOISE or n.tag not in BLOCK)):
             if n.tag in tags:
                 found = n
             n = n.parent
@@ -104,7 +118,7 @@ def parse(html: str) -> Node:
     while at < end:
         m = scan(html, at)
         text = html[at : m.start() if m else end]
-        if text and not skip:
+        if text:
             now.content.append(entities.unescape(text) if "&" in text else text)
         if not m:
             break
@@ -112,31 +126,13 @@ def parse(html: str) -> Node:
         if m[2] is None:
             continue
         tag, closing, attributes = m[2].lower(), m[1], m[3]
-        if skip:  # inside noise only its own element counts
-            if tag == skip[0]:
-                if closing:
-                    skip.pop()
-                elif tag not in VOID and not attributes.endswith("/"):
-                    skip.append(tag)
-            elif tag in ("article", "main") and not closing and skip[0] not in ("article", "main") and tag != skip[0] and skip[0] in ("p", "li"):
-                skip.clear()
-            if skip:
-                continue
-            if closing:
-                continue
         if closing:
-            if tag == "p" or tag in BLOCK:
-                n = now
-                while n is not root and n.tag != tag:
-                    n = n.parent
-                if n is not root:
-                    now = n.parent
-            else:
-                n = now
-                while n is not root and n.tag != tag and n.tag not in BLOCK:
-                    n = n.parent
-                if n.tag == tag and n is not root:
-                    now = n.parent
+            n, blocked = now, False
+            while n is not root and not (n.tag == tag and (tag in BLOCK or n.noise or not blocked)):
+                blocked = blocked or n.tag in BLOCK
+                n = n.parent
+            if n is not root:
+                now = n.parent
             continue
         if tag in ("html", "body"):
             continue
@@ -154,15 +150,10 @@ def parse(html: str) -> Node:
             elif tag == "hr":
                 now.content.append(Node("hr", now))
             continue
-        if is_noise(tag, attributes, now):
-            if tag in BLOCK:
-                now.content.append(Node("hr", now))  # it still parts the text around it
-            if not attributes.endswith("/"):
-                skip.append(tag)
-            continue
         child = Node(tag, now)
+        child.noise = is_noise(tag, attributes, now)
         now.content.append(child)
-        if not attributes.endswith("/") or tag in BLOCK:
+        if not attributes.endswith("/") or tag in BLOCK and not child.noise:
             now = child
     return root
 

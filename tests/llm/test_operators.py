@@ -432,3 +432,16 @@ def test_packing_neighbours_meet_across_shards(spark):
 )
 def test_pii_of_numbers_side_by_side(text, want):
     assert pii.redact_text(text) == want
+
+
+def test_html_noise_without_its_end_tag():
+    for page in (
+        '<article><p class="ad">Buy<p>One</p><p>Two</p></article>',
+        '<article><p>One</p><p class="ad">Buy</article><p>Two</p>',
+        "<div><ul><li class=ad>Buy<li>One<li>Two</ul></div>",
+        '<article><p>One</p><div class="ad">Buy<p>More</article><article><p>Two</p></article>',
+        "<table><tr><td class=ad>Buy<td>One<tr><td>Two</table>",
+        "<div><p>One<noscript><div>Buy</div></noscript><p>Two</div>",
+    ):
+        assert html_text.blocks_of([html_text.parse(page)]) == ["One", "Two"], page
+    assert html_text.main_text('<article><p class="ad">Buy<p>One</p><p>Two</p></article>') == "One\n\nTwo"
