@@ -7,9 +7,10 @@ A page becomes a tree of elements (unclosed and misplaced tags are repaired as b
 
 with zeros taken as one: text per tag, adjusted for links. A node's sum is that of its block children's densities; the
 node with the largest sum is the page's content. The lowest density on the path from the body to it is a threshold, and
-blocks beside that path which reach it belong to the content too, as does the heading before it. What is a menu, header,
-footer, sidebar, notice, advert, form, script, style or comment section by its element, role, class or id is taken out
-beforehand, wherever it lies.
+blocks beside that path which reach it belong to the content too, as do paragraphs, bare text and inline elements beside
+the path that aren't mostly links, and the heading before it. What is a menu, header, footer, sidebar, notice, advert,
+form, script, style or comment section by its element, role, class or id is taken out beforehand, wherever it lies; but
+what is so by class or id only stays if it wraps the page's main part (`spare`).
 
 Text comes block by block in page order, with white space (and <br>) as one space within a block, trimmed, joined by two
 line feeds; preformatted text is treated likewise. Nothing else is dropped or cut.
@@ -57,25 +58,30 @@ class Node:
     __slots__ = ("tag", "parent", "content", "noise", "chars", "tags", "link_chars", "links", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.content, self.noise = tag, parent, [], False
+        self.tag, self.parent, self.content, self.noise = tag, parent, [], 0
 
 
-def is_noise(tag: str, attributes: str, parent: Node) -> bool:
+#: How an element is noise: by its element, role or hiding, or only by a word in its class or id.
+SURE, NAMED = 2, 1
+
+
+def is_noise(tag: str, attributes: str, parent: Node) -> int:
     if tag in NOISE:
-        return True
+        return SURE
     if tag == "header":  # an article's own header has its heading
-        return not any(n.tag in ("article", "main") for n in path(parent))
+        return 0 if any(n.tag in ("article", "main") for n in path(parent)) else SURE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    named = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
         if name == "role" and value.lower().strip() in ROLES:
-            return True
+            return SURE
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return SURE
         if name in ("class", "id") and not WORDS.isdisjoint(_TOKENS.findall(_CAMEL.sub(" ", value).lower())) and (tag in BLOCK or tag not in ("a", "b", "i", "em", "strong", "span")):
-            return True
-    return False
+            named = NAMED
+    return named
 
 
 def path(node: Node | None) -> Iterator[Node]:
@@ -93,11 +99,45 @@ def parse(html: str) -> Node:
 
 def prune(root: Node) -> None:
     """Takes noise out; what is a block leaves a rule, as it still parts the text around it."""
+    spare(root)
     for n in in_order(root):
         if any(isinstance(c, Node) and c.noise for c in n.content):
             n.content = [c if isinstance(c, str) or not c.noise else Node("hr", n) for c in n.content if isinstance(c, str) or not c.noise or c.tag in BLOCK]
 
 
+def spare(root: Node) -> None:
+    """What is noise only by its name stays if it wraps the page's main part.
+
+    That is so if it holds a main, article or h1 and there is none beside noise, or if most of the text outside links is
+    in it and there is no main or article beside noise. What such a wrapper holds is judged alike, by what lies in it.
+    """
+    order = in_order(root)
+    if not any(n.noise == NAMED for n in order):
+        return
+    holds: dict[int, set[str]] = {}
+    chars: dict[int, int] = {}
+    for n in reversed(order):
+        kids = [c for c in n.content if isinstance(c, Node) and c.noise != SURE]
+        holds[id(n)] = {n.tag} & {"main", "article", "h1"} | set().union(*(holds[id(c)] for c in kids))
+        chars[id(n)] = 0 if n.tag == "a" else sum(len("".join(c.split())) for c in n.content if isinstance(c, str)) + sum(chars[id(c)] for c in kids)
+    scopes = [root]
+    while scopes:
+        scope = scopes.pop()
+        free, named = set(), []
+        stack = [c for c in scope.content if isinstance(c, Node)]
+        while stack:
+            n = stack.pop()
+            if n.noise == NAMED:
+                named.append(n)
+            elif not n.noise:
+                free |= {n.tag} & {"main", "article", "h1"}
+                stack += [c for c in n.content if isinstance(c, Node)]
+        for n in named:
+            if holds[id(n)] and not free or 2 * chars[id(n)] > chars[id(root)] and not free & {"main", "article"}:
+                n.noise = 0
+                scopes.append(n)
+
+
 def tree(html: str) -> Node:
     """The tree of all elements, in which what is noise is marked; noise ends where any element would."""
     root = Node("body", None)
@@ -205,15 +245,40 @@ def content(root: Node) -> list[Node]:
     way = list(path(best))[::-1]
     least = min(n.density for n in way)
     out: list[Node] = []
+    after: list[list[Node]] = []
     for n, down in zip(way, way[1:]):
         kids = [k for k in n.content if isinstance(k, Node)]
         at = next(i for i, k in enumerate(kids) if k is down)
-        beside = [k.tag in BLOCK and k.density >= least and k.chars > 0 and k.link_chars < k.chars / 2 for k in kids]
+        taken = {id(k) for k in kids if k.tag in BLOCK and (k.density >= least or k.tag == "p") and k.chars > 0 and k.link_chars < k.chars / 2}
         if at and re.fullmatch("h[1-6]|header|hgroup", kids[at - 1].tag):
-            beside[at - 1] = True
-        out += [k for k, take in zip(kids, beside) if take and k is not down]
-    chosen = {id(k) for k in [*out, best]}
-    return [n for n in nodes if id(n) in chosen]
+            taken.add(id(kids[at - 1]))
+        sides: tuple[list[Node], list[Node]] = [], []
+        run: list[str | Node] = []
+        passed = 0
+        for k in [*n.content, None]:
+            if isinstance(k, str) or k is not None and k is not down and k.tag not in BLOCK:
+                run.append(k)
+                continue
+            if inline := inline_text(run, n):
+                sides[passed].append(inline)
+            run = []
+            if k is down:
+                passed = 1
+            elif k is not None and id(k) in taken:
+                sides[passed].append(k)
+        out += sides[0]
+        after.append(sides[1])
+    return [*out, best, *(k for side in reversed(after) for k in side)]
+
+
+def inline_text(run: list[str | Node], parent: Node) -> Node | None:
+    """Bare text and inline elements between blocks, as one part, unless it is empty or half of it or more is links."""
+    text = sum(len(" ".join(k.split())) if isinstance(k, str) else k.chars for k in run)
+    if not text or 2 * sum(k.link_chars for k in run if isinstance(k, Node)) >= text:
+        return None
+    part = Node("span", parent)
+    part.content = run
+    return part
 
 
 def blocks_of(parts: list[Node]) -> list[str]:

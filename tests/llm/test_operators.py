@@ -445,3 +445,23 @@ def test_html_noise_without_its_end_tag():
     ):
         assert html_text.blocks_of([html_text.parse(page)]) == ["One", "Two"], page
     assert html_text.main_text('<article><p class="ad">Buy<p>One</p><p>Two</p></article>') == "One\n\nTwo"
+
+
+def test_html_wrappers_named_like_noise_keep_the_page():
+    body = "<h1>Title</h1><p>One paragraph that is long enough to count as text.</p><p>Two</p>"
+    want = "Title\n\nOne paragraph that is long enough to count as text.\n\nTwo"
+    for a, b in (
+        ('<div class="content has-sidebar"><article>', '</article><div class="sidebar"><p>Side text here</p></div></div>'),
+        ('<div class="post comments-open">', '<div class="comments"><p>Nice post</p></div></div>'),
+        ('<div class="page-sidebar"><div id="main-widget"><main>', '</main></div></div><div class="related"><article>Teaser</article></div>'),
+    ):
+        assert html_text.main_text(f"<body>{a}{body}{b}</body>") == want, a
+    bare = '<div id=logo><h1>Site</h1></div><div class="post comments-open"><p>Long text without a heading, but most of the page.</p></div>'
+    assert "most of the page" in html_text.main_text(bare)
+    comments = '<article><p>Short text.</p></article><div class="comments"><article class="comment"><p>A comment much longer than the text of the page itself.</p></article></div>'
+    assert html_text.main_text(comments) == "Short text."
+
+
+def test_html_keeps_bare_text_beside_the_content():
+    page = '<body>Lead <b>text</b> first<div><p>Ok</p><div><p>One paragraph that is long enough to be the content.</p><p>Another one that is long enough to be so.</p></div>tail <i>words</i></div><a href=x>Home</a> <a href=y>Next</a></body>'
+    assert html_text.main_text(page) == "Lead text first\n\nOk\n\nOne paragraph that is long enough to be the content.\n\nAnother one that is long enough to be so.\n\ntail words"
