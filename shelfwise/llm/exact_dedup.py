@@ -61,7 +61,10 @@ def summaries(batches: Iterator[pa.RecordBatch], most: int) -> dict[bytes, int]:
 
 
 def heavy_candidates(digested: DataFrame, most: int = COUNTERS, fan_in: int = 32) -> DataFrame:
-    """At most `most` digests; every digest with over 1 / (most + 1) of the rows is one of them. fan_in summaries are merged at a time."""
+    """At most `most` digests; every digest with over 1 / (most + 1) of the rows is one of them. fan_in summaries are merged at a time.
+
+    A shuffle parts the levels: each task summarises its own rows, and only summaries move.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = summaries(batches, most)
@@ -71,7 +74,7 @@ def heavy_candidates(digested: DataFrame, most: int = COUNTERS, fan_in: int = 32
     parts = digested.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // fan_in)
-        level = level.coalesce(parts).mapInArrow(run, "digest binary, n long")
+        level = level.repartition(parts).mapInArrow(run, "digest binary, n long")
     return level
 
 

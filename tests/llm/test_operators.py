@@ -465,3 +465,9 @@ def test_html_wrappers_named_like_noise_keep_the_page():
 def test_html_keeps_bare_text_beside_the_content():
     page = '<body>Lead <b>text</b> first<div><p>Ok</p><div><p>One paragraph that is long enough to be the content.</p><p>Another one that is long enough to be so.</p></div>tail <i>words</i></div><a href=x>Home</a> <a href=y>Next</a></body>'
     assert html_text.main_text(page) == "Lead text first\n\nOk\n\nOne paragraph that is long enough to be the content.\n\nAnother one that is long enough to be so.\n\ntail words"
+
+
+def test_heavy_candidates_part_their_levels_by_shuffles(spark):
+    df = spark.createDataFrame([(k, b"%d" % (k % 7)) for k in range(100)], "doc_id long, digest binary").repartition(40)
+    plan = exact_dedup.heavy_candidates(df, most=9, fan_in=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 4 and "Coalesce" not in plan  # 40 partitions, then 10, 3 and 1
