@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (as in tests on one machine), a temporary folder."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary folder on one machine (local mode), an error on a cluster."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="shelfwise-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -26,16 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder, read again: the lineage ends there, and a lost executor costs nothing of it."""
+    """df as a table in the shared folder, read again: the lineage ends there, and a lost executor costs nothing of it.
+
+    The table stays for as long as results may read it; `forget` deletes one that nothing reads any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` wrote, once what was made of them is stored itself."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of at most 2000 rows, so that a batch of long texts fits in a Python worker."""
+    """Arrow batches of at most 2000 rows and 16 MB, so that a batch of long texts fits in a Python worker. Holds for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

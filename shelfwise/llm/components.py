@@ -18,7 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = common.stored(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges"
     )
-    labels = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    held = labels = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     for _ in range(most_rounds):
         # the smallest root among the neighbours of each node
         seen = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
@@ -32,7 +32,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             step.join(over, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("was")), "labels"
         )
         changed = after.filter("root <> was").limit(1).count()
-        labels = after.select("node", "root")
+        common.forget(held)
+        held, labels = after, after.select("node", "root")
         if not changed:
+            common.forget(both)
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -6,12 +6,15 @@ each, 32 in all): the Manhattan distance of two such vectors never exceeds their
 vector, one differs by bits // 2 at most, so each half is a grid with cells of side one and a range of that radius: a
 point goes to its own cell, and points of even sum go to the adjacent cells too (for radius one, points at distance one
 differ in parity, so either both share a cell or exactly one of them is even). What meets in a cell is verified by the
-exact distance of the 64 bits, and each cell hands on a spanning forest of its links, not all pairs.
+exact distance of the 64 bits, and each cell hands on a spanning forest of its links, not all pairs. A cell of too many
+fingerprints for a task is compared as pairs of its blocks.
+
+The operator's own way to drop near copies of documents, by five-word similarity, is in `near_copies`.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle of them all; copies share a fingerprint and are joined once; component_id is the
 smallest doc_id reachable (nulls last); rows that repeat get the same answer each; an empty table gives an empty result;
-further columns are ignored by `link_documents` and returned by `drop_near_copies`.
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,39 +34,42 @@ SEGMENT = 2
 SEED = 42
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Fixed by contract: A-Z lower-cased, words between ASCII white space, shingles joined by a space, XXH64 of seed 42."""
+def shingle_hashes(text: str, words: int = 3) -> np.ndarray:
+    """Fixed by contract: A-Z lower-cased, words between ASCII white space, shingles joined by a space, XXH64 of seed 42; repeats included."""
     parts = text.encode().lower().split()
     if not parts:
-        return 0
-    joined = b" ".join(parts)
-    n = len(parts) - words + 1
+        return np.empty(0, np.uint64)
+    joined, n = b" ".join(parts), len(parts) - words + 1
+    digest = xxhash.xxh64_intdigest
     if n < 2:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = np.concatenate([[0], ends[: n - 1]])
-    digest = xxhash.xxh64_intdigest
-    total, half = np.zeros(64, np.int64), n / 2
-    pairs = list(zip(starts.tolist(), (ends[words - 1 :] - 1).tolist()))
-    for at in range(0, n, 20_000):
-        h = np.array([digest(joined[a:b], SEED) for a, b in pairs[at : at + 20_000]], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total > half, bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())), np.uint64, n)
+
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, hashes.size, 20_000):
+        bits = np.unpackbits(hashes[at : at + 20_000].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > hashes.size, bitorder="little").view("<u8")[0])
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long; with `digest`, the text's digest too."""
-    plain = common.id_and_text(docs, id_col, text_col)
-    names = ["doc_id", "digest"] if digest else ["doc_id"]
+
+def fingerprint(text: str, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
+
+
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x, words) for x in common.texts_of(batch["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(fp)], [*names, "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp)], ["doc_id", "fp"])
 
-    if digest:
-        plain = plain.withColumn("digest", common.text_digest("text"))
-    return plain.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
+    return common.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -141,7 +147,30 @@ def verify(cell: np.ndarray, fp: np.ndarray, bits: int, small: int = 24) -> tupl
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def links(points: DataFrame, bits: int = 3) -> DataFrame:
+#: A grid cell of more fingerprints than this is compared as pairs of blocks of half as many, in as many tasks.
+MOST_IN_CELL = 4096
+
+
+def parted_cells(grid: DataFrame, most: int) -> DataFrame:
+    """grid (cell, fp) in which each cell of over `most` rows is replaced by a cell for each pair of its blocks.
+
+    A block has about most / 2 rows, by a hash of the fingerprint, and goes to as many pairs as the cell has blocks. So
+    every two fingerprints of a cell still meet, and no task holds more than two blocks.
+    """
+    hot = common.stored(grid.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > most), "hot-cells")
+    if not hot.limit(1).count():
+        return grid
+    blocks = F.ceil(2 * F.col("n") / most).cast("int")
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
+    pairs = (
+        grid.join(hot, "cell").withColumn("blocks", blocks).withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
+    )
+    return grid.join(hot, "cell", "left_anti").unionByName(pairs)
+
+
+def links(points: DataFrame, bits: int = 3, most: int = MOST_IN_CELL) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect all that links of `bits` bits connect."""
     radius = bits // 2
 
@@ -171,48 +200,18 @@ def links(points: DataFrame, bits: int = 3) -> DataFrame:
         if held_cell:
             yield out(np.concatenate(held_cell), np.concatenate(held_fp))
 
-    grid = points.select("fp").mapInArrow(spread, "cell long, fp long")
+    grid = parted_cells(points.select("fp").mapInArrow(spread, "cell long, fp long"), most)
     met = grid.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long")
     return met.distinct()
 
 
-def rooted(points: DataFrame, bits: int) -> DataFrame:
-    """points (fp, first_id) with the root of each fingerprint's component; only fingerprints with a link have one, the rest stand alone."""
-    roots = components(links(points, bits))
-    return points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
 def link_documents(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row doc_id, fingerprint (16 hex digits) and component_id."""
     marked = common.stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    points = rooted(common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points"), bits)
-    least = points.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = points.join(least, "root").select("fp", "component_id")
+    points = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
+    roots = components(links(points, bits)).withColumnRenamed("node", "fp")
+    # only fingerprints with a link have a root; the rest stand alone
+    rooted = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_fp = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_least(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each root of `decided` (doc_id, digest, root): the smallest id's (nulls last), then the smallest digest's.
-
-    A row is named by its id and its text's digest (`common.text_digest`), so rows of one id, or of none, are decided apart.
-    """
-    names = decided.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"))
-    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
-    gone = decided.join(names, "root").filter(~stays).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (common.text_digest(text_col) == F.col("__gone_digest"))
-    kept = docs.join(gone, same, "left_anti")
-    twice = decided.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
-    if not twice:
-        return kept
-    key = "__digest"
-    while key in docs.columns:
-        key = "_" + key
-    return kept.withColumn(key, common.text_digest(text_col)).dropDuplicates([id_col, key]).select(*docs.columns)
-
-
-def drop_near_copies(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, by smallest id, then digest; all columns as they were. Rows that repeat id and text are one."""
-    marked = common.stored(fingerprints(docs, words, id_col, text_col, digest=True), "fingerprints")
-    points = rooted(common.stored(marked.select("fp").distinct(), "points"), bits)
-    decided = common.stored(marked.join(points.select("fp", "root"), "fp").select("doc_id", "digest", "root"), "linked")
-    return keep_least(docs, decided, id_col, text_col)

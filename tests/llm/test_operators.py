@@ -228,12 +228,12 @@ def test_simhash(docs, empty, rows):
     want = [(rows[k][0], f"{prints[k]:016x}", least[root[k]]) for k in range(n)]
     assert by_id(simhash.link_documents(docs)) == sorted(want, key=repr)
     assert simhash.link_documents(empty).count() == 0
-    kept = simhash.drop_near_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(root))
+    kept = near_copies.drop(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(jaccard_groups([x for _, x, *_ in rows])))
 
 
-@pytest.mark.parametrize("bits", [1, 3])
-def test_simhash_links_lose_nothing(spark, bits):
+@pytest.mark.parametrize("bits, most", [(1, 4096), (3, 4096), (3, 8)])
+def test_simhash_links_lose_nothing(spark, bits, most):
     r = random.Random(bits)
     centres = [r.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
     prints = {c for c in centres}
@@ -256,7 +256,7 @@ def test_simhash_links_lose_nothing(spark, bits):
             if a < b and (a ^ b).bit_count() <= bits:
                 label[max(top(a), top(b))] = min(top(a), top(b))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    edges = simhash.links(spark.createDataFrame([(signed(p),) for p in points], "fp long"), bits)
+    edges = simhash.links(spark.createDataFrame([(signed(p),) for p in points], "fp long"), bits, most)
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
     groups, want = {}, {}
     for p in points:
@@ -343,7 +343,10 @@ def test_pipeline(spark):
         if name == "exact_dedup":
             assert after.count() == len({(r.text or "").encode().lower() for r in docs.collect()})
         if name == "simhash":
-            assert after.count() == simhash.link_documents(docs).select("component_id").distinct().count()
+            before = sorted((r.doc_id, r.text) for r in docs.collect())
+            first = dict(zip(reversed(jaccard_groups([x for _, x in before])), reversed([i for i, _ in before])))
+            least = {g: min(i for (i, _), h in zip(before, jaccard_groups([x for _, x in before])) if h == g) for g in first}
+            assert {r.doc_id for r in after.collect()} == set(least.values())
         docs = after
     left = {r.doc_id: r.text for r in docs.collect()}
     tok = Tokenizer.from_file(JSON)
@@ -358,10 +361,27 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
     a, b, c, d = (text() for _ in range(4))
     rows = [(1, a), (None, a), (None, b), (None, c), (7, c + " "), (5, b + " x"), (9, d), (9, text()), (9, text()), (9, d)]
-    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), bits=1)
-    prints = [simple_fingerprint(x) for _, x in rows]
-    assert (prints[2] ^ prints[5]).bit_count() > 1  # b and its longer version are apart
-    assert by_id(kept) == sorted({(1, a), (None, b), (5, b + " x"), (7, c + " "), (9, d), *rows[7:9]}, key=repr)
+    kept = near_copies.drop(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_id(kept) == sorted({(1, a), (5, b + " x"), (7, c + " "), (9, d), *rows[7:9]}, key=repr)
+
+
+def test_near_copies_in_blocks(spark):
+    """Groups whose smallest member is near to none of the others, in several blocks."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(200)]
+        for k in range(40):  # changes at places of its own, so most pairs lie about 0.8
+            y = list(base)
+            for at in r.sample(range(200), 3 + k % 6):
+                y[at] = word()
+            texts.append(" ".join(y))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = jaccard_groups(texts)
+    for size in (5000, 1 << 24):
+        roots = {x.doc_id: x.root for x in near_copies.decide(docs, block_bytes=size).collect()}
+        assert len(set(zip(groups, (roots[k] for k in range(len(texts)))))) == len(set(groups)) == len(set(roots.values()))
 
 
 def jaccard_groups(texts):
