@@ -9,8 +9,8 @@ with zeros taken as one: text per tag, adjusted for links. A node's sum is that
 node with the largest sum is the page's content. The lowest density on the path from the body to it is a threshold, and
 blocks beside that path which reach it belong to the content too, as do paragraphs, bare text and inline elements beside
 the path that aren't mostly links, and the heading before it. What is a menu, header, footer, sidebar, notice, advert,
-form, script, style or comment section by its element, role, class or id is taken out beforehand, wherever it lies; but
-what is so by class or id only stays if it wraps the page's main part (`spare`).
+form, script, style or comment section by its element, role, class or id is taken out beforehand, wherever it lies; a class
+or id must name the element itself (`names_noise`), and what is so named still stays if it wraps the page's main part (`spare`).
 
 Text comes block by block in page order, with white space (and <br>) as one space within a block, trimmed, joined by two
 line feeds; preformatted text is treated likewise. Nothing else is dropped or cut.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,23 +43,79 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
-#: What is never main text: elements, roles, and words in a class or id.
+#: What is never main text: elements, roles, and names of classes and ids.
 NOISE = frozenset("nav aside footer form script style template noscript iframe object embed svg canvas button input select textarea dialog menu head title link meta audio video map search xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promotion related recommended respond replies reply share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget alert".split()
 )
-_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Words that may stand beside these in a name without changing what it names.
+BESIDE = frozenset(
+    "area bar bottom box block center column container desktop fixed floating global group icons inner item left left links list main mobile outer page posts primary right row secondary section signup site slot sticky top unit widgets wrap wrapper zone buttons side large small".split()
+)
+#: Words that name an element whatever comes before them, unless that says what it has or lacks.
+HEADS = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comments disqus footer nav navbar navigation newsletter sidebar".split())
+HAS = frozenset("has with no without is show hide hides not".split())
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKENS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def names_noise(name: str) -> bool:
+    """Whether a class or id names what is never main text, as itself and not as a part of something else (`has-sidebar`, `notice-period`)."""
+    parts = _TOKENS.findall(_CAMEL.sub(" ", name).lower())
+    if not parts or WORDS.isdisjoint(parts):
+        return False
+    return all(p in WORDS or p in BESIDE for p in parts) or parts[-1] in HEADS and HAS.isdisjoint(parts)
+
+
+def tags_of(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag in order; comments and declarations have no name. In time proportional to the page.
+
+    A tag ends at the first > outside quotes. Where quotes don't close, they count no more from there on, and what begins
+    like a tag but has no > after it is text.
+    """
+    at, last, quotes = html.find("<"), html.rfind(">"), True
+    while 0 <= at:
+        end = 0
+        if html.startswith("<!--", at):
+            stop = html.find("-->", at + 4)
+            end = stop + 3 if stop >= 0 else len(html)
+            yield at, end, "", False, ""
+        elif at > last:
+            return
+        elif html[at + 1 : at + 2] in ("!", "?"):
+            end = html.find(">", at) + 1
+            yield at, end, "", False, ""
+        else:
+            closing = html[at + 1 : at + 2] == "/"
+            m = _NAME.match(html, at + 1 + closing)
+            if m:
+                k = m.end()
+                while quotes:
+                    stop = _STOP.search(html, k)
+                    if not stop:
+                        quotes = False
+                    elif stop[0] == ">":
+                        end = stop.end()
+                        break
+                    elif (k := html.find(stop[0], stop.end()) + 1) == 0:
+                        quotes = False
+                end = end or html.find(">", m.end()) + 1
+                yield at, end, m[0].lower(), closing, html[m.end() : end - 1]
+        at = html.find("<", max(end, at + 1))
+
+
 class Node:
-    __slots__ = ("tag", "parent", "content", "noise", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "parent", "content", "noise", "inside", "chars", "tags", "link_chars", "links", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.content, self.noise = tag, parent, [], 0
+        #: whether it lies in an article or main
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
 
 #: How an element is noise: by its element, role or hiding, or only by a word in its class or id.
@@ -69,7 +126,7 @@ def is_noise(tag: str, attributes: str, parent: Node) -> int:
     if tag in NOISE:
         return SURE
     if tag == "header":  # an article's own header has its heading
-        return 0 if any(n.tag in ("article", "main") for n in path(parent)) else SURE
+        return 0 if parent.inside or parent.tag in ("article", "main") else SURE
     if not attributes or tag in ("html", "body", "article", "main"):
         return 0
     named = 0
@@ -79,7 +136,7 @@ def is_noise(tag: str, attributes: str, parent: Node) -> int:
             return SURE
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return SURE
-        if name in ("class", "id") and not WORDS.isdisjoint(_TOKENS.findall(_CAMEL.sub(" ", value).lower())) and (tag in BLOCK or tag not in ("a", "b", "i", "em", "strong", "span")):
+        if name in ("class", "id") and (tag in BLOCK or tag not in ("a", "b", "i", "em", "strong", "span")) and any(map(names_noise, value.split())):
             named = NAMED
     return named
 
@@ -140,39 +197,44 @@ def spare(root: Node) -> None:
 
 def tree(html: str) -> Node:
     """The tree of all elements, in which what is noise is marked; noise ends where any element would."""
-    root = Node("body", None)
-    at, now, end = 0, root, len(html)
+    root = now = Node("body", None)
+    at = 0
+    opened: Counter[str] = Counter()  # elements open at this point, by tag
+
+    def leave(upto: Node) -> None:
+        """Closes all open elements inside `upto`, and itself."""
+        nonlocal now
+        while now is not upto:
+            opened[now.tag] -= 1
+            now = now.parent
+        opened[now.tag] -= 1
+        now = now.parent
 
     def close(tags: set[str], until: set[str]) -> None:
         """Closes open elements up to the outermost of `tags`, but none beyond an element of `until`."""
-        nonlocal now
-        n, found = now, None
-        while n is not root and n.tag not in until and not (n.noise and (n.tag in NOISE or n.tag not in BLOCK)):
+        n, found, left = now, None, sum(opened[t] for t in tags)
+        while left and n is not root and n.tag not in until and not (n.noise and (n.tag in NOISE or n.tag not in BLOCK)):
             if n.tag in tags:
-                found = n
+                found, left = n, left - 1
             n = n.parent
         if found:
-            now = found.parent
+            leave(found)
 
-    scan = _TAG.search
-    while at < end:
-        m = scan(html, at)
-        text = html[at : m.start() if m else end]
-        if text:
+    for start, end, tag, closing, attributes in tags_of(html):
+        if start < at:  # within an element of raw text
+            continue
+        if start > at:
+            text = html[at:start]
             now.content.append(entities.unescape(text) if "&" in text else text)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+        at = end
+        if not tag:
             continue
-        tag, closing, attributes = m[2].lower(), m[1], m[3]
         if closing:
-            n, blocked = now, False
-            while n is not root and not (n.tag == tag and (tag in BLOCK or n.noise or not blocked)):
-                blocked = blocked or n.tag in BLOCK
+            n = now if opened[tag] else root
+            while n is not root and n.tag != tag and not (n.tag in BLOCK and tag not in BLOCK and tag not in NOISE):
                 n = n.parent
-            if n is not root:
-                now = n.parent
+            if n is not root and n.tag == tag:
+                leave(n)
             continue
         if tag in ("html", "body"):
             continue
@@ -181,8 +243,8 @@ def tree(html: str) -> Node:
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in RAW:
-            stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-            at = html.find(">", stop.start()) + 1 or end if stop else end
+            stop = _RAW_END[tag].search(html, at)
+            at = html.find(">", stop.start()) + 1 or len(html) if stop else len(html)
             continue
         if tag in VOID:
             if tag == "br":
@@ -195,6 +257,9 @@ def tree(html: str) -> Node:
         now.content.append(child)
         if not attributes.endswith("/") or tag in BLOCK and not child.noise:
             now = child
+            opened[tag] += 1
+    if at < len(html):
+        now.content.append(entities.unescape(html[at:]))
     return root
 
 
@@ -237,11 +302,6 @@ def content(root: Node) -> list[Node]:
     best = max(blocks, key=lambda n: n.total)
     if best.total <= 0:
         return [root]
-    # an element that is the content by name, if all of the best lies in it
-    for n in path(best):
-        if n.tag in ("article", "main"):
-            best = n
-            break
     way = list(path(best))[::-1]
     least = min(n.density for n in way)
     out: list[Node] = []

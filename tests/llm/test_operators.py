@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -491,3 +492,50 @@ def test_heavy_candidates_part_their_levels_by_shuffles(spark):
     df = spark.createDataFrame([(k, b"%d" % (k % 7)) for k in range(100)], "doc_id long, digest binary").repartition(40)
     plan = exact_dedup.heavy_candidates(df, most=9, fan_in=4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 4 and "Coalesce" not in plan  # 40 partitions, then 10, 3 and 1
+
+
+def test_html_of_malformed_pages_takes_linear_time():
+    began = time.time()
+    for part in ("<a", "<a ", '<a "', "<!--", "<a 'x\">", "<header>", "<span><p>", "<b><div></b>", "<ul><li>", "<div class=ad>", "</p>", "<p><table>", "<", '<div id="', "&", "<script>"):
+        html_text.main_text(part * (100_000 // len(part)))
+    assert time.time() - began < 16
+
+
+def test_html_names_of_noise():
+    for name in ("ad", "site-header", "cookie-notice", "sidebarLeft", "post-comments", "share buttons", "main_nav", "page-footer", "newsletter-signup"):
+        assert any(map(html_text.names_noise, name.split())), name
+    for name in ("has-sidebar", "with-header", "widget-content", "article-header", "notice-period", "comments-open", "address", "no-ads", "shared-memory"):
+        assert not any(map(html_text.names_noise, name.split())), name
+
+
+def test_html_tags_end_outside_quotes():
+    found = list(html_text.tags_of('<p title="a>b" x=\'c>\'>t</P ><!-- <b> --><!doctype x><br/>< 5 <i x="y>z'))
+    assert [(t[2], t[3]) for t in found] == [("p", False), ("p", True), ("", False), ("", False), ("br", False), ("i", False)]
+    assert html_text.main_text('<p>One <a href="x>two</a> three') == "One two three"
+
+
+def density_by_hand(node):
+    """(chars, tags, link chars, links) of a node, by recursion."""
+    kids = [k for k in node.content if isinstance(k, html_text.Node)]
+    below = [density_by_hand(k) for k in kids]
+    chars = sum(len(" ".join(c.split())) for c in node.content if isinstance(c, str)) + sum(b[0] for b in below)
+    return chars, sum(b[1] + 1 for b in below), chars if node.tag == "a" else sum(b[2] for b in below), sum(b[3] + (k.tag == "a") for k, b in zip(kids, below))
+
+
+def test_html_density_equals_its_formula(spark):
+    for (page,) in spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(10).collect():
+        root = html_text.parse(page)
+        nodes = html_text.in_order(root)
+        html_text.weigh(nodes)
+        c0, _, l0, _ = density_by_hand(root)
+        for n in nodes:
+            c, t, lc, lt = density_by_hand(n)
+            if not c:
+                assert n.density == 0
+                continue
+            t, l1, lt = max(t, 1), max(lc, 1), max(lt, 1)
+            want = c / t * math.log(max(c / l1 * t / lt, 1.0000001), c / max(c - lc, 1) * lc + l0 / max(c0, 1) * c + math.e)
+            assert math.isclose(n.density, want, rel_tol=1e-9)
+        # the largest sum is the node whose text is taken whole
+        best = max((n for n in nodes if n.tag in html_text.BLOCK), key=lambda n: n.total)
+        assert "\n\n".join(html_text.blocks_of([best])) in html_text.main_text(page)
