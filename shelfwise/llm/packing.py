@@ -30,6 +30,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import common
 from .bpe import PATTERN
@@ -46,8 +47,20 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
-def encode(path: str, text: str) -> np.ndarray:
-    return encoder(path).encode_to_numpy(text, allowed_special="all")
+@cache
+def slower(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def encode(path: str, ranks: str, text: str) -> np.ndarray:
+    """Ids of the vocabulary file at `path`; `ranks` is the same vocabulary as ranks, for the faster library.
+
+    That library refuses white space of some 500 000 characters on end; such a text is encoded with the file itself.
+    """
+    try:
+        return encoder(ranks).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(slower(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @dataclass
@@ -160,12 +173,12 @@ def fill(sizes: list[int], neighbours, window: int = WINDOW) -> list[tuple[int,
     return pieces
 
 
-def tokenised(plain: DataFrame, path: str) -> DataFrame:
+def tokenised(plain: DataFrame, path: str, ranks: str) -> DataFrame:
     """(doc_id, size, tokens): bytes of text, and the ids as bytes of four each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [np.append(encode(path, t), np.uint32(END)).astype("<u4").tobytes() for t in common.texts_of(batch["text"])]
+            tokens = [np.append(encode(path, ranks, t), np.uint32(END)).astype("<u4").tobytes() for t in common.texts_of(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["size"], pa.array(tokens, pa.binary())], ["doc_id", "size", "tokens"])
 
     return plain.withColumn("size", F.octet_length("text").cast("long")).mapInArrow(run, "doc_id long, size long, tokens binary")
@@ -247,11 +260,11 @@ def shards_of(routes: DataFrame, shard_bytes: int) -> DataFrame:
     return parted.mapInArrow(run, "doc_id long, tokens binary, shard long")
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1_000_000) -> DataFrame:
-    """path: a vocabulary as ranks. Per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
+def pack(docs: DataFrame, path: str, ranks: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1_000_000) -> DataFrame:
+    """path: a vocabulary file, ranks: the same as ranks. Per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
     if window < 2:
         raise ValueError("a window has two ids at least")
-    held = common.stored(tokenised(common.id_and_text(docs, id_col, text_col), path), "tokens")
+    held = common.stored(tokenised(common.id_and_text(docs, id_col, text_col), path, ranks), "tokens")
     corpus = statistics(held)
     given = docs.sparkSession.sparkContext.broadcast(corpus)
     dealt = shards_of(common.stored(routed(held, corpus), "routes"), shard_bytes)

@@ -1,12 +1,12 @@
 """Quality classifier on supervised subword embeddings (operator 2).
 
-A text's features are its words, the character n-grams inside each word and its borders, and bigrams of one word twice,
-hashed to buckets. Each bucket
-has a learned vector; a document is the average of its features' vectors, and a softmax layer gives the two labels'
+A text's features are its words, its bigrams of words, and the character n-grams inside each word and its borders, hashed
+to buckets; bigrams that repeat a word share one bucket, as their words are mostly unseen. Each bucket has a learned vector; a document is the average of its features' vectors, and a softmax layer gives the two labels'
 probabilities. Vectors and layer are trained together by stochastic gradient descent in numpy.
 
-Fit takes at most `most` labelled rows (those with the smallest hash of doc_id), so what reaches the driver is bounded:
-`most` rows of distinct buckets and counts, which tasks have made. Scoring needs the trained model only as one number a bucket
+Fit takes at most `most` labelled documents (those with the smallest hash of doc_id), so what reaches the driver is bounded:
+`most` rows, each of at most 2^17 distinct buckets and their counts, which tasks have made; of a text with more than
+`most_features` distinct ones the most frequent (then smallest) count in training. Scoring needs the trained model only as one number a bucket
 (vector times the layer's difference), broadcast once; its size doesn't depend on the data.
 
 Defined cases: a null or empty text has no features and gets the layer's bias alone; texts are scored whole; a doc_id
@@ -29,8 +29,8 @@ from . import common
 
 BUCKETS_LOG2 = 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: The bucket of a word that follows itself.
-TWICE = np.uint64((1 << BUCKETS_LOG2) - 1)
+#: The bucket of bigrams of one word twice, beyond those of the hash: they share a vector, whatever the word.
+SAME = np.uint64(1 << BUCKETS_LOG2)
 #: Scores from here on count as label 1.
 THRESHOLD = 0.3
 
@@ -71,8 +71,8 @@ def features(text: str, sizes: tuple[int, ...] = (2, 3, 4)) -> np.ndarray:
         total = np.cumsum(np.append(np.uint64(0), chars * up[: chars.size]), dtype=np.uint64)
         words = (total[end] - total[begin]) * down[begin]
         out.append((words ^ words >> np.uint64(29)) * ODD >> shift)
-        # bigrams of one word twice share a bucket, whatever the word
-        out.append(np.full(int((words[1:] == words[:-1]).sum()), TWICE))
+        pairs = words[:-1] * np.uint64(0xD6E8FEB86659FD93) ^ words[1:]
+        out.append(np.where(words[1:] == words[:-1], SAME, (pairs ^ pairs >> np.uint64(32)) * ODD >> shift))
     code = chars[:-1] << np.uint64(16) ^ chars[1:]
     broken = np.zeros(chars.size - 1, bool)
     for n in range(2, max(sizes) + 1):
@@ -102,11 +102,11 @@ class Model:
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs: int = 5, rate: float = 0.4, seed: int = 1) -> Model:
     """rows: label, distinct buckets, counts. A step moves a document's average by the rate times its gradient, whatever its length."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BUCKETS_LOG2, dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / dim, 1 / dim, ((1 << BUCKETS_LOG2) + 1, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
     made = [(y, u, c / c.sum()) for y, u, c in rows if u.size]
     if not rows:
-        return Model(np.zeros(1 << BUCKETS_LOG2, np.float32), 0.0)
+        return Model(np.zeros((1 << BUCKETS_LOG2) + 1, np.float32), 0.0)
     steps, done = epochs * max(1, len(made)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(made)):
@@ -126,21 +126,28 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs:
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", mod: int = 5) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, most: int = 3000, most_features: int = 4096, id_col: str = "doc_id", text_col: str = "text", mod: int = 5
+) -> Model:
     """Learns `quality` from at most `most` labelled documents, of those whose crc32(doc_id) mod `mod` is not 0."""
-    chosen = (
+    usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
         .filter("doc_id is not null and y in (0, 1)").filter(common.id_remainder(mod) != 0)
-        .groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        .groupBy("doc_id").agg(F.min("y").alias("y"))
     )
+    # labels without a document don't count against `most`
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    rows = usable.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    chosen = docs.sparkSession.createDataFrame(rows, "doc_id long, y int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(features(x), return_counts=True) for x in common.texts_of(batch["text"])]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["y"], pa.array([u.astype("<i4").tobytes() for u, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())],
-                ["doc_id", "y", "buckets", "counts"],
-            )
+            found = []
+            for x in common.texts_of(batch["text"]):
+                u, c = np.unique(features(x), return_counts=True)
+                kept = np.sort(np.argsort(-c, kind="stable")[:most_features])
+                found.append((u[kept].astype("<i4").tobytes(), c[kept].astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))], ["doc_id", "y", "buckets", "counts"])
 
     # of rows that repeat an id, one: so that `most` bounds what comes to the driver
     held = common.id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))

@@ -44,7 +44,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(common.documents(spark, sf_dir), RANKS)
+    return packing.pack(common.documents(spark, sf_dir), TOKENIZER, RANKS)
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,7 +268,7 @@ def test_simhash_links_lose_nothing(spark, bits, most):
 
 def test_packing(docs, empty, rows, tok):
     ids = Counter((i, tuple([*tok.encode(x or "", add_special_tokens=False).ids, 1])) for i, x, *_ in rows)
-    got = packing.pack(docs, RANKS, shard_bytes=5000).collect()
+    got = packing.pack(docs, JSON, RANKS, shard_bytes=5000).collect()
     sequences = {}
     for r in got:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -283,7 +283,7 @@ def test_packing(docs, empty, rows, tok):
     assert {(r.doc_id, r.doc_tokens) for r in got} == set(want)
     of = dict(ids.keys())
     assert all(zlib.crc32(np.array(of[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in got)
-    assert packing.pack(empty, RANKS).count() == 0
+    assert packing.pack(empty, JSON, RANKS).count() == 0
 
 
 def test_bm25_prefers_shared_rare_terms():
@@ -291,13 +291,13 @@ def test_bm25_prefers_shared_rare_terms():
     assert packing.Index(docs).neighbours(0).tolist()[:2] == [0, 1]
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e13])
-def test_top_k(spark, scale):
+@pytest.mark.parametrize("scale, shard_rows", [(1.0, 50), (1e13, 200), (1.0, 8192)])
+def test_top_k(spark, scale, shard_rows):
     r = np.random.default_rng(3)
     vectors = [(k, (r.normal(size=6) * scale).tolist()) for k in range(700)]
-    vectors += [(k, [0.5 * scale] * 6) for k in range(700, 760)] + [(800, None), (801, [float("nan")] * 6), (802, [None] * 6), (803, [float("inf")] * 6), (900, []), (None, [1.0] * 6), (701, [0.25] * 6)]
+    vectors += [(k, [0.5 * scale] * 6) for k in range(700, 760)] + [(800, None), (801, [float("nan")] * 6), (802, [None] * 6), (803, [float("inf")] * 6), (900, []), (None, [1.0] * 6), (701, [0.25] * 6), (100, [0.1 * scale] * 6), (200, vectors[200][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("v", F.lit(1))
-    got = topk.top_k(df, df.filter("vec_id % 100 = 0"), shard_rows=200, block_rows=2).collect()
+    got = topk.top_k(df, df.filter("vec_id % 100 = 0"), shard_rows=shard_rows).collect()
     whole = [(k, [math.floor(1024 * x) for x in v]) for k, v in vectors if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q, a in whole:
@@ -430,11 +430,11 @@ def test_packing_neighbours_meet_across_shards(spark):
     topics = r.sample([(a, b, c) for a in pool[:40] for b in pool[40:70] for c in pool[70:]], 150)
     texts = [" ".join(r.choice(topic) for _ in range(60)) for topic in topics for _ in range(2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    shard = {x.doc_id: x.sequence_id >> 32 for x in packing.pack(docs, RANKS, shard_bytes=5000).collect()}
+    shard = {x.doc_id: x.sequence_id >> 32 for x in packing.pack(docs, JSON, RANKS, shard_bytes=5000).collect()}
     assert len(set(shard.values())) > 10
     assert sum(shard[2 * k] == shard[2 * k + 1] for k in range(150)) > 75
-    held = packing.tokenised(common.id_and_text(docs), RANKS)
-    whole, parted = packing.Corpus.of([packing.encode(RANKS, x + "<|endoftext|>") for x in texts]), packing.statistics(held)
+    held = packing.tokenised(common.id_and_text(docs), JSON, RANKS)
+    whole, parted = packing.Corpus.of([packing.encode(JSON, RANKS, x + "<|endoftext|>") for x in texts]), packing.statistics(held)
     assert parted.n == 300 and parted.mean > 0 and parted.df[packing.END] == 300 and whole.n == parted.n
 
 
@@ -539,3 +539,66 @@ def test_html_density_equals_its_formula(spark):
         # the largest sum is the node whose text is taken whole
         best = max((n for n in nodes if n.tag in html_text.BLOCK), key=lambda n: n.total)
         assert "\n\n".join(html_text.blocks_of([best])) in html_text.main_text(page)
+
+
+def test_packing_encodes_what_the_faster_library_refuses(tok):
+    for text in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "a" * 300_000, "."):
+        assert packing.encode(JSON, RANKS, text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_top_k_asks_only_cells_that_can_matter(spark):
+    """Clusters far apart: the boxes of most cells lie below the kth score."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(16, 8)) * 5
+    points = np.floor(1024 * (centres[np.arange(4000) % 16] + r.normal(size=(4000, 8)) * 0.1))
+    cells = topk.Cells.fit(points[:1000], 4)
+    at = cells.of(points)
+    low, high = (np.array([f(points[at == c], 0) for c in range(16)]) for f in (np.min, np.max))
+    bounds = topk.Boxes(np.arange(16), np.arange(16), np.ones(16, int), low, high).bounds(points[::100])
+    scores = points[::100] @ points.T
+    kth = np.sort(scores, 1)[:, -11]
+    assert all((scores[:, at == c].max(1) <= bounds[:, c]).all() for c in range(16))
+    assert (bounds >= kth[:, None]).mean() < 0.5
+
+
+def plain_buckets(text):
+    """Features of the quality model by plain loops."""
+    mask, log2, odd = (1 << 64) - 1, quality.BUCKETS_LOG2, int(quality.ODD)
+    text = "".join(" " if c == " " or "\t" <= c <= "\r" else c for c in text)
+    out, hashes = [], []
+    for word in text.split(" "):
+        if word:
+            h = sum(ord(c) * quality.Powers.base**k for k, c in enumerate(word)) & mask
+            hashes.append(h)
+            out.append(((h ^ h >> 29) * odd & mask) >> 64 - log2)
+    for a, b in zip(hashes, hashes[1:]):
+        h = (a * 0xD6E8FEB86659FD93 & mask) ^ b
+        out.append(1 << log2 if a == b else ((h ^ h >> 32) * odd & mask) >> 64 - log2)
+    padded = f" {text} " if text else ""
+    for n in (2, 3, 4):
+        for k in range(len(padded) - n + 1):
+            gram = padded[k : k + n]
+            if " " in gram[1:-1] or n == 2 and gram == "  ":
+                continue
+            code = (ord(gram[0]) << 16) ^ ord(gram[1])
+            for c in gram[2:]:
+                code = (code * 0x100000001B3 & mask) ^ ord(c)
+            out.append((((code * odd + n) & mask) * odd & mask) >> 64 - log2)
+    return Counter(out)
+
+
+def test_quality_scores_by_plain_loops(spark, docs, rows):
+    for _, x, *_ in rows:
+        assert Counter(quality.features(x or "").tolist()) == plain_buckets(x or ""), x
+    labelled = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(k, 1) for k in range(10_000, 12_000)], "doc_id long, quality int")
+    model = quality.fit(docs, labelled, most=100)
+    trained = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    assert model.bias != 0 and len(trained) < 100  # labels without a document don't use up the bound
+    for r in quality.score_documents(docs, model).collect():
+        texts = [x or "" for i, x, *_ in rows if i == r.doc_id]
+        wanted = []
+        for x in texts:
+            found = plain_buckets(x)
+            z = model.bias + (sum(float(model.weight[b]) * c for b, c in found.items()) / sum(found.values()) if found else 0.0)
+            wanted.append(1 / (1 + math.exp(-z)))
+        assert any(abs(r.score - w) < 1e-6 for w in wanted) and r.predicted == (r.score >= 0.3)
