@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import common, exact_dedup, near_copies, packing, pii, quality
-from shelfwise.llm.queries import RANKS
+from shelfwise.llm.queries import RANKS, TOKENIZER
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -44,7 +44,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, as pieces of windows of 2048 tokens."""
     common.tune(spark)
-    return packing.pack(docs, RANKS)
+    return packing.pack(docs, TOKENIZER, RANKS)
 
 
 STAGES: list[tuple[str, Stage]] = [
