@@ -5,11 +5,13 @@ The model is an n-gram model whose probabilities back off exactly:
     p(w | h) = (c(hw) + k p(w | h')) / (c(h) + k)      p(w) = (c(w) - d) / N, unknown words as one: d V / N
 
 so state h has an arc for every seen word and one failure arc of weight k / (c(h) + k) to h', its longest proper suffix.
-Only counts decide all weights, and counts are kept by a 64-bit hash of the n-gram, so the model needs no central table:
-documents are dealt into blocks, each block asks the shards of the hash range for the counts of its own n-grams, a shard
-adds up what all blocks have counted and answers, and each block then holds just that part of the automaton which its
-texts can reach. The state after a token is fixed by the last order - 1 tokens, so the left-to-right traversal runs over
-all texts of a block side by side.
+A text is scored by one traversal from left to right: the arc of the next word is taken if the state has it, else the
+failure arc, down to the empty context, which has an arc for every word; the arc leads to the state of the longest context
+that the model knows, and log-probabilities add up on the way.
+
+Counts are kept by a 64-bit hash of the n-gram, so the model needs no central table: rows are packed into blocks where they
+are read, each block asks the shards of the hash range for the counts of its own n-grams, a shard adds up what all blocks
+have counted and answers, and each block then builds just that part of the automaton which its texts can reach.
 
 A message goes from a block to a shard only if it carries n-grams, so messages never outnumber the distinct n-grams of
 blocks. A frequent n-gram is one entry for each block. Two n-grams share a hash with a chance of n^2 / 2^65.
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +102,8 @@ class Block:
             # an n-gram that would start before BEGIN adds nothing to the shorter one
             self.grams.append(np.where(place >= n - 1, longer, self.grams[-1]) if n > 1 else longer)
         self.place = place
-        self.distinct, self.at = zip(*[np.unique(g, return_inverse=True) for g in self.grams])
+        #: by order: the distinct n-grams, one token at which each ends, and the n-gram of every token
+        self.distinct, self.ends_at, self.at = zip(*[np.unique(g, return_index=True, return_inverse=True) for g in self.grams])
 
     def counts(self, training: np.ndarray) -> list[np.ndarray]:
         """By order: how often each distinct n-gram occurs in the training texts of the block."""
@@ -107,107 +111,167 @@ class Block:
         return [np.bincount(at[own], minlength=d.size) for d, at in zip(self.distinct, self.at)]
 
 
-def smoothed(block: Block, totals: list[np.ndarray], n_tokens: int, n_types: int, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability, count) of every token of the block: arc weights where an arc exists, else failure arcs down to the root."""
-    count = totals[0][block.at[0]].astype(float)
-    p = np.where(count > 0, count - DISCOUNT, DISCOUNT * n_types) / n_tokens if n_tokens else np.ones(count.size)
-    context = np.where(block.place > 0, np.roll(count, 1), float(n_texts))
-    for n in range(1, len(block.grams)):
-        seen = totals[n][block.at[n]].astype(float)
-        k = WEIGHTS[min(n, len(WEIGHTS)) - 1]
-        valid = block.place >= n - 1
-        p = np.where(valid, (seen + k * p) / (context + k), p)
-        context = np.where(block.place > 0, np.roll(seen, 1), 0.0)
-    return np.log10(p), count
+ROOT, START = 0, 1
 
 
-def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", held_mod: int = 7, held_rest: int = 2) -> DataFrame:
-    """Per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+class Automaton:
+    """States, arcs and failure arcs of the contexts that a block can reach.
 
-    The model learns from the rows that aren't held out. base_score is the add-one unigram score of the same text.
+    State 0 is the empty context, 1 that of a text's beginning; the contexts of n words follow, numbered like the block's
+    distinct n-grams. A state that was never seen in training has no arcs, and a failure arc of weight 1.
     """
-    spark = docs.sparkSession
-    marked = common.id_and_text(docs, id_col, text_col).withColumn("held_out", common.id_remainder(held_mod) == held_rest)
 
-    def types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct training words of about 8 MB of text at a time, and in a row with a null how much text there was."""
-        held, size, tokens, texts, total = set(), 0, 0, 0, 0
+    def __init__(self, block: Block, totals: list[np.ndarray], n_tokens: int, n_types: int, n_texts: int):
+        order = len(block.grams)
+        n_words = block.distinct[0].size
+        base = 2 + np.concatenate([[0], np.cumsum([d.size for d in block.distinct])])  # of contexts of one word, of two, ...
+        counts = totals[0].astype(float)
+        p = np.where(counts > 0, counts - DISCOUNT, DISCOUNT * n_types) / n_tokens if n_tokens else np.ones(n_words)
+        #: by state and word, as one number: log10 probability and next state
+        self.arcs: dict[int, tuple[float, int]] = {}
+        #: by state: what the failure arc adds, and where it leads
+        self.weight, self.down = [0.0, self.failing(np.array([n_texts]), 1)[0]], [ROOT, ROOT]
+        self.begin = START if order > 1 else ROOT
+        self.words, token_p = n_words, p[block.at[0]]
+        self.add(np.zeros(n_words, np.int64), np.arange(n_words), p, base[0] + np.arange(n_words) if order > 1 else np.zeros(n_words, np.int64))
+        for n in range(1, order):
+            ends = block.ends_at[n]
+            own = ends[block.place[ends] >= n - 1]  # others are shorter n-grams, from the beginning of a text
+            first = block.place[own] == 0
+            seen = totals[n][block.at[n][own]].astype(float)
+            context = np.where(first, START, base[n - 1] + block.at[n - 1][own - 1])
+            held = np.where(first, n_texts, totals[n - 1][block.at[n - 1][own - 1]]).astype(float)
+            k = WEIGHTS[min(n, len(WEIGHTS)) - 1]
+            longer = (seen + k * token_p[own]) / (held + k)
+            known = seen > 0
+            to = base[n] + block.at[n][own] if n + 1 < order else base[n - 1] + block.at[n - 1][own]
+            self.add(context[known], block.at[0][own][known], longer[known], to[known])
+            # contexts of n words, and what they fail to
+            self.weight += self.failing(totals[n - 1], n)
+            shorter = block.ends_at[n - 1]
+            self.down += (base[n - 2] + block.at[n - 2][shorter] if n > 1 else np.zeros(shorter.size, np.int64)).tolist()
+            if n + 1 < order:  # the probability of the longest n-gram at each token, for the next order
+                by_gram = np.zeros(block.distinct[n].size)
+                by_gram[block.at[n][own]] = longer
+                token_p = np.where(block.place >= n - 1, by_gram[block.at[n]], token_p)
+
+    @staticmethod
+    def failing(count: np.ndarray, n: int) -> list[float]:
+        k = WEIGHTS[min(n, len(WEIGHTS)) - 1]
+        return np.log10(k / (count + k)).tolist()
+
+    def add(self, state: np.ndarray, word: np.ndarray, p: np.ndarray, to: np.ndarray) -> None:
+        self.arcs.update(zip((state.astype(np.int64) * self.words + word).tolist(), zip(np.log10(p).tolist(), to.tolist())))
+
+    def score(self, words: list[int]) -> float:
+        """The log10 probability of a text: one traversal that carries the state."""
+        arcs, weight, down, n = self.arcs.get, self.weight, self.down, self.words
+        total, state = 0.0, self.begin
+        for word in words:
+            arc = arcs(state * n + word)
+            while arc is None:
+                total += weight[state]
+                state = down[state]
+                arc = arcs(state * n + word)
+            total += arc[0]
+            state = arc[1]
+        return total
+
+
+#: Bytes of text in a block, and in a shard's share of all n-grams.
+BLOCK_BYTES, SHARD_BYTES = 3_000_000, 8_000_000
+
+
+def packed_blocks(marked: DataFrame) -> DataFrame:
+    """(block, ids, held, texts and sums) of rows packed where they are read, so that no id or text gathers rows in one block."""
+    names = ["block", "ids", "held", "texts", "bytes", "train_texts", "train_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids, held, texts, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            h = np.array([word_hash(w) for w in held], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([None, *h.tolist()], pa.int64()), *(pa.array([n, *[0] * h.size], pa.int64()) for n in (tokens, texts, total))],
-                ["word", "tokens", "texts", "bytes"],
-            )
+            tokens = sum(len(t.encode().split()) + 1 for t, h in zip(texts, held) if not h)
+            values = [number, ids, held, texts, size, len(held) - sum(held), tokens]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
         for batch in batches:
-            for text, out_of in zip(common.texts_of(batch["text"]), batch["held_out"].to_pylist()):
-                raw = text.encode().lower()
-                total += len(raw)
-                if out_of:
-                    continue
-                words = raw.split()
-                held.update(words)
-                held.add(END)
-                tokens, texts, size = tokens + len(words) + 1, texts + 1, size + len(raw)
-                if size > 8_000_000:
+            for i, text, out_of in zip(batch["doc_id"].to_pylist(), common.texts_of(batch["text"]), batch["held_out"].to_pylist()):
+                ids.append(i)
+                held.append(out_of)
+                texts.append(text)
+                size += len(text.encode())
+                if size > BLOCK_BYTES:
                     yield out()
-                    held, size, tokens, texts, total = set(), 0, 0, 0, 0
-        yield out()
+                    number += 1
+                    ids, held, texts, size = [], [], [], 0
+        if ids:
+            yield out()
 
-    found = (
-        marked.select("text", "held_out").mapInArrow(types, "word long, tokens long, texts long, bytes long")
-        .groupBy("word").agg(*(F.sum(c).alias(c) for c in ("tokens", "texts", "bytes")))
-        .agg(F.count("word"), *(F.sum(c) for c in ("tokens", "texts", "bytes"))).first()
-    )
-    n_types, n_tokens, n_texts, n_bytes = (x or 0 for x in found)
-    blocks, shards = 1 + n_bytes // 3_000_000, 1 + n_bytes // 8_000_000
-    dealt = marked.withColumn("block", common.bucket_of(blocks, "doc_id", "text"))
-
-    def ask(table: pa.Table) -> pa.Table:
-        block = Block(common.texts_of(table["text"]), order)
-        training = ~np.array(table["held_out"].to_pylist(), bool)
-        number, rows = table["block"][0].as_py(), []
-        for n, (keys, counts) in enumerate(zip(block.distinct, block.counts(training))):
-            own = shard_of(keys, shards)
-            cuts = np.flatnonzero(np.diff(own)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), keys.size]):
-                rows.append((int(own[a]), number, n, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b])))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "block", "n", "keys", "counts"])
+    return marked.select("doc_id", "text", "held_out").mapInArrow(run, "block long, ids array<long>, held array<boolean>, texts array<string>, bytes long, train_texts long, train_tokens long")
+
+
+def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", held_mod: int = 7, held_rest: int = 2) -> DataFrame:
+    """Per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    The model learns from the rows that aren't held out. base_score is the add-one unigram score of the same text.
+    """
+    marked = common.id_and_text(docs, id_col, text_col).withColumn("held_out", common.id_remainder(held_mod) == held_rest)
+    dealt = common.stored(packed_blocks(marked), "blocks")
+    n_bytes, n_texts, n_tokens = (x or 0 for x in dealt.agg(*(F.sum(c) for c in ("bytes", "train_texts", "train_tokens"))).first())
+    shards = 1 + n_bytes // SHARD_BYTES
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        for batch in batches:
+            for number, texts, held in zip(*(batch[c].to_pylist() for c in ("block", "texts", "held"))):
+                block, rows = Block(texts, order), []
+                for n, (keys, counts) in enumerate(zip(block.distinct, block.counts(~np.array(held, bool)))):
+                    own = shard_of(keys, shards)
+                    cuts = np.flatnonzero(np.diff(own)) + 1
+                    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), keys.size]):
+                        rows.append((int(own[a]), number, n, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["shard", "block", "n", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
-        orders, totals = table["n"].to_numpy(), [b""] * table.num_rows
+        orders, totals, types = table["n"].to_numpy(), [b""] * table.num_rows, np.zeros(table.num_rows, np.int64)
         packed, counted = table["keys"], table["counts"]
         for n in np.unique(orders):
             rows = np.flatnonzero(orders == n).tolist()
             keys = [np.cumsum(unpack(packed[r].as_py()), dtype=np.uint64) for r in rows]
             _, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([unpack(counted[r].as_py()) for r in rows]))[at]
+            total = np.bincount(at, weights=np.concatenate([unpack(counted[r].as_py()) for r in rows]))
+            if n == 0:
+                types[rows[0]] = int((total > 0).sum())
+            total = total[at]
             ends = np.cumsum([k.size for k in keys])
             for r, a, b in zip(rows, [0, *ends.tolist()], ends.tolist()):
                 totals[r] = pack(total[a:b])
-        return pa.table([table["block"], table["n"], table["shard"], pa.array(totals, pa.binary())], names=["block", "n", "shard", "totals"])
+        return pa.table([table["block"], table["n"], table["shard"], pa.array(totals, pa.binary()), pa.array(types)], names=["block", "n", "shard", "totals", "types"])
+
+    asked = dealt.select("block", "texts", "held").mapInArrow(ask, "shard int, block long, n int, keys binary, counts binary")
+    told = common.stored(asked.groupBy("shard").applyInArrow(answer, "block long, n int, shard int, totals binary, types long"), "answers")
+    n_types = told.agg(F.sum("types")).first()[0] or 0
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(common.texts_of(texts["text"]), order)
+        own = texts["texts"][0].as_py()
+        block = Block(own, order)
         parts = sorted(zip(answers["n"].to_pylist(), answers["shard"].to_pylist(), answers["totals"].to_pylist()))
-        totals = [np.concatenate([unpack(x) for m, _, x in parts if m == n]) for n in range(order)] if block.ids.size else []
-        logs, count = smoothed(block, totals, n_tokens, n_types, n_texts)
+        totals = [np.concatenate([unpack(x) for m, _, x in parts if m == n]) for n in range(order)]
+        automaton, ids = Automaton(block, totals, n_tokens, n_types, n_texts), block.at[0].tolist()
+        scores = [automaton.score(ids[a:b]) for a, b in zip(block.starts.tolist(), block.ends.tolist())]
+        count = totals[0][block.at[0]].astype(float)
         base = np.log10((count + 1) / (n_tokens + n_types + 1))
-        rows = texts.num_rows
         return pa.table(
             [
-                texts["doc_id"], texts["held_out"], pa.array(block.sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), block.starts)),
-                pa.array(np.full(rows, n_tokens)), pa.array(np.add.reduceat(base, block.starts)), pa.array(np.add.reduceat(logs, block.starts)),
+                texts["ids"].combine_chunks().flatten(), texts["held"].combine_chunks().flatten(), pa.array(block.sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), block.starts)),
+                pa.array(np.full(len(own), n_tokens)), pa.array(np.add.reduceat(base, block.starts)), pa.array(scores, pa.float64()),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    told = (
-        dealt.groupBy("block").applyInArrow(ask, "shard int, block int, n int, keys binary, counts binary")
-        .groupBy("shard").applyInArrow(answer, "block int, n int, shard int, totals binary")
-    )
     return (
-        dealt.groupBy("block").cogroup(told.groupBy("block"))
+        dealt.select("block", "ids", "held", "texts").groupBy("block").cogroup(told.select("block", "n", "shard", "totals").groupBy("block"))
         .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )

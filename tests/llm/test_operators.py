@@ -115,10 +115,46 @@ def test_lm_probabilities_sum_to_one():
     for word in ("a", "b", "c", "never", None):  # None: the end
         probe = lm_score.Block(["a b" + (f" {word}" if word else "")], 3)
         looked = [np.array([dict(zip(d.tolist(), c.tolist())).get(x, 0) for x in own.tolist()]) for d, c, own in zip(block.distinct, totals, probe.distinct)]
-        total += 10 ** lm_score.smoothed(probe, looked, n, v, 2)[0][2]
+        automaton, ids = lm_score.Automaton(probe, looked, n, v, 2), probe.at[0].tolist()
+        total += 10 ** (automaton.score(ids[:3]) - automaton.score(ids[:2]))
     assert abs(total - 1) < 1e-9
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_of_other_orders(spark, monkeypatch, order):
+    """Against the recursion over tuples of words, in blocks of a few texts."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 200)
+    r = random.Random(order)
+    texts = [" ".join(r.choice("abcde") for _ in range(r.randrange(12))) for _ in range(60)] + ["b c d"] * 5
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    grams, n_texts = Counter(), 0
+    for x, out in zip(texts, held):
+        tokens = ["<s>", *x.split(), "</s>"]
+        if not out:
+            n_texts += 1
+            grams["<s>",] += 1
+            for at in range(1, len(tokens)):
+                for n in range(1, order + 1):
+                    if at - n + 1 >= 0:
+                        grams[tuple(tokens[at - n + 1 : at + 1])] += 1
+    words = [g for g in grams if len(g) == 1 and g != ("<s>",)]
+    n_tokens, v = sum(grams[g] for g in words), len(words)
+
+    def p(history, word):
+        if not history:
+            c = grams[word,]
+            return (c - lm_score.DISCOUNT if c else lm_score.DISCOUNT * v) / n_tokens
+        k = lm_score.WEIGHTS[min(len(history), len(lm_score.WEIGHTS)) - 1]
+        return (grams[(*history, word)] + k * p(history[1:], word)) / (grams[history] + k)
+
+    want = []
+    for k, x in enumerate(texts):
+        tokens = ["<s>", *x.split(), "</s>"]
+        want.append((k, round(sum(math.log10(p(tuple(tokens[max(0, at - order + 1) : at]), tokens[at])) for at in range(1, len(tokens))), 6)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted((x.doc_id, round(x.score, 6)) for x in lm_score.score_documents(docs, order).collect()) == want
+
+
 def test_quality(spark, docs, empty):
     r = random.Random(2)
     good = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(40)) for _ in range(120)]
