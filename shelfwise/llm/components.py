@@ -18,6 +18,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = common.stored(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges"
     )
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
     held = labels = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     for _ in range(most_rounds):
         # the smallest root among the neighbours of each node

@@ -4,8 +4,8 @@ Texts are near copies if the sets of their five-word shingles have a Jaccard sim
 the SimHash fingerprints of these shingles, joined on the grid of segment bit counts (`simhash.links`). At 0.8 the
 fingerprints of two texts differ in 9.7 of 64 bits on average, and a grid over that many bits no longer parts texts, so the
 join keeps its three bits, and pairs further apart become candidates by bands of minima of the same shingle hashes (24 of
-five: a pair at 0.8 shares none with a probability of 0.00007, one at 0.9 practically never). A group is what fingerprints
-connect, or what shares a band.
+five: a pair at 0.8 shares none with a probability of 0.00007, one at 0.9 practically never). A group is what
+shares a fingerprint or a band; fingerprints that link propose their pair.
 
 The sets themselves decide. First every member of a group is held against its smallest member: as many comparisons as
 members. Groups that this leaves in more than one component have all their pairs compared, but for pairs already in one
@@ -114,15 +114,21 @@ def marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def candidate_groups(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, sid) of what may be similar, and (key, centre) of its groups of two or more; of groups with the same members one is kept."""
-    connected = components(simhash.links(points.select("fp").distinct(), BITS))
-    met = points.select("sid", "fp").join(connected.withColumnRenamed("node", "fp"), "fp", "left")
-    by_print = met.select(F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("key"), "sid")
+    """(key, sid) of what shares a band or a fingerprint, and (key, centre) of its groups of two or more; of groups with the same members one is kept."""
+    by_print = points.select(F.xxhash64(F.lit("fingerprint"), "fp").alias("key"), "sid")
     members = common.stored(by_print.unionByName(points.select(F.explode("keys").alias("key"), "sid")), "members")
     held = members.groupBy("key").agg(F.min("sid").alias("centre"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("which")).filter("n > 1")
     return members, common.stored(held.groupBy("centre", "n", "which").agg(F.min("key").alias("key")).select("key", "centre"), "groups")
 
 
+def pairs_by_print(points: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that the fingerprints' links propose: of each fingerprint the smallest set."""
+    prints = points.groupBy("fp").agg(F.min("sid").alias("sid"))
+    edges = simhash.links(prints, BITS)
+    a, b = (prints.select(F.col("fp").alias(fp), F.col("sid").alias(sid)) for fp, sid in (("a", "sid_a"), ("b", "sid_b")))
+    return edges.join(a, "a").join(b, "b").select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"))
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar."""
 
@@ -138,13 +144,13 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links_within(rows: DataFrame) -> DataFrame:
-    """Links (a, b) among rows (meeting, sid, label, hashes) of one meeting; a task holds one meeting at a time."""
+    """Links among rows (meeting, label, hashes) of one meeting, as pairs (a, b) of labels; a task holds one meeting at a time."""
 
     def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
-        sid = table["sid"].to_numpy()
-        found = linked([np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()], table["label"].to_numpy())
-        a, b = (sid[np.array([p[k] for p in found], np.int64)] for k in (0, 1))
+        label = table["label"].to_numpy()
+        found = linked([np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()], label)
+        a, b = (label[np.array([p[k] for p in found], np.int64)] for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +176,8 @@ def decide(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     points = common.stored(marked.groupBy("sid").agg(F.first("keys").alias("keys"), F.min("fp").alias("fp"), F.min("digest").alias("digest")), "points")
     members, groups = candidate_groups(points)
     grouped = members.join(groups, "key")
-    pairs = common.stored(grouped.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
+    with_centre = grouped.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b"))
+    pairs = common.stored(with_centre.unionByName(pairs_by_print(points)).distinct(), "pairs")
 
     # the sets of all that have company: one text of each, found by its digest
     named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(points.select("sid", "digest"), "sid")
@@ -194,11 +201,14 @@ def decide(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     own = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")
     meetings = (
         open_.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), "sid", "label", "hashes")
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), "label", "hashes")
     )
-    within = common.stored(links_within(meetings), "within")
-    roots = components(near.unionByName(within)).select(F.col("node").alias("sid"), "root")
-    decided = common.stored(marked.join(roots, "sid", "left").select("doc_id", "digest", F.coalesce("root", "sid").alias("root")), "decided")
+    within = common.stored(links_within(meetings).distinct(), "within")
+    # what these links connect are components of labels
+    joined = components(within).select(F.col("node").alias("label"), F.col("root").alias("over"))
+    placed_sets = labels.select(F.col("node").alias("sid"), F.col("root").alias("label"))
+    roots = marked.join(placed_sets, "sid", "left").withColumn("label", F.coalesce("label", "sid")).join(joined, "label", "left")
+    decided = common.stored(roots.select("doc_id", "digest", F.coalesce("over", "label").alias("root")), "decided")
     common.forget(marked, points, members, groups, pairs, sets, near, placed, within)
     return decided
 
