@@ -1,4 +1,4 @@
-"""Fixed values of the catalogue rules: word lists, weights and thresholds."""
+"""Fixed values of the catalogue rules: word lists, patterns, weights and thresholds that results must agree with."""
 
 #: Colour words, Norwegian and English.
 COLOURS = ["hvit", "white", "svart", "black", "blå", "blue", "rød", "red", "grønn", "green", "gul", "yellow", "rosa", "pink", "lilla", "purple", "oransje", "orange", "brun", "brown", "grå", "grey", "gray", "transparent", "klar", "clear"]
@@ -9,28 +9,118 @@ TYPE_KEYWORDS = [
     "hanske", "hansker", "glove", "gloves", "bandasje", "bandage", "dressing", "kompress", "compress", "swab", "sprøyte", "syringe", "kanyle", "needle", "nål",
     "kateter", "catheter", "sutur", "suture", "plaster", "tape", "frakk", "gown", "munnbind", "mask", "slange", "tube", "tubing", "sonde", "probe", "skalpell", "scalpel", "blade",
 ]
+#: What varies in a family: the pattern of each dimension in a lower-cased text (group 1 is its value).
+DIMENSION_PATTERNS = {
+    "size": r"\b(x{0,3}s|x{0,3}l|m)\b", "number": r"\b(?:str\.?|størrelse|size)\s*(\d+(?:[.,]\d+)?)\b", "gauge": r"\b(\d{1,2})\s*g\b",
+    "dimension": r"\b(\d+(?:[.,]\d+)?\s*x\s*\d+(?:[.,]\d+)?(?:\s*x\s*\d+(?:[.,]\d+)?)?)\s*(cm|mm|m)?\b", "volume": r"\b(\d+(?:[.,]\d+)?)\s*(ml|l|µl)\b", "ch": r"\b(?:ch|fr\.?)\s*(\d+)\b",
+    "suture": r"\b(?:usp\s*)?(\d+[-/]0)\b", "side": r"\b(venstre|høyre|left|right|sin|dex)\b", "length": r"\b(\d+(?:[.,]\d+)?)\s*(mm|cm|m)\b",
+}
+#: Keys of details that give a dimension.
+DIMENSION_KEYS = {"size": "størrelse|size", "gauge": "gauge", "length": "lengde|length", "width": "bredde|width", "colour": "farge|color|colour", "volume": "volum|volume", "ch": r"ch\b|french", "diameter": "diameter"}
+#: Names of dimensions, in whose order a family lists them.
+DIMENSION_NAMES = {
+    "width": "Bredde", "ch": "CH", "diameter": "Diameter", "dimension": "Dimensjon", "colour": "Farge", "gauge": "Gauge", "length": "Lengde", "side": "Sidevalg", "size": "Størrelse", "suture": "Trådstørrelse", "volume": "Volum",
+}
+#: Hundredths of a score times 0.85, where the product ends in a half: what rounding its binary value gives.
+REDUCED_HALVES = {10: 9, 30: 26, 50: 42, 70: 59, 90: 77}
 #: Values that stand for a missing one.
 PLACEHOLDERS = ["ukjent", "unknown", "n/a", "-", ".", "na", "ingen", "test", "todo", "tbd", "xxx", "placeholder"]
-#: Words that say nothing of a product; the first four count for categories.
+NO_MANUFACTURER = ["ukjent", "unknown", "n/a", "-", ".", "na", "ingen"]
+NO_CATEGORY = ["ukjent", "annet", "diverse", "other", "uncategorized"]
+#: Words that say nothing of a product, and of a category.
 COMMON_WORDS = ["og", "i", "for", "med", "til", "av", "en", "et", "den", "det", "de", "er"]
+COMMON_WORDS_OF_CATEGORIES = ["og", "i", "for", "med"]
 #: Names that name nothing, and English words of which two call for a translation; matched as substrings.
 GENERIC_NAMES = ["produkt", "vare", "artikkel", "item", "product", "test"]
 ENGLISH_NAMES = ["gloves", "bandage", "tape", "pack", "box", "piece"]
 SENTINELS = ["none", "nan", "null", "na", "n/a", "", "<na>"]
-#: Words of a real specification; matched as substrings.
+#: Words of a real specification, for areas and, with five more, for fields; matched as substrings.
 SPEC_KEYWORDS = [
     "mm", "cm", "m", "ml", "l", "g", "kg", "stk", "pk", "µm", "størrelse", "size", "materiale", "material", "farge", "color", "vekt", "weight", "lengde", "length",
     "bredde", "width", "høyde", "height", "tykkelse", "thickness", "diameter", "latex", "nitril", "vinyl", "polyester", "bomull", "cotton",
     "steril", "sterile", "usteril", "non-sterile", "engangs", "disposable", "flergangs", "reusable",
 ]
+FIELD_KEYWORDS = [*SPEC_KEYWORDS, "ce-merket", "ce-marked", "iso", "en-", "astm"]
+#: Keys that details of a specification usually have: for fields, and for areas.
+EXPECTED_DETAILS = ["størrelse", "size", "materiale", "material", "farge", "color", "vekt", "weight", "lengde", "length", "bredde", "width"]
+KEY_DETAILS = ["størrelse", "size", "materiale", "material", "farge", "color", "vekt", "weight"]
+#: Parts of keys that name packaging: for fields, and for areas.
+PACKAGING_KEYS = [
+    "antall i pakn", "antall per pakn", "antall pr pakn", "antall i forpakn", "antall pr forpakn", "pakningsstørrelse", "pack size", "enheter i pakn", "enheter per pakn", "enheter pr pakn",
+    "stk i pakn", "stk per pakn", "stk pr pakn", "antall i inner", "transport", "kolli", "pall", "antall i trans", "antall pr trans",
+]
+PACKAGING_AREA_KEYS = [
+    "antall i pakn", "antall per pakn", "antall pr pakn", "antall i forpakn", "antall pr forpakn", "pakningsstørrelse", "pack size", "enheter i pakn", "enheter per pakn", "enheter pr pakn", "transport", "kolli", "pall",
+]
+#: Parts of an address that are no category.
+URL_PARTS = ["nb-no", "products", "https:", "http:", "www.onemed.no"]
 #: Weights of fields in a product's total, in halves, and hundredths that each status counts.
 FIELD_WEIGHTS = {"name": 4, "description": 3, "specification": 4, "manufacturer": 4, "mfr_number": 3, "category": 2, "packaging": 2, "image": 3, "brand": 1, "consistency": 1}
 STATUS_POINTS = {"STRONG": 100, "OK": 100, "WEAK": 65, "SHOULD_IMPROVE": 50, "MANUAL_REVIEW": 40, "REQUIRES_MANUFACTURER": 25, "MISSING": 0, "PROBABLE_ERROR": 0}
-#: Weights of areas, in quarters.
+#: Weights of areas, in quarters, their labels, and their names in explanations.
 AREA_WEIGHTS = {"name": 8, "description": 8, "specification": 8, "images": 6, "attributes": 4, "documents": 4, "manufacturer": 6, "category": 3, "packaging": 3}
+AREA_LABELS = {
+    "name": "Produktnavn", "description": "Beskrivelse", "specification": "Spesifikasjon", "images": "Bilder", "attributes": "Attributter", "documents": "Dokumentasjon",
+    "manufacturer": "Produsent", "category": "Kategori", "packaging": "Pakningsinformasjon",
+}
 #: Weights of image metrics, in hundredths.
 IMAGE_WEIGHTS = {"resolution": 15, "blur": 20, "brightness": 10, "contrast": 10, "background": 15, "edge": 10, "fill": 20}
 #: How far a source of image candidates is trusted, and what a candidate without any identity gets.
 SOURCE_TRUST = {1: 1.0, 2: 0.85, 3: 0.7, 4: 0.6, 5: 0.5}
 SOURCE_BASELINE = {1: 0.15, 2: 0.12, 3: 0.08, 4: 0.06, 5: 0.05}
 ENGLISH = ["the", "and", "for", "with", "this", "that", "are", "from", "of", "is", "to", "in"]
+#: Endings of company names.
+SUFFIXES = [" as", " ab", " gmbh", " inc", " ltd", " ag", " sa"]
+#: Image addresses: endings, marks of image servers, and what no product image holds.
+IMAGE_ENDINGS = [".jpg", ".jpeg", ".png", ".webp", ".gif", ".tiff", ".bmp"]
+IMAGE_MARKS = ["/image/", "/img/", "/photo/", "/media/", "/preview/", "/product-image/", "/produktbild/", "imagehandler", "/picture/", "/asset/"]
+IMAGE_SKIPS = [
+    "icon", "logo", "favicon", "placeholder", "1x1", "pixel", "spacer", "blank", "arrow", "flag", "banner", "cart", "checkout", "avatar", "social", "facebook", "twitter", "instagram", "linkedin", "youtube",
+    "spinner", "loading", "thumb_small", "thumbnail_tiny",
+]
+LIKELY_ENDINGS = [".jpg", ".jpeg", ".png", ".webp"]
+LIKELY_SKIPS = ["icon", "logo", "favicon", "placeholder", "1x1", "pixel", "spacer", "blank"]
+#: Labels of verification, in order of trust.
+VERIFICATION_LABELS = {
+    "EXACT_MATCH": "Verifisert mot produktside", "NORMALIZED_MATCH": "Verifisert (etter normalisering)", "SKU_IN_PAGE": "Delvis verifisert (artikkelnr funnet i sidetekst)",
+    "CDN_ONLY": "Kun bilde bekreftet — produktside ikke funnet/hentet", "UNVERIFIED": "Ikke verifisert — krever manuell sjekk", "MISMATCH": "Mulig feil produkt — artikkelnr stemmer ikke",
+    "AMBIGUOUS": "Usikker identitet — motstridende signaler",
+}
+#: What a product's name and details tell of its category, in order.
+CATEGORY_PATTERNS = {
+    r"\bhansk": "Hansker og beskyttelsesprodukter", r"\bbandasj": "Bandasjer og sårpleie", r"\bkompress": "Kompresser og sårpleie", r"\bplaster\b": "Plaster og sårforband", r"\bsprøyte": "Sprøyter og kanyler",
+    r"\bkanyl": "Sprøyter og kanyler", r"\bkateter": "Kateter og urologi", r"\bsutur": "Suturer og sårlukning", r"\bmunnbind": "Åndedrettsvern og munnbind", r"\bfrakk": "Beskyttelsesklær", r"\bsterili": "Steriliseringsprodukter",
+}
+#: What an address tells of its manufacturer, in order.
+MANUFACTURER_DOMAINS = {
+    "molnlycke": "Mölnlycke Health Care", "coloplast": "Coloplast", "bbraun": "B. Braun", "b-braun": "B. Braun", "smith-nephew": "Smith & Nephew", "smithnephew": "Smith & Nephew", "medline": "Medline",
+    "hartmann": "Paul Hartmann", "essity": "Essity", "sca": "Essity (SCA)", "abena": "Abena", "dansac": "Dansac (Coloplast)", "convatec": "ConvaTec", "cardinal": "Cardinal Health", "ansell": "Ansell",
+    "sempermed": "Sempermed", "medasense": "Medasense", "3m": "3M",
+}
+#: How much better a candidate is than what a product's image is now, in hundredths, and what its source adds.
+IMPROVEMENT = {"missing": 95, "low_quality": 70, "poor_background": 50, "review": 30}
+IMPROVEMENT_BOOST = {"manufacturer_mediabank": 10, "manufacturer_website": 5}
+#: Words that don't count as shared by a description and a page.
+OVERLAP_STOPS = ["og", "i", "med", "for", "av", "en", "et", "den", "det", "er", "på", "til", "fra", "som", "the", "and", "or", "with", "in", "of", "a", "an", "mm", "stk", "pk"]
+#: Lines that aren't description text, each by the pattern that begins or holds it.
+JUNK_HEADER = (
+    r"^(?:størrelseskode|størrelses?\s*kode|size\s*code|dispenser\s*/?\s*kartong|dispenser\s*/?\s*carton|lengde\s*dispenser|bredde\s*dispenser|bestillingsnummer|order\s*(?:number|code|no)"
+    r"|art\.?\s*(?:nr|nummer|no)|varenummer|item\s*no|ref\.?\s*(?:nr|no|nummer|kode)|farge\s*kode\b|colour\s*code|color\s*code|antall\s*(?:pr|per|i)\s*(?:eske|kartong|pall|kolli)|enhet|unit|qty|mengde|innhold\b|contents\b)"
+)
+JUNK_METADATA = (
+    r"^(?:produktdatablad|product\s*data\s*sheet|technical\s*data\s*sheet|side\s+\d+|page\s+\d+|dato\s*:|date\s*:|versjon|version|rev\b|www\.\S+|copyright|©|\(c\)|all\s*rights?\s*reserved|printed\s+in|onemed\s*(?:ab|as|oy|norge))\b"
+)
+JUNK_PATTERNS = {
+    "header": JUNK_HEADER, "metadata": JUNK_METADATA, "date": r"^\d{2,4}[.\-/]\d{2}[.\-/]\d{2,4}$", "quantity": r"^\d+\s*/\s*\d+$", "article": r"^(?:N?\d{5,}[\-\s]?\d*|[A-Z]{1,3}\d{5,})", "row": r"^(?:\d[\d.,]*\s+){2,}",
+    "section": r"\b(?:salgsenhet|transportkartong|produktdatablad)\b", "maker": r"^(?:produsent|manufacturer|leverandør|supplier)\s*:", "count": r"^antall\s*(?:pr|per|i|/)\s*", "variant": r"\b\d{4,7}\s+\S+.*?\d+\s*/\s*\d+",
+}
+#: What no description may hold, in order of the check.
+REJECTED = {
+    "number": r"\b\d{5,}\b", "quantity": r"\b\d+\s*/\s*\d+\b", "page": r"\bside\s+\d+\b", "date": r"\b\d{4}[-/.]\d{2}[-/.]\d{2}\b", "table": r"størrelseskode|dispenser\s*/\s*kartong|bestillingsnummer", "sheet": "produktdatablad",
+    "unit": r"\bsalgsenhet\b", "carton": r"\btransportkartong\b",
+}
+#: Those of both in which case doesn't count.
+ANY_CASE = ["header", "metadata", "section", "maker", "count", "page", "table", "sheet", "unit", "carton"]
+#: Rows of a table of variants within a text, and a heading that may stand before them.
+VARIANT_ENTRY = r"\b\d{4,7}\s+[A-ZÆØÅa-zæøå®].{5,}?\d+\s*/\s*\d+"
+VARIANT_HEADING = r"\s*(?:beskrivelse|størrelse|total|antall|ref)\s*$"

@@ -31,6 +31,20 @@ def identifier_of_number(c: Column) -> Column:
     return F.when(finite & (c == F.floor(c)), F.floor(c).cast("string")).when(finite, c.cast("string"))
 
 
+def plain(c: Column) -> Column:
+    """Lower case, without white space at the ends."""
+    return F.lower(strip(c))
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def is_upper(c: Column) -> Column:
+    """Whether it has letters with case, all of them capitals."""
+    return (F.upper(c) == c) & (F.lower(c) != c)
+
+
 def words(c: Column) -> Column:
     """Lower-cased words, repeats included."""
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[ \t\r\n]+"), lambda w: w != "")
@@ -71,11 +85,12 @@ def keyword_hits(c: Column, keywords: list[str] = fixed.SPEC_KEYWORDS) -> Column
     return F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(c), k)))
 
 
-UNIT = r"\d+(?:[.,]\d+)?\s*(?:mm|cm|m|ml|l|g|kg)"
+UNIT = r"\d+[.,]?\d*\s*(?:mm|cm|m|ml|l|g|kg|stk|pk|µm|%)"
 
 
 def has_measurable_content(c: Column) -> Column:
-    return (keyword_hits(c) >= 2) | F.lower(c).rlike(UNIT) | (F.size(F.regexp_extract_all(c, F.lit(r"\w+:\s*\w+"), F.lit(0))) >= 2)
+    pairs = F.regexp_count(c, F.lit(r"(?U)\w+\s*[:=]\s*\w+"))
+    return (keyword_hits(c, fixed.FIELD_KEYWORDS) >= 2) | F.lower(c).rlike(UNIT) | (pairs >= 2)
 
 
 def looks_english(c: Column) -> Column:
@@ -96,47 +111,131 @@ def is_placeholder(c: Column) -> Column:
     return F.lower(F.trim(c)).isin(fixed.PLACEHOLDERS)
 
 
-JUNK = [
-    ("short", lambda c: F.length(F.trim(c)) < 3),
-    ("header", lambda c: F.lower(c).rlike(r"^(størrelseskode|bestillingsnummer|varenummer|enhet|unit|qty|mengde|art\.? ?(nr|nummer|no)|item ?no|innhold|contents)")),
-    ("metadata", lambda c: F.lower(c).rlike(r"^(produktdatablad|product ?data ?sheet|side +[0-9]+|page +[0-9]+|dato ?:|date ?:|versjon|version|www\.|copyright|©|\(c\)|all rights? reserved)")),
-    ("date", lambda c: c.rlike(r"^ *[0-9]{2,4}[./-][0-9]{2}[./-][0-9]{2,4} *$")),
-    ("quantity", lambda c: c.rlike(r"^ *[0-9]+ */ *[0-9]+ *$")),
-    ("article", lambda c: c.rlike(r"^ *(N?[0-9]{5,}|[A-Z]{1,3}[0-9]{5,})")),
-    ("row", lambda c: c.rlike(r"^ *([0-9][0-9.,]* +){2,}")),
-    ("section", lambda c: F.lower(c).rlike(r"salgsenhet|transportkartong")),
-    ("copyright", lambda c: F.contains(F.lower(c), F.lit("copyright")) | F.contains(c, F.lit("©"))),
-    ("numbers", lambda c: F.expr("false") | ((F.size(_tokens(c)) >= 3) & (F.size(F.filter(_tokens(c), lambda t: t.rlike(r"^[0-9.,/-]+$"))) > 0.4 * F.size(_tokens(c))))),
-]
-
-
-def _tokens(c: Column) -> Column:
-    return F.filter(F.split(c, " +"), lambda t: t != "")
+def _flags(name: str) -> str:
+    return "(?iuU)" if name in fixed.ANY_CASE else "(?U)"
 
 
 def junk_reason(c: Column) -> Column:
-    """Why a line isn't description text; null for text."""
-    out = None
-    for reason, rule in JUNK:
-        out = F.when(rule(c), reason) if out is None else out.when(rule(c), reason)
-    return out
+    """Why a line (without white space at its ends) isn't description text; null for text."""
+    out = F.when(F.length(c) < 3, "short")
+    for name, pattern in fixed.JUNK_PATTERNS.items():
+        out = out.when(c.rlike(_flags(name) + pattern), name)
+    n, numeric = F.regexp_count(c, F.lit(r"(?U)\S+")), F.regexp_count(c, F.lit(r"(?U)(?<!\S)[\d.,/\-x×]+(?!\S)"))
+    slashes = F.length(c) - F.length(F.replace(c, F.lit("/")))
+    return out.when((n >= 3) & (numeric > 0.4 * n), "numbers").when((slashes >= 3) & ~c.rlike(r"(?U)\b(?:XS|S|M|L|XL|XXL)\b"), "slashes")
 
 
 def description_gate(c: Column) -> Column:
     """Why a text can't stand as a description; null if it can."""
-    text = F.trim(F.coalesce(c, F.lit("")))
+    text = strip(F.coalesce(c, F.lit("")))
     lines = F.split(text, "\n")
-    short = F.size(F.filter(lines, lambda x: F.length(F.trim(x)) < 30))
-    broken = F.exists(lines, lambda x: (F.length(F.trim(x)) > 50) & F.trim(x).rlike(r"(^|[^0-9A-Za-zæøåÆØÅ_])(og|for|som|med|til|av|er|i)$") & ~F.trim(x).rlike(r"^[•*-]"))
-    return (
-        F.when(text == "", "empty").when(sentences(text) < 2, "short").when(F.length(text) > 1500, "long")
-        .when(text.rlike(r"(^|[^0-9A-Za-z_])[0-9]{5,}($|[^0-9A-Za-z_])"), "number").when(text.rlike(r"[0-9]+\s*/\s*[0-9]+"), "quantity")
-        .when(F.lower(text).rlike(r"(^|[^0-9a-z_])side\s+[0-9]+"), "page").when(F.lower(text).rlike("størrelseskode|bestillingsnummer|produktdatablad|salgsenhet|transportkartong"), "sheet")
-        .when((F.size(lines) > 5) & (short > 0.6 * F.size(lines)), "table").when(broken, "broken")
-    )
+    short = F.size(F.filter(lines, lambda x: F.length(strip(x)) < 30))
+    broken = F.exists(lines, lambda x: (F.length(strip(x)) > 50) & strip(x).rlike(r"(?U)\b(og|for|som|med|til|av|er|i)$") & ~strip(x).rlike(r"^[•*-]"))
+    out = F.when(text == "", "empty").when(sentences(text) < 2, "short").when(F.length(text) > 1500, "long")
+    for name, pattern in fixed.REJECTED.items():
+        out = out.when(text.rlike(_flags(name) + pattern), name)
+    return out.when((F.size(lines) > 5) & (short > 0.6 * F.size(lines)), "table-like").when(broken, "broken")
+
+
+def without_variants(c: Column) -> Column:
+    """The text without what lies between its first and its last row of variants, if there are two rows or more and something is left."""
+    parts = F.split(c, f"(?U){fixed.VARIANT_ENTRY}")
+    before = F.regexp_replace(F.regexp_replace(F.element_at(parts, 1), r"(?U)\s+$", ""), f"(?iuU){fixed.VARIANT_HEADING}", "")
+    left = F.filter(F.array(before, F.regexp_replace(F.element_at(parts, -1), r"(?U)^\s+", "")), lambda x: x != "")
+    return F.when((F.size(parts) >= 3) & (F.size(left) > 0), F.array_join(left, "\n")).otherwise(c)
 
 
 def merged_lines(c: Column) -> Column:
     """A text's lines without junk; a line that begins in lower case goes on with one that has no end mark."""
-    kept = F.transform(F.filter(F.split(c, "\n"), lambda x: junk_reason(x).isNull()), F.trim)
-    return F.split(F.regexp_replace(F.array_join(kept, "\n"), r"([^.!?:;)\n])\n(\p{Ll})", "$1 $2"), "\n")
+    kept = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: junk_reason(x).isNull())
+    return F.split(F.regexp_replace(F.array_join(kept, "\n"), r"(?<=[^.!?:;)\n])\n(?=\p{Ll})", " "), "\n")
+
+
+# labels and small rules
+
+
+def normalized_number(c: Column) -> Column:
+    """An article number to compare: capitals, no N before digits, no white space, dash or dot."""
+    return F.regexp_replace(F.regexp_replace(F.upper(strip(F.coalesce(c, F.lit("")))), r"^N(?=\d+$)", ""), r"[\s\-.]", "")
+
+
+def holds_number(text: Column, number: Column) -> Column:
+    """Whether a text holds an article number, both without separators."""
+    n = normalized_number(number)
+    found = F.contains(F.regexp_replace(F.upper(text), r"[\s\-.]", ""), n)
+    return F.coalesce((n != "") & (text != "") & (found | ((F.length(n) >= 5) & F.contains(F.regexp_replace(text, "[ -]", ""), n))), F.lit(False))
+
+
+def effective_brand(brand: Column, supplier: Column) -> Column:
+    """The brand that groups products: the brand, else the supplier, neither of them a word for none; lower case, empty for want of both."""
+    b, s = plain(brand), plain(supplier)
+    return F.coalesce(F.when(~b.isin("", "none", "ukjent", "unknown"), b), F.when(~s.isin("", "none", "ukjent"), s), F.lit(""))
+
+
+def comparable(c: Column) -> Column:
+    """A text without what formatting adds: bullets, white space, zero-width characters and case."""
+    x = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?mU)^\s*[•\-*►▸‣⁃]\s*", "- ")
+    return plain(F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), "[\u200b\ufeff]", ""))
+
+
+def overlap(description: Column, page: Column) -> Column:
+    """The share of a description's distinct words (three letters at least, no stop words) that a page holds."""
+    own = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(description), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(fixed.OVERLAP_STOPS)))
+    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.contains(F.lower(page), w))) / F.size(own)).otherwise(F.lit(0.0))
+
+
+def without_suffixes(name: Column, suffixes: list[str] = fixed.SUFFIXES) -> Column:
+    """A company's name in lower case without what its form adds; each suffix is taken off once, in order."""
+    x = plain(name)
+    for suffix in suffixes:
+        x = F.when(x.endswith(suffix), F.trim(F.substr(x, F.lit(1), F.length(x) - len(suffix)))).otherwise(x)
+    return x
+
+
+def guessed_domain(name: Column) -> Column:
+    x = without_suffixes(F.regexp_replace(name, "[®™©]", ""))
+    return F.when(x.rlike(r"(?U)^[^\W_]{3,}$"), F.concat(F.lit("www."), x, F.lit(".com")))
+
+
+def first_match(c: Column, rules: dict[str, str], by_pattern: bool) -> Column:
+    """The value of the first pattern, or part, that a text holds."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for rule, value in rules.items():
+        out = out.when(c.rlike("(?U)" + rule) if by_pattern else F.contains(c, F.lit(rule)), value)
+    return out
+
+
+def holds_any(c: Column, parts: list[str]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(c, F.lit(part))
+    return found
+
+
+def is_image_url(url: Column) -> Column:
+    low = F.lower(url)
+    path = F.regexp_replace(F.regexp_replace(low, r"[?#].*$", ""), r"^[a-z]+://[^/]*", "")
+    ends = F.lit(False)
+    for ending in fixed.IMAGE_ENDINGS:
+        ends = ends | path.endswith(ending)
+    return F.coalesce(ends | holds_any(low, fixed.IMAGE_MARKS), F.lit(False))
+
+
+def is_product_image(url: Column, alt: Column) -> Column:
+    low = F.lower(F.coalesce(alt, F.lit("")))
+    return is_image_url(url) & ~F.coalesce(holds_any(F.lower(url), fixed.IMAGE_SKIPS), F.lit(False)) & ~holds_any(low, fixed.IMAGE_SKIPS)
+
+
+def no_page_reason(verification: Column, found: Column) -> Column:
+    return (
+        F.when(verification == "CDN_ONLY", "Ingen produktside funnet på nettstedet (kun bilde bekreftet via CDN)").when(~found, "Produktet ble ikke funnet på nettstedet")
+        .when(verification == "MISMATCH", "Produktsiden tilhører et annet produkt (SKU-avvik)").otherwise("Nettstedet mangler denne verdien")
+    )
+
+
+def confidence_label(x: Column) -> Column:
+    return F.when(x >= 0.7, "Høy tillit").when(x >= 0.45, "Middels tillit").when(x >= 0.25, "Lav tillit").otherwise("Krever manuell vurdering")
+
+
+def with_rationale(evidence: Column, reason: Column) -> Column:
+    return F.concat_ws(" | ", filled(evidence), reason)

@@ -1,4 +1,4 @@
-"""Raw sheets and pages to descriptions."""
+"""Raw sheets and pages to descriptions; all that concerns a text stays within its row."""
 
 from __future__ import annotations
 
@@ -9,16 +9,34 @@ from ..functions import text as t
 
 #: A text with less left is no description.
 LEAST_CHARS = 20
+c = F.col
+
+
+def runs_of_lines(rows: DataFrame, lines: str) -> DataFrame:
+    """rows with `_sorted` (key, n, x of each line, by key, then place) and `_starts`, the places in it where a new key begins.
+
+    Sorting takes n log n steps for a text of n lines; both arrays are columns of their own, so that they are made once.
+    """
+    keyed = F.transform(lines, lambda x, n: F.struct(t.line_key(x).alias("key"), n.alias("n"), x.alias("x")))
+    out = rows.withColumn("_sorted", F.array_sort(keyed))
+    fresh = F.transform("_sorted", lambda s, k: F.when((k == 0) | (F.get("_sorted", k - 1).key != s.key), k))
+    return out.withColumn("_starts", F.filter(fresh, lambda k: k.isNotNull()))
+
+
+def first_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line, n_copies): the first of a text's equal lines and how many there are; no shuffle."""
+    runs = runs_of_lines(docs.select(id_col, F.split(text_col, "\n").alias("_lines")), "_lines")
+    each = F.transform("_starts", lambda s, k: F.struct(F.get("_sorted", s).n.cast("long").alias("line"), (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - s).cast("long").alias("n_copies")))
+    return runs.select(id_col, each.alias("_each")).select(id_col, F.inline("_each"))
 
 
 def clean_descriptions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, cleaned): junk lines out, broken lines joined, the first of equal lines kept, then lines of three words or with an end mark.
+    """(id, cleaned): variant blocks and junk lines out, broken lines joined, the first of equal lines kept, then lines of three words or with an end mark.
 
-    Lines of a text are grouped by its id, so rows must differ in it; texts with nothing left have no row.
+    Texts with nothing left have no row.
     """
-    c = F.col
-    lines = docs.select(id_col, F.posexplode(t.merged_lines(c(text_col))).alias("n", "x"))
-    first = lines.groupBy(id_col, t.line_key(c("x")).alias("y")).agg(F.min(F.struct("n", "x")).alias("line"))
-    good = first.filter((F.size(t.words(c("line.x"))) >= 3) | c("line.x").rlike(r"[.:!]$"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda s: s.x), "\n")
-    return good.groupBy(id_col).agg(joined.alias("cleaned")).filter(F.length("cleaned") >= LEAST_CHARS)
+    lines = docs.select(id_col, t.without_variants(c(text_col)).alias("_text")).select(id_col, t.merged_lines(c("_text")).alias("_lines"))
+    first = runs_of_lines(lines, "_lines").select(id_col, F.array_sort(F.transform("_starts", lambda s: F.struct(F.get("_sorted", s).n.alias("n"), F.get("_sorted", s).x.alias("x")))).alias("_first"))
+    good = F.filter("_first", lambda s: (F.size(t.words(s.x)) >= 3) | s.x.rlike(r"[.:!]$"))
+    out = first.select(id_col, F.array_join(F.transform(good, lambda s: s.x), "\n").alias("cleaned"))
+    return out.filter(F.length("cleaned") >= LEAST_CHARS)

@@ -11,11 +11,10 @@ c = F.col
 
 
 def values_match(a: Column, b: Column) -> Column:
-    """Equal but for case, borders and punctuation, or one holds the other at 80 % of its length."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    plain = lambda v: F.trim(F.regexp_replace(v, "[^0-9a-zæøå]+", " "))
+    """Equal but for case, white space and punctuation, or one holds the other at 80 % of its length (over five characters each)."""
+    x, y = (F.lower(F.trim(F.regexp_replace(v, r"(?U)[\s\-_/.,;:]+", " "))) for v in (a, b))
     near = (F.length(x) > 5) & (F.length(y) > 5) & (F.contains(x, y) | F.contains(y, x)) & (F.least(F.length(x), F.length(y)) >= 0.8 * F.greatest(F.length(x), F.length(y)))
-    return (x == y) | (plain(x) == plain(y)) | near
+    return (a == b) | (x == y) | near
 
 
 def merge(pdf: DataFrame, mfr: DataFrame) -> DataFrame:

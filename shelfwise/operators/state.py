@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +27,30 @@ def recent_count(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     return df.withColumn("recent", F.count("*").over(W.partitionBy(key).orderBy(at).rangeBetween(-(seconds - 1), 0)))
 
 
+def admitted(df: DataFrame, key: str, order: str, ts: str, most: int = 5, seconds: int = 60) -> DataFrame:
+    """(key, order, allowed): a sliding-window rate limit in which rejected events don't count; the batch form of `streaming.admitted`.
+
+    A key's events come in order and only the last `most` admitted times are held, however many there are.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            out = []
+            for k, at in zip(batch["key"].to_pylist(), batch["at"].to_pylist()):
+                if k != last:
+                    last, held = k, []
+                held = [x for x in held if at - x < seconds]
+                out.append(len(held) < most)
+                if out[-1]:
+                    held.append(at)
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["place"], pa.array(out, pa.bool_())], ["key", "place", "allowed"])
+
+    plain = df.select(c(key).cast("long").alias("key"), c(order).cast("long").alias("place"), F.unix_timestamp(c(ts).cast("timestamp")).alias("at"))
+    judged = plain.repartition("key").sortWithinPartitions("key", "at", "place").mapInArrow(step, "key long, place long, allowed boolean")
+    return judged.select(c("key").alias(key), c("place").alias(order), "allowed")
+
+
 def before_misses(df: DataFrame, key: str, order: str, hit: Column, misses: int = 2) -> DataFrame:
     """A key's rows up to the first run of `misses` misses (the run itself is out)."""
     w = W.partitionBy(key).orderBy(order)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scores
@@ -180,14 +181,19 @@ def q_priority(spark, sf):
     return fields.scored_areas(products(spark, sf)).select("key", "priority")
 
 
-@query(f"""{V}, a AS ({sql.AREAS}), o AS (SELECT *, {sql.AREA_MEAN} AS overall FROM a) SELECT {sql.PRIORITY} AS priority, count(*) AS n FROM o GROUP BY 1""")
+_PRIORITIES = ["Kritisk", "Høy", "Middels", "Lav"]
+
+
+@query(f"""{V}, a AS ({sql.AREAS}), o AS (SELECT *, {sql.AREA_MEAN} AS overall FROM a), p AS (SELECT {sql.PRIORITY} AS priority FROM o)
+    SELECT b.priority, count(p.priority) AS n FROM (SELECT unnest(['Kritisk', 'Høy', 'Middels', 'Lav', 'Ukjent']) AS priority) b LEFT JOIN p ON b.priority = p.priority GROUP BY 1""")
 def q_priority_distribution(spark, sf):
-    return fields.scored_areas(products(spark, sf)).groupBy("priority").agg(F.count("*").alias("n"))
+    """How many products each priority has; a priority of none has a row too."""
+    counted = fields.scored_areas(products(spark, sf)).groupBy("priority").agg(F.count("*").alias("n"))
+    buckets = spark.createDataFrame([(p,) for p in [*_PRIORITIES, "Ukjent"]], "priority string")
+    return buckets.join(counted, "priority", "left").na.fill(0, ["n"])
 
 
-@query(f"""{V}, a AS ({sql.AREAS}), l AS ({' UNION ALL '.join(f"SELECT key, {i} AS place, '{k}' AS area, {k}_score AS score FROM a" for i, k in enumerate(fixed.AREA_WEIGHTS))}),
-    r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, place) AS r FROM l WHERE score < 75)
-    SELECT a.key, coalesce(string_agg(area, ', ' ORDER BY r), '') AS why_low FROM a LEFT JOIN r ON a.key = r.key AND r.r <= 2 GROUP BY a.key""")
+@query(f"""{V}, a AS ({sql.AREAS}), {sql.WHY_LOW}""")
 def q_why_low(spark, sf):
     return fields.scored_areas(products(spark, sf)).select("key", "why_low")
 
@@ -200,16 +206,17 @@ def q_area_averages(spark, sf):
     return scored.select(each).groupBy("x.area").agg(F.avg("x.score").alias("avg_score"), F.count_if(c("x.score") == 0).alias("n_missing"))
 
 
-@query(f"{V}, a AS ({sql.AREAS}) SELECT key, (name_score * 8 + images_score * 6)::DOUBLE / 14 AS overall FROM a")
+@query(f"{V}, a AS ({sql.AREAS}) SELECT key, round_even((name_score * 8 + images_score * 6)::DOUBLE / 14, 1) AS overall FROM a")
 def q_focus_presets(spark, sf):
     return fields.scored_areas(products(spark, sf), ["name", "images", "no such area"]).select("key", "overall")
 
 
 @query(f"""{V}, s AS ({sql.STATUSES}), x AS ({' UNION ALL '.join(f"SELECT '{k}' AS field, {k}_status AS status FROM s" for k in fixed.FIELD_WEIGHTS)})
-    SELECT field, count_if(status = 'STRONG') AS "STRONG", count_if(status = 'OK') AS "OK", count_if(status = 'MISSING') AS "MISSING", count_if(status = 'SHOULD_IMPROVE') AS "SHOULD_IMPROVE" FROM x GROUP BY field""")
+    SELECT field, count_if(status = 'STRONG') AS "STRONG", count_if(status = 'OK') AS "OK", count_if(status = 'MISSING') AS "MISSING", count_if(status = 'SHOULD_IMPROVE') AS "SHOULD_IMPROVE", count_if(status = 'WEAK') AS "WEAK", count_if(status = 'PROBABLE_ERROR') AS "PROBABLE_ERROR",
+    count_if(status = 'MANUAL_REVIEW') AS "MANUAL_REVIEW", count_if(status = 'REQUIRES_MANUFACTURER') AS "REQUIRES_MANUFACTURER" FROM x GROUP BY field""")
 def q_status_by_field(spark, sf):
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), c(f"{k}_status").alias("status")) for k in fixed.FIELD_WEIGHTS])).alias("x")
-    wide = _statuses(spark, sf).select(each).groupBy(c("x.field").alias("field")).pivot("x.status", ["STRONG", "OK", "MISSING", "SHOULD_IMPROVE"]).agg(F.count(F.lit(1)))
+    wide = _statuses(spark, sf).select(each).groupBy(c("x.field").alias("field")).pivot("x.status", list(fixed.STATUS_POINTS)).agg(F.count(F.lit(1)))
     return wide.na.fill(0)
 
 
@@ -223,21 +230,20 @@ def q_summary_kpis(spark, sf):
     )
 
 
-_VERIFIED = "CASE key % 7 WHEN 0 THEN 'EXACT_MATCH' WHEN 1 THEN 'NORMALIZED_MATCH' WHEN 2 THEN 'SKU_IN_PAGE' WHEN 3 THEN 'MISMATCH' ELSE 'UNVERIFIED' END"
-
-
-@query(f"""{V}, x AS (SELECT key, web_name IS NOT NULL AS found, {_VERIFIED} AS verification FROM v)
-    SELECT key, CASE WHEN NOT found THEN 'not found' WHEN verification NOT IN ('EXACT_MATCH', 'NORMALIZED_MATCH', 'SKU_IN_PAGE') THEN 'not verified: ' || verification END AS excluded FROM x""")
+@query(f"""{V} SELECT key, CASE WHEN NOT found THEN 'not found' WHEN verification NOT IN ('EXACT_MATCH', 'NORMALIZED_MATCH', 'SKU_IN_PAGE') THEN 'not verified: ' || verification END AS excluded FROM v""")
 def q_hard_filter_excluded(spark, sf):
-    x = products(spark, sf).select("key", c("web_name").isNotNull().alias("found"), F.expr(_VERIFIED).alias("verification"))
     sure = c("verification").isin("EXACT_MATCH", "NORMALIZED_MATCH", "SKU_IN_PAGE")
-    return x.select("key", F.when(~c("found"), "not found").when(~sure, F.concat(F.lit("not verified: "), c("verification"))).alias("excluded"))
+    return products(spark, sf).select("key", F.when(~c("found"), "not found").when(~sure, F.concat(F.lit("not verified: "), c("verification"))).alias("excluded"))
+
 
+_CONTACT = "manufacturer_status = 'MISSING' OR mfr_number_status = 'MISSING' OR specification_status = 'MISSING'"
 
-@query(f"{V} SELECT coalesce(brand, 'Ukjent produsent') AS manufacturer, count(*) AS n FROM v WHERE specification IS NULL OR brand IS NULL GROUP BY 1")
+
+@query(f"{V}, s AS ({sql.STATUSES}) SELECT coalesce(manufacturer, supplier, 'Ukjent produsent') AS manufacturer, count(*) AS n, min(key) AS first_key FROM s WHERE {_CONTACT} GROUP BY 1")
 def q_manufacturer_followup(spark, sf):
-    lacking = products(spark, sf).filter("specification is null or brand is null")
-    return lacking.groupBy(F.coalesce("brand", F.lit("Ukjent produsent")).alias("manufacturer")).agg(F.count("*").alias("n"))
+    """Products that only their manufacturer can complete, by manufacturer."""
+    lacking = _statuses(spark, sf).filter(fields.needs_manufacturer())
+    return lacking.groupBy(F.coalesce("manufacturer", "supplier", F.lit("Ukjent produsent")).alias("manufacturer")).agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
 
 
 @query(f"""{V} SELECT key, CASE WHEN erp_name IS NULL THEN FALSE WHEN web_name IS NULL THEN TRUE WHEN lower(trim(web_name)) = lower(trim(erp_name)) THEN FALSE ELSE NOT (length(web_name) > 10 AND length(erp_name) > 10
@@ -264,29 +270,31 @@ def q_pim_staging(spark, sf):
     return v.join(reviews, "key", "left").select("key", c("web_name").alias("current_name"), c("erp_name").alias("suggested_name"), approval.alias("approval"))
 
 
-@query(f"""{V} SELECT key, (web_name IS NOT NULL)::INTEGER + (description IS NOT NULL)::INTEGER + (specification IS NOT NULL)::INTEGER + (brand IS NOT NULL)::INTEGER + (category IS NOT NULL)::INTEGER
-    + (packaging IS NOT NULL)::INTEGER AS n_filled FROM v""")
+@query(f"""{V}, x AS (SELECT key, 20 * ((web_name IS NOT NULL)::INTEGER + (description IS NOT NULL)::INTEGER + (specification IS NOT NULL)::INTEGER + (category IS NOT NULL)::INTEGER + (packaging IS NOT NULL)::INTEGER) AS rule_score,
+    CASE WHEN image_quality IS NOT NULL THEN image_avg END AS model_score FROM v), y AS (SELECT *, CASE WHEN model_score IS NULL THEN rule_score ELSE (rule_score * 4 + model_score * 6) / 10 END AS combined FROM x)
+    SELECT key, rule_score, model_score, round_even(combined, 1)::DOUBLE AS combined_score, CASE WHEN combined >= 70 THEN 'OK' WHEN combined >= 40 THEN 'Needs review' ELSE 'Critical' END AS flag FROM y""")
 def q_batch_evaluate(spark, sf):
-    filled = [t.filled(c(x)).isNotNull().cast("int") for x in ("web_name", "description", "specification", "brand", "category", "packaging")]
-    return products(spark, sf).select("key", sum(filled[1:], filled[0]).alias("n_filled"))
+    """Completeness of five fields, mixed with a model's score where there is one (here the image average stands in for it)."""
+    v = products(spark, sf).withColumn("model_score", F.when(c("image_quality").isNotNull(), c("image_avg")))
+    return v.select("key", *fields.evaluated(c("model_score")))
 
 
 # text
 
 
-@query(f"SELECT doc_id, n AS line, {sql.JUNK} AS reason FROM ({sql.LINES}) WHERE {sql.JUNK} IS NOT NULL")
+@query(f"SELECT doc_id, n AS line, {sql.JUNK} AS reason FROM ({sql.STRIPPED}) WHERE {sql.JUNK} IS NOT NULL")
 def q_junk_lines(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "x"))
-    return lines.select("doc_id", c("n").cast("long").alias("line"), t.junk_reason(c("x")).alias("reason")).filter("reason is not null")
+    return lines.select("doc_id", c("n").cast("long").alias("line"), t.strip(c("x")).alias("x")).select("doc_id", "line", t.junk_reason(c("x")).alias("reason")).filter("reason is not null")
 
 
-@query(f"""WITH l AS ({sql.LINES}), k AS (SELECT doc_id, n, x, lower(trim(regexp_replace(x, ' +', ' ', 'g'))) AS y FROM l WHERE {sql.JUNK} IS NULL),
-    f AS (SELECT doc_id, y, min(n) AS n FROM k GROUP BY 1, 2) SELECT doc_id, count(*) AS n_lines, sum(length(y))::BIGINT AS n_chars FROM f GROUP BY doc_id""")
+@query(f"""WITH k AS (SELECT doc_id, lower(regexp_replace(x, '\\s+', ' ', 'g')) AS y FROM ({sql.STRIPPED}) WHERE {sql.JUNK} IS NULL), f AS (SELECT DISTINCT doc_id, y FROM k)
+    SELECT doc_id, count(*) AS n_lines, sum(length(y))::BIGINT AS n_chars FROM f GROUP BY doc_id""")
 def q_clean_lines(spark, sf):
     """Junk lines out, then the first of each document's equal lines."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "x")).filter(t.junk_reason(c("x")).isNull())
-    first = lines.groupBy("doc_id", F.lower(F.trim(F.regexp_replace("x", " +", " "))).alias("y")).agg(F.min("n").alias("n"))
-    return first.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("y")).alias("n_chars"))
+    kept = F.filter(F.transform(F.split("text", "\n"), t.strip), lambda x: t.junk_reason(x).isNull())
+    keys_of = table(spark, sf, "documents").select("doc_id", F.array_distinct(F.transform(kept, t.line_key)).alias("y"))
+    return keys_of.filter(F.size("y") > 0).select("doc_id", F.size("y").cast("long").alias("n_lines"), F.aggregate("y", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
 _LINE_KEY = "trim(regexp_replace(lower(x), '[ \\t\\r\\n]+', ' ', 'g'))"
@@ -295,11 +303,15 @@ _LINE_KEY = "trim(regexp_replace(lower(x), '[ \\t\\r\\n]+', ' ', 'g'))"
 @query(f"SELECT doc_id, min(n) AS line, count(*) AS n_copies FROM ({sql.LINES}) GROUP BY doc_id, {_LINE_KEY}")
 def q_dedup_lines(spark, sf):
     """The first of each document's equal lines."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "x"))
-    return lines.groupBy("doc_id", t.line_key(c("x")).alias("y")).agg(F.min("n").cast("long").alias("line"), F.count("*").alias("n_copies")).drop("y")
+    return cleaning.first_lines(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_UNVARIED = f"""SELECT doc_id, CASE WHEN len(p) >= 3 AND (b <> '' OR e <> '') THEN concat_ws(chr(10), nullif(b, ''), nullif(e, '')) ELSE text END AS text FROM
+    (SELECT doc_id, text, p, regexp_replace(regexp_replace(p[1], '\\s+$', ''), '(?i){fixed.VARIANT_HEADING}', '') AS b, regexp_replace(p[-1], '^\\s+', '') AS e FROM (SELECT doc_id, text, regexp_split_to_array(text, '{fixed.VARIANT_ENTRY}') AS p FROM documents))"""
 
 
-@query(f"""WITH k AS (SELECT doc_id, n, trim(x) AS x FROM ({sql.LINES}) WHERE {sql.JUNK} IS NULL),
+@query(f"""WITH u AS ({_UNVARIED}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM u), st AS (SELECT doc_id, n, {sql.stripped('x')} AS x FROM l),
+    k AS (SELECT doc_id, n, x FROM st WHERE {sql.JUNK} IS NULL),
     j AS (SELECT doc_id, string_split(regexp_replace(string_agg(x, chr(10) ORDER BY n), '([^.!?:;)\\n])\\n(\\p{{Ll}})', '\\1 \\2', 'g'), chr(10)) AS m FROM k GROUP BY doc_id),
     e AS (SELECT doc_id, unnest(m) AS x, generate_subscripts(m, 1) AS n FROM j),
     f AS (SELECT doc_id, min(n) AS n, arg_min(x, n) AS x FROM e GROUP BY doc_id, {_LINE_KEY}),
@@ -310,7 +322,7 @@ def q_clean_documents(spark, sf):
     return cleaning.clean_descriptions(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query(f"SELECT doc_id, {sql.GATE} AS reason FROM (SELECT doc_id, trim(coalesce(text, '')) AS t, string_split(trim(coalesce(text, '')), chr(10)) AS ls FROM documents)")
+@query(f"SELECT doc_id, {sql.GATE} AS reason FROM (SELECT doc_id, {sql.stripped("coalesce(text, '')")} AS t, string_split({sql.stripped("coalesce(text, '')")}, chr(10)) AS ls FROM documents)")
 def q_description_gate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.description_gate(c("text")).alias("reason"))
 
@@ -327,22 +339,29 @@ def q_measurable_content(spark, sf):
     return table(spark, sf, "part").select("p_partkey", t.has_measurable_content(s).alias("measurable"), t.keyword_hits(s).cast("long").alias("n_keywords"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_distinct({sql.words('text')}) AS w, {sql.words('text')}[1] AS f FROM documents), b AS (SELECT item_id, list_distinct({sql.words('text')}) AS v, {sql.words('text')}[1] AS f FROM benchmark)
-    SELECT doc_id, item_id, len(list_intersect(w, v))::DOUBLE / len(list_distinct(list_concat(w, v))) AS jaccard FROM d JOIN b ON d.f = b.f""")
+_PAIRS = """SELECT p_partkey AS key, 'the ' || p_name || ' of ' || p_brand || ' for daily use in every house' AS cur, CASE p_partkey % 4 WHEN 0 THEN 'THE ' || p_name || ' of ' || p_brand || '  for daily use in every house' WHEN 1 THEN '' WHEN 2 THEN p_name
+    ELSE 'the ' || p_name || ' of ' || p_brand || ' for daily use in every house now' END AS new FROM part"""
+
+
+def _pairs(spark, sf):
+    """A product's text beside one that is suggested for it."""
+    k, text = c("p_partkey"), F.concat_ws(" ", F.lit("the"), c("p_name"), F.lit("of"), c("p_brand"), F.lit("for daily use in every house"))
+    new = F.when(k % 4 == 0, F.concat_ws(" ", F.lit("THE"), c("p_name"), F.lit("of"), c("p_brand"), F.lit(" for daily use in every house"))).when(k % 4 == 1, "").when(k % 4 == 2, c("p_name")).otherwise(F.concat(text, F.lit(" now")))
+    return table(spark, sf, "part").select(k.alias("key"), text.alias("cur"), new.alias("new"))
+
+
+@query(f"""WITH w AS (SELECT key, list_distinct({sql.words('cur')}) AS a, list_distinct({sql.words('new')}) AS b FROM ({_PAIRS}))
+    SELECT key, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS jaccard FROM w""")
 def q_jaccard_gate(spark, sf):
-    """Similarity of documents and benchmark passages that begin with the same word."""
-    d = table(spark, sf, "documents").select("doc_id", t.words(c("text")).alias("w")).withColumn("f", F.try_element_at("w", F.lit(1)))
-    b = table(spark, sf, "benchmark").select("item_id", t.words(c("text")).alias("v")).withColumn("f", F.try_element_at("v", F.lit(1)))
-    return d.join(b, "f").select("doc_id", "item_id", t.jaccard(c("w"), c("v")).alias("jaccard"))
+    """Similarity of a value and what is suggested for it."""
+    return _pairs(spark, sf).select("key", t.jaccard(t.words(c("cur")), t.words(c("new"))).alias("jaccard"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, text, list_distinct({sql.words('text')}) AS w, {sql.words('text')}[1] AS f FROM documents), b AS (SELECT item_id, list_distinct({sql.words('text')}) AS v, {sql.words('text')}[1] AS f FROM benchmark)
-    SELECT doc_id, item_id, length(text) > 30 AND len(list_intersect(w, v))::DOUBLE / len(w) > 0.85 AND (len(v) - len(list_intersect(w, v)))::DOUBLE / len(v) < 0.2 AS restates FROM d JOIN b ON d.f = b.f""")
+@query(f"""WITH w AS (SELECT key, cur, list_distinct({sql.words('cur')}) AS a, list_distinct({sql.words('new')}) AS b FROM ({_PAIRS}))
+    SELECT key, length(cur) > 30 AND len(list_intersect(a, b))::DOUBLE / len(a) > 0.85 AND coalesce((len(b) - len(list_intersect(a, b)))::DOUBLE / nullif(len(b), 0), 0) < 0.2 AS restates FROM w""")
 def q_containment(spark, sf):
-    """Whether a benchmark passage only restates a document that begins with the same word."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.try_element_at(t.words(c("text")), F.lit(1)).alias("f"))
-    b = table(spark, sf, "benchmark").select("item_id", c("text").alias("passage"), F.try_element_at(t.words(c("text")), F.lit(1)).alias("f"))
-    return d.join(b, "f").select("doc_id", "item_id", t.restates(c("text"), c("passage")).alias("restates"))
+    """Whether a suggestion only restates the value."""
+    return _pairs(spark, sf).select("key", t.restates(c("cur"), c("new")).alias("restates"))
 
 
 # evidence
@@ -421,9 +440,16 @@ def q_family_summary(spark, sf):
     return f.agg(F.count("*").alias("n"), F.count_if(c("score") >= 65).alias("n_strong"), F.count_if(c("varying") != "").alias("n_varying"), F.count_if(c("n") > 15).alias("n_large"), F.sum("n").alias("n_members"))
 
 
-@query(f"{V}, {sql.RECORDS} SELECT key, dim_size, dim_colour FROM rec")
+@query(f"{V}, {sql.RECORDS} SELECT key, base, {', '.join(f'dim_{k}' for k in fixed.DIMENSION_NAMES)} FROM rec")
 def q_variant_dims(spark, sf):
-    return _records(spark, sf).select("key", "dim_size", "dim_colour")
+    return _records(spark, sf).select("key", "base", *[f"dim_{k}" for k in fixed.DIMENSION_NAMES])
+
+
+@query(f"""{V}, {sql.RECORDS}, {sql.GROUPS} SELECT family_id, row_number() OVER (ORDER BY score DESC, n DESC, first_key) AS place FROM fam WHERE score >= 30 ORDER BY place LIMIT 50""")
+def q_family_order(spark, sf):
+    """The first 50 families by score, then size, then first member."""
+    top = families.ordered(families.groups(_records(spark, sf))).limit(50)
+    return top.withColumn("at", F.monotonically_increasing_id()).select("family_id", F.row_number().over(W.orderBy("at")).cast("long").alias("place"))
 
 
 @query("""
@@ -533,9 +559,16 @@ def q_saved_jobs_list(spark, sf):
     return state.newest(live, F.desc("o_orderdate"), F.desc("o_orderkey"), keep=50)
 
 
-@query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) <= 5 AS allowed FROM events")
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events)),
+    r AS (SELECT user_id, event_id, i, TRUE AS allowed, [t] AS held FROM e WHERE i = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.i, len(list_filter(r.held, lambda x: e.t - x < 86400)) < 5, CASE WHEN len(list_filter(r.held, lambda x: e.t - x < 86400)) < 5
+            THEN list_append(list_filter(r.held, lambda x: e.t - x < 86400), e.t) ELSE list_filter(r.held, lambda x: e.t - x < 86400) END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    SELECT user_id::BIGINT AS user_id, event_id, allowed FROM r
+""")
 def q_rate_limit(spark, sf):
-    return state.recent_count(table(spark, sf, "events"), "user_id", "ts", 3600).select("user_id", "event_id", (c("recent") <= 5).alias("allowed"))
+    """Five events a day and user; rejected ones don't count."""
+    return state.admitted(table(spark, sf, "events"), "user_id", "event_id", "ts", 5, 86400)
 
 
 @query("SELECT count_if(quality = 1) AS n_approved, count_if(quality = 0) AS n_rejected, count_if(toxic = 1) AS n_flagged, count(*) AS n FROM labels")
