@@ -188,7 +188,7 @@ def without_suffixes(name: Column, suffixes: list[str] = fixed.SUFFIXES) -> Colu
     """A company's name in lower case without what its form adds; each suffix is taken off once, in order."""
     x = plain(name)
     for suffix in suffixes:
-        x = F.when(x.endswith(suffix), F.trim(F.substr(x, F.lit(1), F.length(x) - len(suffix)))).otherwise(x)
+        x = F.trim(F.regexp_replace(x, f"{suffix}$", ""))
     return x
 
 

@@ -27,7 +27,8 @@ def first_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line, n_copies): the first of a text's equal lines and how many there are; no shuffle."""
     runs = runs_of_lines(docs.select(id_col, F.split(text_col, "\n").alias("_lines")), "_lines")
     each = F.transform("_starts", lambda s, k: F.struct(F.get("_sorted", s).n.cast("long").alias("line"), (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - s).cast("long").alias("n_copies")))
-    return runs.select(id_col, each.alias("_each")).select(id_col, F.inline("_each"))
+    # the outer form, as the optimizer would evaluate the arrays again to test for emptiness; a split text has a line at least
+    return runs.select(id_col, each.alias("_each")).select(id_col, F.inline_outer("_each")).filter("line is not null")
 
 
 def clean_descriptions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,5 +39,6 @@ def clean_descriptions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     lines = docs.select(id_col, t.without_variants(c(text_col)).alias("_text")).select(id_col, t.merged_lines(c("_text")).alias("_lines"))
     first = runs_of_lines(lines, "_lines").select(id_col, F.array_sort(F.transform("_starts", lambda s: F.struct(F.get("_sorted", s).n.alias("n"), F.get("_sorted", s).x.alias("x")))).alias("_first"))
     good = F.filter("_first", lambda s: (F.size(t.words(s.x)) >= 3) | s.x.rlike(r"[.:!]$"))
-    out = first.select(id_col, F.array_join(F.transform(good, lambda s: s.x), "\n").alias("cleaned"))
-    return out.filter(F.length("cleaned") >= LEAST_CHARS)
+    out = first.select(id_col, F.array(F.array_join(F.transform(good, lambda s: s.x), "\n")).alias("_cleaned"))
+    # through a generator, as the filter would else be pushed down with all that makes the text
+    return out.select(id_col, F.explode_outer("_cleaned").alias("cleaned")).filter(F.length("cleaned") >= LEAST_CHARS)

@@ -129,7 +129,8 @@ def with_statuses(products: DataFrame) -> DataFrame:
 
 def total_score() -> Column:
     """0 to 100 with one decimal, from whole numbers: weights in halves, points in hundredths; half-even on the tenth."""
-    points = {k: sum((F.when(c(f"{k}_status") == s, p).otherwise(0) for s, p in fixed.STATUS_POINTS.items()), F.lit(0)) for k in fixed.FIELD_WEIGHTS}
+    worth = F.create_map(*[F.lit(x) for kv in fixed.STATUS_POINTS.items() for x in kv])
+    points = {k: worth[c(f"{k}_status")] for k in fixed.FIELD_WEIGHTS}  # one reference each, as plans may repeat what a reference stands for
     return F.bround(sum((v * fixed.FIELD_WEIGHTS[k] for k, v in points.items()), F.lit(0)).cast("double") / sum(fixed.FIELD_WEIGHTS.values()), 1)
 
 

@@ -586,3 +586,6 @@ def q_review_upsert(spark, sf):
     base = table(spark, sf, "customer").select(c("c_custkey").cast("long").alias("key"), F.lit("new").alias("status"), F.lit(None).cast("long").alias("seq"))
     log = table(spark, sf, "events").select(c("user_id").cast("long").alias("key"), c("event_type").alias("status"), c("event_id").cast("long").alias("seq"))
     return state.upsert(base, log, "key", "seq").select("key", "status")
+
+
+from . import rules  # noqa: E402, F401  (registers its queries beside these)
