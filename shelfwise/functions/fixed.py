@@ -113,6 +113,7 @@ JUNK_METADATA = (
 JUNK_PATTERNS = {
     "header": JUNK_HEADER, "metadata": JUNK_METADATA, "date": r"^\d{2,4}[.\-/]\d{2}[.\-/]\d{2,4}$", "quantity": r"^\d+\s*/\s*\d+$", "article": r"^(?:N?\d{5,}[\-\s]?\d*|[A-Z]{1,3}\d{5,})", "row": r"^(?:\d[\d.,]*\s+){2,}",
     "section": r"\b(?:salgsenhet|transportkartong|produktdatablad)\b", "maker": r"^(?:produsent|manufacturer|leverandør|supplier)\s*:", "count": r"^antall\s*(?:pr|per|i|/)\s*", "variant": r"\b\d{4,7}\s+\S+.*?\d+\s*/\s*\d+",
+    "copyright": r"^(?:©|copyright|\(c\))",
 }
 #: What no description may hold, in order of the check.
 REJECTED = {
@@ -120,7 +121,7 @@ REJECTED = {
     "unit": r"\bsalgsenhet\b", "carton": r"\btransportkartong\b",
 }
 #: Those of both in which case doesn't count.
-ANY_CASE = ["header", "metadata", "section", "maker", "count", "page", "table", "sheet", "unit", "carton"]
+ANY_CASE = ["header", "metadata", "section", "maker", "count", "copyright", "page", "table", "sheet", "unit", "carton"]
 #: Rows of a table of variants within a text, and a heading that may stand before them.
 VARIANT_ENTRY = r"\b\d{4,7}\s+[A-ZÆØÅa-zæøå®].{5,}?\d+\s*/\s*\d+"
 VARIANT_HEADING = r"\s*(?:beskrivelse|størrelse|total|antall|ref)\s*$"

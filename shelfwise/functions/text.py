@@ -82,7 +82,8 @@ def sentences(c: Column) -> Column:
 
 def keyword_hits(c: Column, keywords: list[str] = fixed.SPEC_KEYWORDS) -> Column:
     """How many of the keywords occur, as substrings."""
-    return F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(c), k)))
+    found = [F.when(F.contains(F.lower(c), F.lit(k)), 1).otherwise(0) for k in keywords]
+    return sum(found[1:], found[0])
 
 
 UNIT = r"\d+[.,]?\d*\s*(?:mm|cm|m|ml|l|g|kg|stk|pk|µm|%)"
@@ -112,7 +113,7 @@ def is_placeholder(c: Column) -> Column:
 
 
 def _flags(name: str) -> str:
-    return "(?iuU)" if name in fixed.ANY_CASE else "(?U)"
+    return "(?iu)" if name in fixed.ANY_CASE else ""
 
 
 def junk_reason(c: Column) -> Column:
@@ -120,9 +121,9 @@ def junk_reason(c: Column) -> Column:
     out = F.when(F.length(c) < 3, "short")
     for name, pattern in fixed.JUNK_PATTERNS.items():
         out = out.when(c.rlike(_flags(name) + pattern), name)
-    n, numeric = F.regexp_count(c, F.lit(r"(?U)\S+")), F.regexp_count(c, F.lit(r"(?U)(?<!\S)[\d.,/\-x×]+(?!\S)"))
+    n, numeric = F.regexp_count(c, F.lit(r"\S+")), F.regexp_count(c, F.lit(r"(?<!\S)[\d.,/\-x×]+(?!\S)"))
     slashes = F.length(c) - F.length(F.replace(c, F.lit("/")))
-    return out.when((n >= 3) & (numeric > 0.4 * n), "numbers").when((slashes >= 3) & ~c.rlike(r"(?U)\b(?:XS|S|M|L|XL|XXL)\b"), "slashes")
+    return out.when((n >= 3) & (numeric > 0.4 * n), "numbers").when((slashes >= 3) & ~c.rlike(r"\b(?:XS|S|M|L|XL|XXL)\b"), "slashes")
 
 
 def description_gate(c: Column) -> Column:
@@ -139,10 +140,10 @@ def description_gate(c: Column) -> Column:
 
 def without_variants(c: Column) -> Column:
     """The text without what lies between its first and its last row of variants, if there are two rows or more and something is left."""
-    parts = F.split(c, f"(?U){fixed.VARIANT_ENTRY}")
+    parts = F.split(c, fixed.VARIANT_ENTRY)
     before = F.regexp_replace(F.regexp_replace(F.element_at(parts, 1), r"(?U)\s+$", ""), f"(?iuU){fixed.VARIANT_HEADING}", "")
     left = F.filter(F.array(before, F.regexp_replace(F.element_at(parts, -1), r"(?U)^\s+", "")), lambda x: x != "")
-    return F.when((F.size(parts) >= 3) & (F.size(left) > 0), F.array_join(left, "\n")).otherwise(c)
+    return F.when(c.rlike(fixed.VARIANT_ENTRY) & (F.size(parts) >= 3) & (F.size(left) > 0), F.array_join(left, "\n")).otherwise(c)
 
 
 def merged_lines(c: Column) -> Column:

@@ -168,6 +168,15 @@ def band(x: Column, steps: list[tuple[int, int]], rest: int) -> Column:
 Issues = list[tuple[Column, Column | str, str]]
 
 
+def _measured(products: DataFrame) -> DataFrame:
+    """products with what several rules ask of the texts, as columns, so that it is counted once."""
+    s, d = t.filled(c("specification")), t.first_filled(c("description"), c("erp_text"))
+    shown = F.transform(F.map_entries("details"), lambda e: F.concat(e.key, F.lit(": "), e.value))
+    every = F.concat(F.coalesce(s, F.lit("")), F.lit(" "), F.coalesce(F.array_join(shown, " "), F.lit("")))
+    out = products.withColumns({"_text": F.lower(d), "_every": F.lower(every)})
+    return out.withColumns({"_sentences": t.sentences(c("_text")), "_hits": t.keyword_hits(c("_text")), "_keywords": t.keyword_hits(c("_every")), "_units": F.regexp_count("_every", F.lit(t.UNIT))})
+
+
 def _areas() -> dict[str, tuple[Column, Issues]]:
     """By area: points before they are cut to 0 to 100, and issues."""
     name, d, s = t.first_filled(c("web_name"), c("erp_name")), t.first_filled(c("description"), c("erp_text")), t.filled(c("specification"))
@@ -189,7 +198,7 @@ def _areas() -> dict[str, tuple[Column, Issues]]:
         (generic, "Generisk/placeholder-navn", "Høy"), (digits & ~generic, "Kun tall/tegn, mangler beskrivende tekst", "Høy"), (capitals, "STORE BOKSTAVER", "Lav"),
     ]
 
-    size, n_sent, hits = F.length(d), t.sentences(d), t.keyword_hits(d)
+    size, n_sent, hits = F.length(d), c("_sentences"), c("_hits")
     same = F.coalesce(t.plain(d) == t.plain(web), no)
     article = F.coalesce((F.length("article_number") > 0) & F.contains(d, c("article_number")) & (size < 50), no) & ~same
     filler = F.coalesce(t.is_placeholder(d), no) & ~same & ~article
@@ -207,9 +216,7 @@ def _areas() -> dict[str, tuple[Column, Issues]]:
 
     any_spec = s.isNotNull() | (n_details > 0) | t.filled(c("erp_specification")).isNotNull()
     attrs = F.when(n_details > 0, n_details).when(s.isNotNull(), F.regexp_count(F.coalesce(s, F.lit("")), F.lit("[;\n]")) + 1).otherwise(0)
-    shown = F.transform(F.map_entries("details"), lambda e: F.concat(e.key, F.lit(": "), e.value))
-    every = F.concat(F.coalesce(s, F.lit("")), F.lit(" "), F.coalesce(F.array_join(shown, " "), F.lit("")))
-    kw, units = t.keyword_hits(every), F.regexp_count(F.lower(every), F.lit(t.UNIT))
+    kw, units = c("_keywords"), c("_units")
     keys = F.size(F.array_intersect(F.transform(F.map_keys("details"), F.lower), F.array(*map(F.lit, fixed.KEY_DETAILS))))
     as_name = F.coalesce(t.plain(s) == t.plain(web), no)
     as_text = F.coalesce(t.plain(s) == t.plain(own_d), no) & ~as_name
@@ -282,7 +289,7 @@ def scored_areas(products: DataFrame, areas: list[str] | None = None) -> DataFra
     """Area scores, issues and explanations, their weighted mean with one decimal, severity, priority and why a score is low. areas: a choice of them; others are skipped."""
     chosen = [a for a in fixed.AREA_WEIGHTS if areas is None or a in areas]
     every = _areas()
-    out = products.withColumns({f"{k}_score": F.greatest(F.lit(0), F.least(F.lit(100), every[k][0])).cast("int") for k in chosen})
+    out = _measured(products).withColumns({f"{k}_score": F.greatest(F.lit(0), F.least(F.lit(100), every[k][0])).cast("int") for k in chosen})
     out = out.withColumns({f"{k}_issues": _issues(every[k][1]) for k in chosen})
     own = {k: c(f"{k}_score") for k in chosen}
     out = out.withColumn("overall", F.bround(scores.weighted(own, fixed.AREA_WEIGHTS), 1))

@@ -27,7 +27,7 @@ def page(df: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
 
 
 def in_range(df: DataFrame, order: str, first: int, last: int) -> DataFrame:
-    """Rows first to last (from 1, both included) in an order. Counts rows before each range by partition of the sorted data, so no task holds them all."""
+    """Rows first to last (from 1, both included) in an order. A task holds `last` rows at most, so this is for ranges near the start."""
     return df.orderBy(order).offset(first - 1).limit(last - first + 1)
 
 

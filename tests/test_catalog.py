@@ -75,9 +75,45 @@ def test_family_dimensions(spark):
     dims = families.dimensions(F.col("c0"), F.col("c1"))
     given = [("Hanske", "M rosa AQL 1,5"), ("Kanyle 18G x 40mm Rosa", ""), ("Kompress 5x5cm", ""), ("Stetoskop", "Standard"), ("Kateter 10ml ch14", None)]
     got = values(spark, given, F.struct(*[v.alias(k) for k, v in dims.items()]))
-    assert (got[0]["size"], got[0]["colour"], got[1]["gauge"], got[1]["colour"], got[2]["dimension"]) == ("M", "rosa", "18", "rosa", "5x5")
+    assert (got[0]["size"], got[0]["colour"], got[1]["gauge"], got[1]["colour"], got[2]["dimension"]) == ("M", "Rosa", "18G", "Rosa", "5x5cm")
     assert all(v is None for v in got[3].asDict().values())
-    assert (got[4]["volume"], got[4]["ch"]) == ("10ml", "14")
+    assert (got[4]["volume"], got[4]["ch"]) == ("10ml", "CH14")
+
+
+def test_base_names(spark):
+    given = ["Hanske Nitril XL", "Kanyle 18G x 40mm Rosa", "KD-Ject sprøyte 5 ml", "Sutur USP 2-0 venstre", "Kompress 7,5x7,5 cm steril", "Plaster, engangs - 7", None]
+    assert values(spark, given, families.base_name(F.col("c0"))) == ["hanske nitril", "kanyle x", "kdject sprøyte", "sutur", "kompress steril", "plaster,", ""]
+
+
+def test_families_are_capped(spark):
+    rows = [(k, "a", "Hanske", None) for k in range(3)] + [(k, "b", "Hanske" + (" XL" if k == 10 else ""), None) for k in (10, 11, 12)] + [(20 + k, "c", f"Hanske {x}", None) for k, x in enumerate(["S", "M", "L"])] + [(30 + k, None, "Ting", None) for k in range(2)]
+    df = spark.createDataFrame(rows, "key long, brand string, family_name string, family_specification string")
+    df = df.withColumn("article_number", F.col("key").cast("string")).withColumn("supplier", F.lit(None).cast("string")).withColumn("family_category", F.lit(None).cast("string")).withColumn("details", F.lit(None).cast("map<string,string>"))
+    got = {r.group_key: r for r in families.groups(families.records(df)).collect()}
+    assert got["a||hanske"].score == 40 and got["b||hanske"].score == 40 and got["c||hanske"].score > 65 and got["c||hanske"].varying == "Størrelse"
+    assert got["_unknown_||ting"].score == 17 and got["b||hanske"].mother_key is None
+
+
+def test_junk_lines(spark):
+    junk = ["ab", "Størrelseskode Dispenser", "Produktdatablad 2024", "2024-01-15", "150 / 1500", "222001", "10 20 30", "Salgsenhet: 10", "Produsent: Acme", "Antall pr eske", "www.firma.no info", "© 2024 Firma", "REF nr 12", "a / b / c / d", "kode 12345 hanske 10 / 20"]
+    text = ["Hansken er laget av nitril.", "Steril kompress til sårpleie", "This one mentions copyright within", "XS / S / M / L"]
+    assert None not in values(spark, junk, t.junk_reason(F.col("c0")))
+    assert values(spark, text, t.junk_reason(F.col("c0"))) == [None] * 4
+
+
+def test_variant_blocks(spark):
+    block = "Myk kompress til sår. 222001 SELEFA Optimia kompress 120 / 10800 7,5 cm 222002 SELEFA Optimia kompress 60 / 5400 Holder lenge."
+    assert values(spark, [block, "Uten tabell 222001 SELEFA kompress 120 / 10800"], t.without_variants(F.col("c0"))) == ["Myk kompress til sår.\nHolder lenge.", "Uten tabell 222001 SELEFA kompress 120 / 10800"]
+
+
+def test_line_queries_have_no_shuffle(spark):
+    for name in ("q_dedup_lines", "q_clean_lines", "q_clean_documents"):
+        assert "Exchange" not in catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_undivided_specification_has_no_attributes(spark):
+    df = spark.createDataFrame([("long words", None), ("a; b", None), ("a", {"x": "1"})], "s string, d map<string,string>")
+    assert [r[0] for r in df.select(fields.attribute_count(F.col("d"), F.col("s"))).collect()] == [0, 2, 1]
 
 
 def test_miss_cut_keeps_rows_before_two_misses(spark):
