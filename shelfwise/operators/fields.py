@@ -41,12 +41,12 @@ def attribute_count(details: Column, s: Column) -> Column:
 def specification_status() -> Column:
     s, details, erp, d, name = t.filled(c("specification")), c("details"), t.filled(c("erp_specification")), t.filled(c("description")), t.filled(c("web_name"))
     has = F.coalesce(F.size(details), F.lit(0)) > 0
-    n, technical = attribute_count(details, s), F.coalesce(t.has_measurable_content(s), F.lit(False))
+    n, technical = attribute_count(details, s), c("_technical")
     same = F.coalesce(t.plain(s) == t.plain(name), F.lit(False)) | F.coalesce(t.plain(s) == t.plain(d), F.lit(False))
     keys = F.transform(F.map_keys(details), F.lower)
     few = (n < 2) & ~technical
     unusual = has & ~F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, fixed.EXPECTED_DETAILS))), F.lit(False)) & (n < 3)
-    absent = F.when(erp.isNotNull(), "OK").when(F.coalesce(t.has_measurable_content(d), F.lit(False)), "WEAK").otherwise("MISSING")
+    absent = F.when(erp.isNotNull(), "OK").when(c("_technical_text"), "WEAK").otherwise("MISSING")
     return (
         F.when(s.isNull() & ~has, absent).when(same, "SHOULD_IMPROVE").when((few | unusual) & (n >= 1), "WEAK").when(few | unusual, "SHOULD_IMPROVE")
         .when((n >= 4) | ((n >= 2) & technical), "STRONG").otherwise("OK")
@@ -124,7 +124,8 @@ def statuses() -> dict[str, Column]:
 
 
 def with_statuses(products: DataFrame) -> DataFrame:
-    return products.withColumns({f"{k}_status": v for k, v in statuses().items()})
+    technical = {k: F.coalesce(t.has_measurable_content(t.filled(c(x))), F.lit(False)) for k, x in (("_technical", "specification"), ("_technical_text", "description"))}
+    return products.withColumns(technical).withColumns({f"{k}_status": v for k, v in statuses().items()}).drop(*technical)
 
 
 def total_score() -> Column:
