@@ -381,8 +381,9 @@ def test_pipeline(spark):
             assert after.count() == len({(r.text or "").encode().lower() for r in docs.collect()})
         if name == "simhash":
             before = sorted((r.doc_id, r.text) for r in docs.collect())
-            first = dict(zip(reversed(jaccard_groups([x for _, x in before])), reversed([i for i, _ in before])))
-            least = {g: min(i for (i, _), h in zip(before, jaccard_groups([x for _, x in before])) if h == g) for g in first}
+            least = {}
+            for (i, _), group in zip(before, jaccard_groups([x for _, x in before])):
+                least.setdefault(group, i)
             assert {r.doc_id for r in after.collect()} == set(least.values())
         docs = after
     left = {r.doc_id: r.text for r in docs.collect()}
