@@ -52,6 +52,13 @@ def slower(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@cache
+def held_as(ranks: str) -> str:
+    """The type that holds an id or the end id in the fewest bytes."""
+    with open(ranks, "rb") as f:
+        return "<u2" if sum(1 for _ in f) < 1 << 16 else "<u4"
+
+
 def encode(path: str, ranks: str, text: str) -> np.ndarray:
     """Ids of the vocabulary file at `path`; `ranks` is the same vocabulary as ranks, for the faster library.
 
@@ -173,28 +180,28 @@ def fill(sizes: list[int], neighbours, window: int = WINDOW) -> list[tuple[int,
     return pieces
 
 
-def tokenised(plain: DataFrame, path: str, ranks: str) -> DataFrame:
-    """(doc_id, size, tokens): bytes of text, and the ids as bytes of four each."""
+def tokenised(plain: DataFrame, path: str, ranks: str, kind: str = "<u4") -> DataFrame:
+    """(doc_id, size, tokens): bytes of text, and the ids as bytes, each a number of `kind`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [np.append(encode(path, ranks, t), np.uint32(END)).astype("<u4").tobytes() for t in common.texts_of(batch["text"])]
+            tokens = [np.append(encode(path, ranks, t), np.uint32(END)).astype(kind).tobytes() for t in common.texts_of(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["size"], pa.array(tokens, pa.binary())], ["doc_id", "size", "tokens"])
 
     return plain.withColumn("size", F.octet_length("text").cast("long")).mapInArrow(run, "doc_id long, size long, tokens binary")
 
 
-def tokens_of(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+def tokens_of(column: pa.ChunkedArray | pa.Array, kind: str = "<u4") -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def statistics(held: DataFrame) -> Corpus:
+def statistics(held: DataFrame, kind: str = "<u4") -> Corpus:
     """Over all rows: a task hands on a row for each id of the vocabulary that it saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(1, np.int64), 0, 0
         for batch in batches:
-            for t in tokens_of(batch["tokens"]):
+            for t in tokens_of(batch["tokens"], kind):
                 own = np.unique(t)
                 if own[-1] >= df.size:
                     df = np.append(df, np.zeros(int(own[-1]) + 1 - df.size, np.int64))
@@ -220,13 +227,13 @@ def route(tokens: np.ndarray, corpus: Corpus, idf: np.ndarray) -> tuple[int, int
     return first, second
 
 
-def routed(held: DataFrame, corpus: Corpus) -> DataFrame:
+def routed(held: DataFrame, corpus: Corpus, kind: str = "<u4") -> DataFrame:
     """With the route's terms."""
     given = held.sparkSession.sparkContext.broadcast((corpus, corpus.idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([route(t, *given.value) for t in tokens_of(batch["tokens"])], np.int64).reshape(-1, 2)
+            own = np.array([route(t, *given.value) for t in tokens_of(batch["tokens"], kind)], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own[:, 0]), pa.array(own[:, 1])], [*batch.schema.names, "first", "second"])
 
     return held.mapInArrow(run, "doc_id long, size long, tokens binary, first long, second long")
@@ -264,19 +271,22 @@ def pack(docs: DataFrame, path: str, ranks: str, window: int = WINDOW, id_col: s
     """path: a vocabulary file, ranks: the same as ranks. Per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
     if window < 2:
         raise ValueError("a window has two ids at least")
-    held = common.stored(tokenised(common.id_and_text(docs, id_col, text_col), path, ranks), "tokens")
-    corpus = statistics(held)
+    kind = held_as(ranks)
+    held = common.stored(tokenised(common.id_and_text(docs, id_col, text_col), path, ranks, kind), "tokens")
+    corpus = statistics(held, kind)
     given = docs.sparkSession.sparkContext.broadcast(corpus)
-    dealt = shards_of(common.stored(routed(held, corpus), "routes"), shard_bytes)
+    routes = common.stored(routed(held, corpus, kind), "routes")
+    common.forget(held)
+    dealt = shards_of(routes, shard_bytes)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending")])
-        tokens = tokens_of(table["tokens"])
+        tokens = tokens_of(table["tokens"], kind)
         index = Index(tokens, given.value)
         first = table["shard"][0].as_py() << 32
         rows = fill([t.size for t in tokens], index.neighbours, window)
         doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*rows))
-        crc = [zlib.crc32(tokens[d][s : s + n].tobytes()) for d, s, n, _, _ in rows]
+        crc = [zlib.crc32(tokens[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in rows]
         sizes = np.array([t.size for t in tokens], np.int64)
         return pa.table(
             [table["doc_id"].combine_chunks().take(pa.array(doc)), *map(pa.array, (start, length, np.array(crc, np.int64), sizes[doc], sequence + first, offset))],
