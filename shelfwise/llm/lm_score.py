@@ -73,6 +73,18 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeezed(texts: list[str]) -> bytes:
+    """Texts as a compressed Arrow stream."""
+    batch, sink = pa.record_batch([pa.array(texts, pa.string())], ["text"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def spread(data: bytes) -> list[str]:
+    return pa.ipc.open_stream(data).read_all()["text"].to_pylist()
+
+
 class Block:
     """Tokens and n-gram hashes of a block of texts."""
 
@@ -183,7 +195,10 @@ BLOCK_BYTES, SHARD_BYTES = 3_000_000, 8_000_000
 
 
 def packed_blocks(marked: DataFrame) -> DataFrame:
-    """(block, ids, held, texts and sums) of rows packed where they are read, so that no id or text gathers rows in one block."""
+    """(block, ids, held, texts and sums) of rows packed where they are read, so that no id or text gathers rows in one block.
+
+    The texts of a block are compressed together, as they are stored and shuffled once.
+    """
     names = ["block", "ids", "held", "texts", "bytes", "train_texts", "train_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +207,8 @@ def packed_blocks(marked: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             tokens = sum(len(t.encode().split()) + 1 for t, h in zip(texts, held) if not h)
-            values = [number, ids, held, texts, size, len(held) - sum(held), tokens]
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
+            values = [number, ids, held, squeezed(texts), size, len(held) - sum(held), tokens]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
         for batch in batches:
@@ -209,7 +224,7 @@ def packed_blocks(marked: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    return marked.select("doc_id", "text", "held_out").mapInArrow(run, "block long, ids array<long>, held array<boolean>, texts array<string>, bytes long, train_texts long, train_tokens long")
+    return marked.select("doc_id", "text", "held_out").mapInArrow(run, "block long, ids array<long>, held array<boolean>, texts binary, bytes long, train_texts long, train_tokens long")
 
 
 def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", held_mod: int = 7, held_rest: int = 2) -> DataFrame:
@@ -226,7 +241,7 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         for batch in batches:
             for number, texts, held in zip(*(batch[c].to_pylist() for c in ("block", "texts", "held"))):
-                block, rows = Block(texts, order), []
+                block, rows = Block(spread(texts), order), []
                 for n, (keys, counts) in enumerate(zip(block.distinct, block.counts(~np.array(held, bool)))):
                     own = shard_of(keys, shards)
                     cuts = np.flatnonzero(np.diff(own)) + 1
@@ -255,7 +270,7 @@ def score_documents(docs: DataFrame, order: int = 2, id_col: str = "doc_id", tex
     n_types = told.agg(F.sum("types")).first()[0] or 0
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        own = texts["texts"][0].as_py()
+        own = spread(texts["texts"][0].as_py())
         block = Block(own, order)
         parts = sorted(zip(answers["n"].to_pylist(), answers["shard"].to_pylist(), answers["totals"].to_pylist()))
         totals = [np.concatenate([unpack(x) for m, _, x in parts if m == n]) for n in range(order)]
