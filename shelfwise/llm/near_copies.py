@@ -179,8 +179,8 @@ def decide(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     with_centre = grouped.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b"))
     pairs = common.stored(with_centre.unionByName(pairs_by_print(points)).distinct(), "pairs")
 
-    # the sets of all that have company: one text of each, found by its digest
-    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(points.select("sid", "digest"), "sid")
+    # the sets of all that have company: one text of each, found by its digest; stored, so that Spark knows its size before it shuffles texts
+    named = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(points.select("sid", "digest"), "sid"), "named")
     asked = common.id_and_text(docs, id_col, text_col).withColumn("digest", common.text_digest("text"))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def decide(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     placed_sets = labels.select(F.col("node").alias("sid"), F.col("root").alias("label"))
     roots = marked.join(placed_sets, "sid", "left").withColumn("label", F.coalesce("label", "sid")).join(joined, "label", "left")
     decided = common.stored(roots.select("doc_id", "digest", F.coalesce("over", "label").alias("root")), "decided")
-    common.forget(marked, points, members, groups, pairs, sets, near, placed, within)
+    common.forget(marked, points, members, groups, pairs, named, sets, near, placed, within)
     return decided
 
 
@@ -221,6 +221,7 @@ def keep_least(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text
     names = decided.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"))
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
     gone = decided.join(names, "root").filter(~stays).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_digest")).distinct()
+    gone = common.stored(gone, "gone")  # Spark knows its size before it shuffles texts
     own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # so that no column's name can clash
     at, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
     digest = F.xxhash64(F.coalesce(text, F.lit("")))
