@@ -125,3 +125,24 @@ ANY_CASE = ["header", "metadata", "section", "maker", "count", "copyright", "pag
 #: Rows of a table of variants within a text, and a heading that may stand before them.
 VARIANT_ENTRY = r"\b\d{4,7}\s+[A-ZÆØÅa-zæøå®].{5,}?\d+\s*/\s*\d+"
 VARIANT_HEADING = r"\s*(?:beskrivelse|størrelse|total|antall|ref)\s*$"
+
+# What product pages are read by: ids of sections in their order, class patterns, keys of packaging, patterns over page text.
+PAGE_DESCRIPTIONS = ("accordionItem_descriptionAndDocuments", "accordionItem_description", "accordion-description")
+PAGE_SPECIFICATIONS = ("accordionItem_specifications", "accordionItem_specification", "accordionItem_spesifikasjon", "accordion-specifications", "accordion-specification")
+PAGE_PAIRS = r"spec|detail|attribute|property|feature|technical|egenskap"
+PAGE_UNIT = (
+    "antall i pakn", "antall per pakn", "antall pr pakn", "antall i forpakn", "antall pr forpakn", "pakningsstørrelse", "pack size", "enheter i pakn", "enheter per pakn", "enheter pr pakn",
+    "stk i pakn", "stk per pakn", "stk pr pakn", "antall i inner",
+)
+PAGE_TRANSPORT = ("transport", "kolli", "ytterforpakn", "antall i trans", "antall pr trans")
+PAGE_PACKAGING = (
+    r"(\d+)\s*(?:stk|st)\s*(?:per|pr|/)\s*(?:forpakning|pakning|frp|pk)",
+    r"(?:forpakning|pakning|frp|pk)[\s:]+(\d+)\s*(?:stk|st)?",
+    r"Antall\s*(?:per|pr|i)\s*(?:forpakning|pakning)[\s:]*(\d+)",
+    r"Antall\s+i\s+pakn\w*[\s:]+(\d+)\s*(?:stk|st)?",
+)
+PAGE_SHIPPING = r"(?:transport(?:forpakning|pakning|pakke|-pakke))[\s:]*(\d+)"
+PAGE_MAKER_NUMBER = (
+    r"(?:Produsentens?\s*(?:art\.?|varenr|artikkel)(?:nummer|nr)?|Lev\.?\s*art\.?\s*nr)[\s.:]*([A-Za-z0-9\-/]+)",
+    r"(?:Manufacturer|MFR|Supplier)\s*(?:art|item|part)\s*(?:no|nr|number)?[\s.:]*([A-Za-z0-9\-/]+)",
+)
