@@ -588,4 +588,4 @@ def q_review_upsert(spark, sf):
     return state.upsert(base, log, "key", "seq").select("key", "status")
 
 
-from . import rules  # noqa: E402, F401  (registers its queries beside these)
+from . import page_rules, rules  # noqa: E402, F401  (they register their queries beside these)

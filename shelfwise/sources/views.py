@@ -66,3 +66,31 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same view as SQL; details are a list of [key, value].
 PRODUCTS_SQL = f"""SELECT * REPLACE (list_transform(string_split(details, '|'), lambda e: string_split(e, '=')) AS details, string_split(crumbs, ' > ') AS crumbs)
     FROM (SELECT {", ".join(f"{v} AS {k}" for k, v in COLUMNS.items())} FROM part)"""
+
+
+#: A shop's markup for each page, put where its body begins: structured data, breadcrumbs, sections, tables and lists whose
+#: forms follow from the page's id. The expressions mean the same to Spark and to the SQL.
+_ID = "CAST(page_id AS STRING)"
+PAGE_PARTS = {
+    "product": f"""CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN concat('<script type="application/ld+json">{{"@type": "Product", "name": "Product ', {_ID}, '", "description": "Short text on product ', {_ID}, '", "sku": "S', {_ID},
+        '", "brand": {{"@type": "Brand", "name": "Maker ', CAST(page_id % 7 AS STRING), '"}}, "offers": {{"@type": "Offer", "price": ', CAST(page_id % 90 AS STRING), '.5}}}}</script>')
+        WHEN 2 THEN concat('<script type="application/ld+json">[{{"@type": "Product", "name": "First", "brand": "Plain"}}, {{"@type": "Product", "name": "Second ', {_ID}, '", "sku": ', {_ID}, ', "image": "https://img/', {_ID}, '.png"}}]</script>')
+        WHEN 3 THEN '<script type="application/ld+json">{{"@type": "Product", "name": "broken"</script>'
+        ELSE concat('<script type="application/ld+json">{{"@graph": [{{"@type": "Product", "name": "Hidden ', {_ID}, '"}}, [{{"@type": "Offer", "price": 1}}]]}}</script>') END""",
+    "trail": f"""CASE page_id % 3 WHEN 0 THEN concat('<script type="application/ld+json">{{"@type": "BreadcrumbList", "itemListElement": [{{"position": 2, "name": "Group ', CAST(page_id % 7 AS STRING), '"}}, {{"position": 1, "item": {{"name": "Home"}}}}, {{"position": 3, "name": ""}}]}}</script>')
+        WHEN 1 THEN concat('<div class="breadcrumb-nav"><a href="/">Home</a> <a href="/c"> Care </a><a>›</a><a href="/g">Group ', CAST(page_id % 7 AS STRING), '</a></div>') ELSE '' END""",
+    "section": f"""CASE page_id % 4 WHEN 0 THEN concat('<div id="accordionItem_description"><p>A longer text that says all there is to say on product ', {_ID}, ' and its use.</p><ul><li>one</li><li> two </li></ul></div>')
+        WHEN 1 THEN '<div id="accordionItem_description"><p>Too short</p></div><div class="accordion-desc">A text of the second<br>choice for pages</div>' ELSE '' END""",
+    "details": f"""CASE page_id % 6 WHEN 0 THEN concat('<div id="accordionItem_specifications"><table><tr><td>Farge</td><td>blå ', {_ID}, '</td></tr><tr><td>Antall i pakningen</td><td>100 stk</td></tr><tr><td>Antall i transport-pakke</td><td>10</td></tr></table></div>')
+        WHEN 1 THEN concat('<dl><dt>Vekt:</dt><dd>', {_ID}, ' kg</dd><dt>Produsent</dt><dd>Acme</dd><dt>alone</dt></dl>') WHEN 2 THEN '<ul class="spec-list"><li>Form: rund: flat</li><li>no pair</li><li>Antall på pall: 5</li></ul>'
+        WHEN 3 THEN '<table><tr><th>Farge</th><td>red</td></tr><tr><td>Farge</td><td>blue</td></tr><tr><td>one cell</td></tr></table>' ELSE concat('<p>Lev. art. nr: AB-', {_ID}, ' og 50 stk per pakning</p>') END""",
+}
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and html: each page with a shop's markup at the start of its body."""
+    added = F.concat(*[F.expr(x) for x in PAGE_PARTS.values()])
+    return table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), added)).alias("html"))
+
+
+PRODUCT_PAGES_SQL = f"SELECT page_id, replace(html, '<body>', '<body>' || {' || '.join(PAGE_PARTS.values())}) AS html FROM pages"
