@@ -6,9 +6,11 @@ A page becomes a tree of elements (unclosed and misplaced tags are repaired as b
                              of the base (chars in links / chars) * (tags / links)
 
 with zeros taken as one: text per tag, adjusted for links. A node's sum is that of its block children's densities; the
-node with the largest sum is the page's content. The lowest density on the path from the body to it is a threshold, and
-blocks beside that path which reach it belong to the content too, as do paragraphs, bare text and inline elements beside
-the path that aren't mostly links, and the heading before it. What is a menu, header, footer, sidebar, notice, advert,
+node with the largest sum is found to be content. The article is what holds it (`whole`): its nearest article or main
+element, else its highest ancestor of which no other child is mostly links; all of the article stays. The lowest density on
+the path from the body to the found node is a threshold, and blocks beside the path to the article which reach it belong to
+the content too, as do paragraphs, bare text and inline elements beside that path that aren't mostly links, and the heading
+before it. What is a menu, header, footer, sidebar, notice, advert,
 form, script, style or comment section by its element, role, class or id is taken out beforehand, wherever it lies; a class
 or id must name the element itself (`names_noise`), and what is so named still stays if it wraps the page's main part (`spare`).
 
@@ -294,6 +296,22 @@ def weigh(nodes: list[Node]) -> None:
         n.total = sum(k.density for k in n.content if isinstance(k, Node) and k.tag in BLOCK)
 
 
+def whole(found: Node) -> Node:
+    """The article around a node: its nearest article or main element, else its highest ancestor, below the body, beside whose way to the node nothing is mostly links."""
+    n = found
+    while n.parent is not None:
+        if n.tag in ("article", "main"):
+            return n
+        n = n.parent
+    n = found
+    while n.parent is not None and n.parent.parent is not None:
+        beside = [k for k in n.parent.content if isinstance(k, Node) and k is not n and k.chars]
+        if any(2 * k.link_chars > k.chars for k in beside):
+            break
+        n = n.parent
+    return n
+
+
 def content(root: Node) -> list[Node]:
     """The parts of the tree that are main text, in page order."""
     nodes = in_order(root)
@@ -302,8 +320,9 @@ def content(root: Node) -> list[Node]:
     best = max(blocks, key=lambda n: n.total)
     if best.total <= 0:
         return [root]
+    least = min(n.density for n in path(best))
+    best = whole(best)
     way = list(path(best))[::-1]
-    least = min(n.density for n in way)
     out: list[Node] = []
     after: list[list[Node]] = []
     for n, down in zip(way, way[1:]):
