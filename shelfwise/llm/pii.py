@@ -7,7 +7,8 @@ selects, and of selected candidates that overlap each other or a base span the b
 The trees are trained here, in numpy, on spans and contexts drawn from templates with a fixed seed; no corpus is needed,
 and the model's size is fixed.
 
-Spans count code points, the end is exclusive. All patterns are matched in time proportional to the text.
+Spans count code points, the end is exclusive. Patterns are matched in time proportional to the text; candidates are scored
+some thousands at a time, at most 13 of each kind for a group of digits, so memory is bounded beside the text.
 
 Defined cases: a null or empty text has no spans; long texts are searched whole; base spans of different kinds may
 overlap; `redact` merges overlapping spans and names the first one's kind; rows that repeat get equal results; an empty
@@ -23,6 +24,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -89,18 +91,48 @@ _GROUP = re.compile("[0-9]+")
 _BETWEEN = re.compile(r"[ ().\-/_+]{1,3}")
 #: Digits of a number: 7 to 19.
 FEWEST, MOST = 7, 19
+#: Candidates that are scored at once.
+SLICE = 4096
+
+
+def joined(text: str, b: int, a: int) -> bool:
+    """Whether what lies between two groups of digits may lie within a number."""
+    return a - b <= 3 and bool(_BETWEEN.fullmatch(text, b, a))
+
+
+def single_runs(text: str, groups: list[tuple[int, int]]) -> list[int]:
+    """For each group the end of the run of single digits that begins with it, 0 for other groups, -1 within a run."""
+    out, k = [0] * len(groups), 0
+    while k < len(groups):
+        j = k
+        while j < len(groups) and groups[j][1] - groups[j][0] == 1 and (j == k or joined(text, groups[j - 1][1], groups[j][0])):
+            j += 1
+        if j - k >= FEWEST:
+            out[k], out[k + 1 : j] = j, [-1] * (j - k - 1)
+        k = max(j, k + 1)
+    return out
 
 
 def numbers(text: str) -> Iterator[tuple[int, int]]:
-    """Every span of whole groups of digits, joined by three separators at most, with 7 to 19 digits; from each group 13 at most."""
+    """Every span of whole groups of digits, joined by three separators at most, with 7 to 19 digits; from each group 13 at most.
+
+    A number spelled digit by digit is a whole run of single digits or none: parts of such a run are no candidates.
+    """
     groups = [m.span() for m in _GROUP.finditer(text)]
+    runs = single_runs(text, groups)
     for k, (a, b) in enumerate(groups):
+        if runs[k] < 0:
+            continue
         start = a
         while start and a - start < 2 and text[start - 1] in "+(":
             start -= 1
+        if runs[k]:
+            if runs[k] - k <= MOST:
+                yield start, groups[runs[k] - 1][1]
+            continue
         n = 0
         for j in range(k, len(groups)):
-            if j > k and not (groups[j][0] - b <= 3 and _BETWEEN.fullmatch(text, b, groups[j][0])):
+            if j > k and (runs[j] or not joined(text, b, groups[j][0])):
                 break
             n, b = n + groups[j][1] - groups[j][0], groups[j][1]
             if n > MOST:
@@ -109,13 +141,19 @@ def numbers(text: str) -> Iterator[tuple[int, int]]:
                 yield start, b
 
 
-def candidates(text: str) -> list[Span]:
-    out = [(*m.span(), "email") for m in _SPELLED.finditer(text)] if _AT.search(text) else []
+def candidates(text: str) -> Iterator[Span]:
+    """Proposed spans. Of a number's digits what no card or phone can have is asked first: a card passes Luhn's check and has 13 at least, a phone 15 at most."""
+    if _AT.search(text):
+        yield from ((*m.span(), "email") for m in _SPELLED.finditer(text))
     if re.search("[0-9]", text):
-        out += [(*m.span(), "ip") for p in (_OCTETS, _HEX) for m in p.finditer(text)] if "." in text or ":" in text else []
-        for span in numbers(text):
-            out += [(*span, "card"), (*span, "phone")]
-    return out
+        if "." in text or ":" in text:
+            yield from ((*m.span(), "ip") for p in (_OCTETS, _HEX) for m in p.finditer(text))
+        for a, b in numbers(text):
+            d = digits_of(text[a:b])
+            if len(d) >= 13 and luhn(d):
+                yield a, b, "card"
+            if len(d) <= 15:
+                yield a, b, "phone"
 
 
 _WORDS = {
@@ -131,6 +169,11 @@ _DIGIT_BEFORE = re.compile(r"[0-9]([ ().\-/_+]{0,3})$")
 _DIGIT_AFTER = re.compile(r"([ ().\-/_+]{0,3})[0-9]")
 
 
+def cue(before: str, kind: str) -> tuple[bool, bool]:
+    """Whether words before a candidate speak for its kind, or against it."""
+    return any(w in before for w in _WORDS[kind]), any(w in before for w in _AGAINST)
+
+
 def edge(m: re.Match | None, inner: str) -> list[float]:
     """How digits go on beside a candidate: not at all, by blanks, by another separator; and by one that it has within."""
     if not m:
@@ -139,21 +182,34 @@ def edge(m: re.Match | None, inner: str) -> list[float]:
     return [1 if not m[1].strip() else 2, mark[:1] in inner]
 
 
-def describe(text: str, span: Span) -> list[float]:
-    """A candidate's format and the 30 characters on both sides."""
+_DATE = re.compile(r"(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}.*|[0-9]{1,2}[-./][0-9]{1,2}[-./](19|20)[0-9]{2}.*", re.S)
+_YEAR_FIRST = re.compile(r"(19|20)[0-9]{2}[-./][0-9]{2}(?![0-9])")
+_DATE_WITHIN = re.compile(r"(?<![0-9])((19|20)[0-9]{2}([-./])[0-9]{1,2}\3[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\4(19|20)[0-9]{2})(?![0-9])")
+
+
+def describe(text: str, span: Span, seen: dict | None = None) -> list[float]:
+    """A candidate's format and the characters on both sides; seen keeps what spans that begin alike have in common."""
     a, b, kind = span
-    s, before, after = text[a:b], text[max(0, a - 30) : a].lower(), text[b : b + 12].lower()
+    s, after = text[a:b], text[b : b + 12].lower()
+    seen = {} if seen is None else seen
+    if a not in seen:
+        before = text[max(0, a - 30) : a].lower()
+        seen[a] = before, _DIGIT_BEFORE.search(before), before[-1:] in "$€£#", before[-2:].strip()[-1:] == ":"
+    before, digit_before, money, colon = seen[a]
+    if (a, kind) not in seen:
+        seen[a, kind] = cue(before, kind)
     d = digits_of(s)
-    groups = re.findall("[0-9]+", s)
+    groups = _GROUP.findall(s)
+    sizes = [len(g) for g in groups]
+    spelled = kind == "email"
     return [
-        b - a, len(d), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), s.count("-"), s.count("."), s.count(" "),
+        b - a, len(d), len(groups), max(sizes, default=0), min(sizes, default=0), s.count("-"), s.count("."), s.count(" "),
         s.count("/") + s.count("_"), s.count("("), s.count(":"), s[:1] == "+", s[:2] == "00", luhn(d) if len(d) > 11 else -1, int(d[:1] or -1), int(d[:2] or -1),
-        "@" in s or "＠" in s, bool(re.search(r"[(\[{<]at[)\]}>]", s, re.I)), bool(re.search(r"[(\[{<]dot[)\]}>]|\sdot\s", s, re.I)), bool(re.search(r"\sat\s", s, re.I)),
-        any(w in before for w in _WORDS[kind]), any(w in before for w in _AGAINST), before[-1:] in "$€£#", after[:1] in "%€$£",
-        all(len(g) < 4 and int(g) <= 255 for g in groups[:4]), any(c.isalpha() for c in s), before[-2:].strip()[-1:] == ":",
-        bool(re.fullmatch(r"(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}.*|[0-9]{1,2}[-./][0-9]{1,2}[-./](19|20)[0-9]{2}.*", s)), len({*map(len, groups)}),
-        *edge(_DIGIT_BEFORE.search(before), s), *edge(_DIGIT_AFTER.match(after), s),
-        bool(re.match(r"(19|20)[0-9]{2}[-./][0-9]{2}(?![0-9])", s)), [*map(len, groups[-3:])] == [3, 3, 4], len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0,
+        "@" in s or "＠" in s, spelled and bool(re.search(r"[(\[{<]at[)\]}>]", s, re.I)), spelled and bool(re.search(r"[(\[{<]dot[)\]}>]|\sdot\s", s, re.I)), spelled and bool(re.search(r"\sat\s", s, re.I)),
+        *seen[a, kind], money, after[:1] in "%€$£",
+        all(len(g) < 4 and int(g) <= 255 for g in groups[:4]), any(c.isalpha() for c in s), colon,
+        bool(_DATE.fullmatch(s)), len({*sizes}), *edge(digit_before, s), *edge(_DIGIT_AFTER.match(after), s),
+        bool(_YEAR_FIRST.match(s)), sizes[-3:] == [3, 3, 4], sizes[0] if sizes else 0, sizes[-1] if sizes else 0, bool(_DATE_WITHIN.search(s)),
     ]
 
 
@@ -228,7 +284,16 @@ def drawn(seed: int, n: int) -> Iterator[tuple[str, Span, bool]]:
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{num(2)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"{a} {b} {c}", f"+{num(2)}/{a}/{b}{c}"))
+        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{num(2)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"{a} {b} {c}", f"+{num(2)}/{a}/{b}{c}", f"0{num(2)} {num(4)} {c}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}"))
+
+    def date() -> str:
+        y, m, d = r.choice(("19", "20")) + num(2), f"{r.randint(1, 12):02d}", f"{r.randint(1, 28):02d}"
+        return r.choice((f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{d}/{m}/{y}", f"{y}/{m}/{d}"))
+
+    def across_dates() -> tuple[str, tuple[int, int]]:
+        """Dates side by side, and a span over parts of them."""
+        whole = r.choice((" ", " ", " - ", "/")).join(date() for _ in range(r.randint(2, 5)))
+        return whole, r.choice(list(numbers(whole)))
 
     def email() -> str:
         at, dot = r.choice((" (at) ", "(at)", " [at] ", "[at]", " at ", "＠", "{at}")), r.choice((" (dot) ", "[dot]", " dot ", "."))
@@ -269,8 +334,11 @@ def drawn(seed: int, n: int) -> Iterator[tuple[str, Span, bool]]:
                     left, s, right = whole[:a], whole[a:b], whole[b:]
                 else:
                     s, left, right = other[kind](), "", ""
+        if kind in ("card", "phone") and not good and r.random() < 0.2:
+            whole, (a, b) = across_dates()
+            left, s, right = whole[:a], whole[a:b], whole[b:]
         # digits without a telling format count as personal only after a word that says so
-        vague = kind == "phone" and good and re.fullmatch(r"[0-9]{3}[. ][0-9]{3}[. ][0-9]{4}", s)
+        vague = kind == "phone" and good and re.fullmatch(r"[0-9]{3}[. ][0-9]{3}[. ][0-9]{4}|0[0-9]{2} [0-9]{4} [0-9]{4}|0[0-9]( [0-9]{2}){4}", s)
         hint = r.choice(_WORDS[kind]) if vague or r.random() < (0.4 if good or left or right else 0.05) else r.choice(_AGAINST) if not good and r.random() < 0.5 else word()
         before = " ".join(word() for _ in range(3)) + f" {hint}{r.choice((' ', ': '))}" + left
         yield before + s + right + " " + word(), (len(before), len(before) + len(s), kind), good
@@ -318,15 +386,18 @@ def all_spans(text: str, models: dict[str, tuple[Trees, float]] | None = None) -
     """(base spans, all spans), each by start, then by kind as listed."""
     base = base_spans(text)
     taken = Taken(base)
-    proposed = [c for c in candidates(text) if not taken.meets(c[0], c[1])]
-    if not proposed:
+    proposed = (c for c in candidates(text) if not taken.meets(c[0], c[1]))
+    chosen: list[tuple[float, Span]] = []
+    # some thousands at a time, so that a text of many numbers needs no more memory than they do
+    while part := list(islice(proposed, SLICE)):
+        seen: dict = {}
+        for kind, (model, threshold) in (models or trained()).items():
+            own = [c for c in part if c[2] == kind]
+            if own:
+                p = model.score(np.array([describe(text, c, seen) for c in own], float))
+                chosen += [(s, c) for s, c in zip(p.tolist(), own) if s >= threshold]
+    if not chosen:
         return base, base
-    chosen = []
-    for kind, (model, threshold) in (models or trained()).items():
-        own = [c for c in proposed if c[2] == kind]
-        if own:
-            p = model.score(np.array([describe(text, c) for c in own], float))
-            chosen += [(s, c) for s, c in zip(p.tolist(), own) if s >= threshold]
     added: list[Span] = []
     for _, c in sorted(chosen, key=lambda x: (-x[0], x[1][0], -x[1][1], x[1][2])):
         if not taken.meets(c[0], c[1]):
