@@ -5,8 +5,8 @@ to buckets; bigrams that repeat a word share one bucket, as their words are most
 probabilities. Vectors and layer are trained together by stochastic gradient descent in numpy.
 
 Fit takes at most `most` labelled documents (those with the smallest hash of doc_id), so what reaches the driver is bounded:
-`most` rows, each of at most 2^17 distinct buckets and their counts, which tasks have made; of a text with more than
-`most_features` distinct ones the most frequent (then smallest) count in training. Scoring needs the trained model only as one number a bucket
+`most` rows, each of at most 2^17 + 1 distinct buckets and their counts, which tasks have made and compressed; training opens
+one document at a time. Scoring needs the trained model only as one number a bucket
 (vector times the layer's difference), broadcast once; its size doesn't depend on the data.
 
 Defined cases: a null or empty text has no features and gets the layer's bias alone; texts are scored whole; a doc_id
@@ -17,6 +17,7 @@ result; further columns are ignored by `score_documents` and returned by `keep_g
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,18 +100,30 @@ class Model:
         return float(1 / (1 + np.exp(-(self.weight[f].mean(dtype=np.float64) if f.size else 0.0) - self.bias)))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs: int = 5, rate: float = 0.4, seed: int = 1) -> Model:
-    """rows: label, distinct buckets, counts. A step moves a document's average by the rate times its gradient, whatever its length."""
+def pack(buckets: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending distinct buckets as steps, and their counts, compressed."""
+    return zlib.compress(np.diff(buckets, prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64).reshape(2, -1)
+    return np.cumsum(steps), counts.astype(float)
+
+
+def train(rows: list[tuple[int, bytes]], dim: int = 8, epochs: int = 5, rate: float = 0.4, seed: int = 1) -> Model:
+    """rows: label and packed buckets with counts. A step moves a document's average by the rate times its gradient, whatever its length."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, ((1 << BUCKETS_LOG2) + 1, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
-    made = [(y, u, c / c.sum()) for y, u, c in rows if u.size]
+    made = [(y, p) for y, p in rows if unpack(p)[0].size]
     if not rows:
         return Model(np.zeros((1 << BUCKETS_LOG2) + 1, np.float32), 0.0)
     steps, done = epochs * max(1, len(made)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(made)):
-            y, u, w = made[k]
+            y, packed = made[k]
+            u, w = unpack(packed)
+            w /= w.sum()
             hidden = w @ vectors[u]
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
@@ -122,12 +135,12 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs:
             layer -= lr * np.outer(hidden, p)
             bias -= lr * 0.1 * p
     if not made:
-        bias[1] = np.log((sum(y for y, *_ in rows) + 1) / (sum(1 - y for y, *_ in rows) + 1))
+        bias[1] = np.log((sum(y for y, _ in rows) + 1) / (sum(1 - y for y, _ in rows) + 1))
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, most: int = 3000, most_features: int = 4096, id_col: str = "doc_id", text_col: str = "text", mod: int = 5
+    docs: DataFrame, labels: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", mod: int = 5
 ) -> Model:
     """Learns `quality` from at most `most` labelled documents, of those whose crc32(doc_id) mod `mod` is not 0."""
     usable = (
@@ -142,18 +155,14 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for x in common.texts_of(batch["text"]):
-                u, c = np.unique(features(x), return_counts=True)
-                kept = np.sort(np.argsort(-c, kind="stable")[:most_features])
-                found.append((u[kept].astype("<i4").tobytes(), c[kept].astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))], ["doc_id", "y", "buckets", "counts"])
+            packed = [pack(*np.unique(features(x), return_counts=True)) for x in common.texts_of(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(packed, pa.binary())], ["doc_id", "y", "packed"])
 
     # of rows that repeat an id, one: so that `most` bounds what comes to the driver
     held = common.id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    rows = held.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, buckets binary, counts binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.buckets), bytes(r.counts)))
-    return train([(r.y, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4").astype(float)) for r in rows])
+    rows = held.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, packed binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return train([(r.y, bytes(r.packed)) for r in rows])
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", mod: int = 5) -> DataFrame:
