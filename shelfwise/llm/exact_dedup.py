@@ -6,7 +6,8 @@ exactly, and their winners (at most `counters` rows) are broadcast, so that thei
 other digests are shuffled; no group of them exceeds that share.
 
 Defined cases: a null text is an empty one, and empty texts are equal to each other; the largest doc_id of a group stays,
-a null doc_id only if the group has no other; rows that repeat with the same doc_id and text are one document to
+a null doc_id only if the group has no other; doc_id may be text that holds a whole number (one that can't be cast to a long is
+an error of the cast); rows that repeat with the same doc_id and text are one document to
 `resolve` (all are marked as kept) and `drop_copies` leaves one of them; an empty table gives an empty result; further
 columns are ignored by `resolve` and returned by `drop_copies`.
 """
@@ -115,26 +116,26 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = winners(digested, most).collect()
     keep = {bytes(r[0]): r[1] for r in rows}
     held = spark.sparkContext.broadcast(keep)
-    key, copy = "__digest", "__copy"
-    while key in columns or copy in columns:
-        key, copy = "_" + key, "_" + copy
-    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
+    key, copy, number = "__digest", "__copy", "__id"
+    while {key, copy, number} & set(columns):
+        key, copy, number = "_" + key, "_" + copy, "_" + number
+    schema = T.StructType([*docs.schema.fields, T.StructField(number, T.LongType()), T.StructField(key, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [digest(x) for x in batch.column(columns.index(text_col)).to_pylist()]
-            ids = batch.column(columns.index(id_col)).to_pylist()
+            ids = batch.column(len(columns)).to_pylist()  # as numbers, whatever type the id column has
             stays = pa.array([d not in held.value or held.value[d] == i for d, i in zip(own, ids)], pa.bool_())
             whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], [*batch.schema.names, key])
             yield whole.filter(stays)
 
-    tagged = docs.mapInArrow(run, schema)
+    tagged = docs.withColumn(number, F.col(id_col).cast("long")).mapInArrow(run, schema)
     light = digested.join(F.broadcast(spark.createDataFrame(rows, "digest binary, keep_id long, group_size long").select("digest")), "digest", "left_anti")
     best = light.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1")
     # what repeats with one id, and what lost: both are found by digest, and the texts are shuffled once by it
     marked = tagged.join(best.select(F.col("digest").alias(key), F.col("keep_id").alias(copy)), key, "left")
-    alone = marked.filter(F.col(copy).isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(copy)))
+    alone = marked.filter(F.col(copy).isNull() | F.col(number).eqNullSafe(F.col(copy)))
     twice = digested.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
     if twice:
-        alone = alone.dropDuplicates([id_col, key])
+        alone = alone.dropDuplicates([number, key])
     return alone.select(*columns)
