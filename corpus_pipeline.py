@@ -1,7 +1,8 @@
 """Documents to packed training windows, stage by stage.
 
 Each stage takes what the one before has kept, as a Parquet table read again, and returns the columns of documents; the
-last returns the pieces of the packed windows.
+last returns the pieces of the packed windows. A stage's table is deleted when its successor's is written; the last table
+is what the result reads, and holds no personal data that the stage before it has found.
 """
 
 from __future__ import annotations
@@ -59,10 +60,19 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
