@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import linked_data, product_pages
-from ..sources.views import PRODUCT_PAGES_SQL
+from ..sources import page_index, shared
+from ..sources.views import PRODUCT_PAGES_SQL, table
 from ..sources.views import product_pages as pages_view
 from .catalog import query
 
@@ -66,3 +69,14 @@ def q_page_products(spark, sf):
         "page_id", F.when(ld, c("name")).alias("ld_name"), F.when(own, c("description")).alias("section"), F.array_join("crumbs", " > ").alias("crumbs"), "category", "manufacturer", "image_url", "packaging_info", "packaging_unit", "transport_packaging", "mfr_number",
         F.size("specs").alias("n_specs"),
     )
+
+
+@query("""WITH s AS (SELECT page_id, url, CASE WHEN page_id % 7 <> 3 THEN 'S' || page_id % 60 END AS sku FROM pages)
+    SELECT sku, arg_min(url, page_id) AS url, min(page_id) AS at FROM s WHERE sku IS NOT NULL GROUP BY 1""")
+def q_page_index(spark, sf):
+    """The index after a scan of half the pages and one of all that was left."""
+    index = page_index.PageIndex(spark, f"{shared.folder(spark)}/index-{uuid.uuid4().hex}", buckets=16)
+    pages = table(spark, sf, "pages").select(c("page_id").alias("at"), "url", F.when(c("page_id") % 7 != 3, F.concat(F.lit("S"), c("page_id") % 60)).alias("sku"))
+    index.scan(pages.filter("at % 2 = 0"))
+    index.scan(pages)
+    return index.read()
