@@ -146,3 +146,44 @@ PAGE_MAKER_NUMBER = (
     r"(?:Produsentens?\s*(?:art\.?|varenr|artikkel)(?:nummer|nr)?|Lev\.?\s*art\.?\s*nr)[\s.:]*([A-Za-z0-9\-/]+)",
     r"(?:Manufacturer|MFR|Supplier)\s*(?:art|item|part)\s*(?:no|nr|number)?[\s.:]*([A-Za-z0-9\-/]+)",
 )
+
+# Enrichment: names of sources, confidence (hundredths) from which no review is needed, what values must and mustn't hold.
+SOURCE_NAMES = {"page": "OneMed produktside", "pdf": "Produktdatablad (PDF)", "manufacturer": "Produsent", "structuring": "Strukturering av kildedata"}
+AUTO_CONFIDENCE = 75
+SENTENCE_WORDS = r"\b(?:og|for|som|med|til|av|er|i|and|for|with|the|is)\b"
+PACKAGING_SIGNS = (
+    r"(?i)\d+\s*(?:stk|pk|stykk|per|pr|i\s+pakning)", r"(?i)(?:eske|kartong|pall|pose|boks|pakke|forpakning)\b", r"(?i)\d+\s*(?:x\s*\d+)", r"(?i)(?:inner|outer|master|transport)\s*(?:pak|box|cart)",
+)
+NOT_PACKAGING = (
+    r"(?i)(?:oppbevar|lagr)\w*\s+(?:tørt|kjølig|mørkt)", r"(?i)(?:brukes?\s+til|designed\s+for|intended\s+for|suitable\s+for)", r"(?i)(?:fordeler|benefits|advantages|features)\b", r"(?i)(?:instruksjon|instruction|bruksanvisning)\b",
+)
+BUILT_FROM = {"Materiale": ("Materiale", "Material"), "": ("Lengde", "Størrelse", "Size"), "Pakning": ("Antall i pakningen", "Antall per pakning", "Pack size")}
+BRAND_KEYS = ("Merkevare", "Brand", "Merke")
+
+# Labelled values in the texts of data sheets: patterns by field in their order, longest values, what lowers their worth.
+SHEET_PATTERNS = {
+    "product_name": (r"(?:produktnavn|product\s*name|varenavn|betegnelse)\s*[:\-]?\s*(.+?)(?:\n|$)",),
+    "description": (
+        r"(?:beskrivelse|description|produktbeskrivelse|product\s*description)\s*[:\-]?\s*((?:(?!\n\n).)+)",
+        r"(?:beskrivelse|description|produktbeskrivelse|product\s*description)\s*[:\-]?\s*(.+?)(?:\n|$)",
+    ),
+    "manufacturer": (r"(?:produsent|manufacturer|leverand.r|supplier|fabrikant)\s*[:\-]?\s*(.+?)(?:\n|$)",),
+    "manufacturer_article_number": (
+        r"(?:produsentens?\s*(?:vare|artikkel)?\s*(?:nummer|nr|kode)|manufacturer\s*(?:article|item|ref)?\s*(?:number|no|code|nr))\s*[:\-]?\s*(.+?)(?:\n|$)",
+        r"(?:ref[\.\s]*(?:nr|no|number|kode))\s*[:\-]?\s*(.+?)(?:\n|$)",
+    ),
+    "packaging_info": (
+        r"(?:pakning|emballasje|packaging|pack\s*size|pakningsstørrelse|forpakning)\s*[:\-]?\s*(.+?)(?:\n|$)",
+        r"(?:antall\s*(?:i|per|pr)?\s*(?:pakning|eske|kartong|pall))\s*[:\-]?\s*(.+?)(?:\n|$)",
+    ),
+    "materials": (r"(?:materiale?|material|sammensetning|composition)\s*[:\-]?\s*(.+?)(?:\n|$)",),
+    "dimensions": (r"(?:dimensjoner?|dimensions?|st.rrelse|size|m.l)\s*[:\-]?\s*(.+?)(?:\n|$)",),
+}
+SHEET_LONGEST = {"product_name": 200, "description": 2000, "manufacturer": 100, "manufacturer_article_number": 60, "packaging_info": 200, "materials": 300, "dimensions": 200}
+SHEET_BOILERPLATE = (
+    r"(?i)(?:oppbevar|lagr)\w*\s+(?:tørt|kjølig|mørkt|romtemperatur)", r"(?i)(?:best\s*før|holdbar|expir|shelf\s*life)", r"(?i)(?:les\s+bruksanvisning|read\s+instructions)", r"(?i)(?:kontakt\s+(?:lege|helsepersonell)|consult\s+(?:doctor|physician))",
+    r"(?i)(?:www\.\S+\.(?:com|no|se|dk))", r"(?i)(?:copyright|©|\ball\s+rights\s+reserved)",
+)
+SHEET_PACKAGING = (r"(?i)\d+\s*(?:stk|pk|stykk|per|i\s+(?:pakning|eske|kartong|pall))", r"(?i)(?:eske|kartong|pall|pose|boks|pakke|forpakning|inner|outer|master)\b", r"(?i)\d+\s*(?:x\s*\d+)")
+SHEET_LINE = r"^([A-Z\u00C0-\u00FF][a-z\u00C0-\u00FF\s]+?)\s*[:\t]\s*(.+?)$"
+SHEET_SKIPPED = ("side", "page", "dato", "date", "rev")

@@ -42,3 +42,12 @@ def clean_descriptions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     out = first.select(id_col, F.array(F.array_join(F.transform(good, lambda s: s.x), "\n")).alias("_cleaned"))
     # through a generator, as the filter would else be pushed down with all that makes the text
     return out.select(id_col, F.explode_outer("_cleaned").alias("cleaned")).filter(F.length("cleaned") >= LEAST_CHARS)
+
+
+def with_cleaned(rows: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """rows with a text's description in out_col, null where under 20 characters are left; the rules of clean_descriptions, and every row stays."""
+    lines = rows.withColumn("_lines", t.merged_lines(t.without_variants(c(text_col))))
+    first = runs_of_lines(lines, "_lines").withColumn("_first", F.array_sort(F.transform("_starts", lambda s: F.struct(F.get("_sorted", s).n.alias("n"), F.get("_sorted", s).x.alias("x")))))
+    good = F.filter("_first", lambda s: (F.size(t.words(s.x)) >= 3) | s.x.rlike(r"[.:!]$"))
+    text = F.array_join(F.transform(good, lambda s: s.x), "\n")
+    return first.withColumn(out_col, F.when(F.length(text) >= LEAST_CHARS, text)).drop("_lines", "_sorted", "_starts", "_first")
