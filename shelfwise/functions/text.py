@@ -36,8 +36,13 @@ def plain(c: Column) -> Column:
     return F.lower(strip(c))
 
 
+#: All white space of Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_upper(c: Column) -> Column:
@@ -125,9 +130,9 @@ def junk_reason(c: Column) -> Column:
     return out.when((n >= 3) & (numeric > 0.4 * n), "numbers").when((slashes >= 3) & ~c.rlike(r"\b(?:XS|S|M|L|XL|XXL)\b"), "slashes")
 
 
-def description_gate(c: Column) -> Column:
-    """Why a text can't stand as a description; null if it can."""
-    text = strip(F.coalesce(c, F.lit("")))
+def description_gate(c: Column, stripped: bool = False) -> Column:
+    """Why a text can't stand as a description; null if it can. stripped says that it has no white space at its ends and isn't null."""
+    text = c if stripped else strip(F.coalesce(c, F.lit("")))
     lines = F.split(text, "\n")
     short = F.size(F.filter(lines, lambda x: F.length(strip(x)) < 30))
     broken = F.exists(lines, lambda x: (F.length(strip(x)) > 50) & strip(x).rlike(r"(?U)\b(og|for|som|med|til|av|er|i)$") & ~strip(x).rlike(r"^[•*-]"))

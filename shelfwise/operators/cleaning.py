@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -12,6 +12,23 @@ LEAST_CHARS = 20
 c = F.col
 
 
+def once(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """rows with columns that are made once for each row: a generator stands between them and what uses them, so that the optimizer doesn't put them in again at each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+
+
+def judged_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line, x, reason): each line of a text without white space at its ends, and why it is junk, null for text."""
+    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line", "_x"))
+    return once(once(lines, {"x": t.strip(c("_x"))}).drop("_x"), {"reason": t.junk_reason(c("x"))})
+
+
+def gated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, reason): each text without white space at its ends, and why it can't stand as a description, null if it can."""
+    plain = once(docs.select(id_col, text_col), {"_text": t.strip(F.coalesce(text_col, F.lit("")))}).select(id_col, c("_text").alias("text"))
+    return once(plain, {"reason": t.description_gate(c("text"), stripped=True)})
+
+
 def runs_of_lines(rows: DataFrame, lines: str) -> DataFrame:
     """rows with `_sorted` (key, n, x of each line, by key, then place) and `_starts`, the places in it where a new key begins.
 

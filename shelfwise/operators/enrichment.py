@@ -30,13 +30,21 @@ def applied(statuses: DataFrame, found: DataFrame, least: int = 60) -> DataFrame
     return statuses.filter(c("status").isin(WEAK)).join(best.select("key", "field", c("value").alias("suggested"), "conf"), ["key", "field"])
 
 
-def description_quality(text: Column, gate: Column | None = None) -> Column:
-    """Hundredths: length, sentences, technical words and the gate (its reason, if it is known already)."""
-    gate = t.description_gate(text) if gate is None else gate
-    x = t.strip(F.coalesce(text, F.lit("")))
-    size, sentences, technical = F.length(x), t.sentences(x), F.regexp_count(F.lower(x), F.lit(_TECHNICAL))
-    points = (
+def technical_words(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(_TECHNICAL))
+
+
+def points(x: Column, sentences: Column, technical: Column, gate: Column) -> Column:
+    """Hundredths for a text without white space at its ends: its length, sentences, technical words, and whether nothing speaks against it (gate)."""
+    size = F.length(x)
+    out = (
         F.when(size < 50, 10).when(size <= 500, 25).when(size <= 1000, 20).otherwise(10) + F.when(sentences >= 2, 25).when(sentences == 1, 15).otherwise(0)
         + F.when(technical >= 3, 25).when(technical >= 1, 15).otherwise(0) + F.when(gate.isNull(), 25).otherwise(0)
     )
-    return F.when(x == "", 0).when(size < 15, 5).otherwise(points)
+    return F.when(x == "", 0).when(size < 15, 5).otherwise(out)
+
+
+def description_quality(text: Column, gate: Column | None = None) -> Column:
+    """The points of any text; gate is its reason, if it is known already."""
+    x = t.strip(F.coalesce(text, F.lit("")))
+    return points(x, t.sentences(x), technical_words(x), t.description_gate(text) if gate is None else gate)

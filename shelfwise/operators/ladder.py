@@ -168,23 +168,18 @@ def climbed(ladder: Column) -> Column:
     return F.struct(stands.alias("stands"), F.array_join(refused, " | ").alias("refused"))
 
 
-def once(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
-    """rows with columns that are made once for each row: a generator stands between them and what uses them, so that the optimizer doesn't put them in again at each use."""
-    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
-
-
 def suggestions(rows: DataFrame, key: str = "key") -> DataFrame:
     """(key, field, current_value, suggested_value, source, source_url, evidence, conf, review_required, refused) for fields whose status is neither STRONG nor OK.
 
     A field of which all candidates were refused has a row without a suggestion.
     """
     weak = {field: F.coalesce(~c(f"{own}_status").isin("STRONG", "OK"), F.lit(True)) for field, own in FIELDS.items()}
-    texts = once(rows, {**{f"_weak_{k}": v for k, v in weak.items()}, "_pdf_text": finding("description")[0], "_maker_text": c("maker.description")})
+    texts = cleaning.once(rows, {**{f"_weak_{k}": v for k, v in weak.items()}, "_pdf_text": finding("description")[0], "_maker_text": c("maker.description")})
     for text, clean in (("_pdf_text", "_pdf_clean"), ("_maker_text", "_maker_clean")):
-        texts = once(cleaning.with_cleaned(texts, text, "_cleaned"), {clean: c("_cleaned")}).drop("_cleaned")
-        texts = once(texts, {f"_gate{clean}": t.description_gate(c(clean))})
+        texts = cleaning.once(cleaning.with_cleaned(texts, text, "_cleaned"), {clean: c("_cleaned")}).drop("_cleaned")
+        texts = cleaning.once(texts, {f"_gate{clean}": t.description_gate(c(clean))})
         texts = texts.withColumn(f"_worth_{clean}", enrichment.description_quality(c(clean), c(f"_gate{clean}")))
-    texts = once(texts, {"_worth_description": enrichment.description_quality(c("description"))})
+    texts = cleaning.once(texts, {"_worth_description": enrichment.description_quality(c("description"))})
     packed = F.coalesce(t.filled(c("packaging")), c("packaging_unit"))
     trail = F.coalesce(t.filled(c("category")), F.array_join("crumbs", " > "))
     currents = {**FIELDS, "Pakningsinformasjon": packed, "Kategori": trail}

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+
 c = F.col
 
 _TOKEN = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>|[^<]+|<"
@@ -28,11 +30,6 @@ def decoded(text: Column) -> Column:
     return text
 
 
-def stripped(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def attribute(tag: Column, name: str) -> Column:
     """The value of an attribute of an opening tag, null if it has none."""
     found = F.regexp_extract_all(tag, F.lit(rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
@@ -59,7 +56,7 @@ def elements(tokens: DataFrame) -> DataFrame:
     by_page = W.partitionBy("page").orderBy("pos")
     run = tokens.select(
         "page", "pos", "tag", "name", "step", F.sum("step").over(by_page).alias("depth"),
-        F.sum(F.coalesce(F.length(stripped(c("text"))), F.lit(0))).over(by_page).alias("at"), F.sum(F.coalesce(F.length("text"), F.lit(0))).over(by_page).alias("raw_at"),
+        F.sum(F.coalesce(F.length(t.strip(c("text"))), F.lit(0))).over(by_page).alias("at"), F.sum(F.coalesce(F.length("text"), F.lit(0))).over(by_page).alias("raw_at"),
     ).filter("name <> ''")
     level = F.sum("step").over(W.partitionBy("page", "name").orderBy("pos")) + F.when(c("step") == -1, 1).otherwise(0)
     ends = F.lead(F.struct("pos", "at", "raw_at", "step")).over(W.partitionBy("page", "name", "level").orderBy("pos"))
@@ -77,8 +74,8 @@ def elements(tokens: DataFrame) -> DataFrame:
 def page_texts(tokens: DataFrame) -> DataFrame:
     """(page, text, raw): all texts of a page in order, stripped and as they are."""
     kept = tokens.filter("text is not null").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("x"))
-    texts = F.transform("x", lambda t: t["text"])
-    return kept.select("page", F.array_join(F.transform(texts, stripped), "").alias("text"), F.array_join(texts, "").alias("raw"))
+    texts = F.transform("x", lambda x: x["text"])
+    return kept.select("page", F.array_join(F.transform(texts, t.strip), "").alias("text"), F.array_join(texts, "").alias("raw"))
 
 
 def text_between(text: Column, start: Column, end: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import text as t
 from . import linked_data, markup
 
 c = F.col
@@ -48,7 +49,7 @@ def structured(e: Column) -> Column:
     has_blocks = F.exists(inner, lambda x: child(x) & x["name"].isin(*_BLOCKS, *_LISTS))
     items = lambda of: F.transform(F.filter(inner, lambda x: (x["name"] == "li") & (x["depth"] == of["depth"] + 1) & (x["pos"] > of["pos"]) & (x["pos"] < of["end"]) & (x["text"] != "")), lambda x: F.concat(F.lit("• "), x["text"]))
     parts = F.flatten(F.transform(F.filter(inner, child), lambda x: F.when(x["name"].isin(*_LISTS), items(x)).otherwise(F.array(x["text"]))))
-    lines = F.transform(F.split(e["raw"], "\n"), lambda x: markup.stripped(F.regexp_replace(x, "[ \t]+", " ")))
+    lines = F.transform(F.split(e["raw"], "\n"), lambda x: t.strip(F.regexp_replace(x, "[ \t]+", " ")))
     joined = F.array_join(F.filter(F.when(has_blocks, parts).otherwise(lines), lambda x: x != ""), "\n")
     return F.when(e.isNotNull(), joined)
 
@@ -58,7 +59,7 @@ def pages_of(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     tokens = markup.stream(pages, id_col, html_col)
     found = markup.with_text(markup.elements(tokens), tokens)
     depth = F.sum("step").over(W.partitionBy("page").orderBy("pos"))
-    texts = tokens.withColumn("depth", depth + 1).filter("name = '' and text is not null").select("page", "pos", c("pos").alias("end"), "name", "depth", F.lit(None).cast("string").alias("tag"), markup.stripped(c("text")).alias("text"))
+    texts = tokens.withColumn("depth", depth + 1).filter("name = '' and text is not null").select("page", "pos", c("pos").alias("end"), "name", "depth", F.lit(None).cast("string").alias("tag"), t.strip(c("text")).alias("text"))
     inner = found.select("page", "pos", "end", "name", "depth", "tag", "text").unionByName(texts)
     # texts and inline elements of their own are only asked for where a region is read by its children
     by_child = F.arrays_overlap("o.kinds", F.array(*map(F.lit, ("described", "described_class", "described_div", "specified", "specified_class", "specified_block"))))
@@ -102,7 +103,7 @@ def _terms(r: Column) -> Column:
 
 
 def _labelled(r: Column) -> Column:
-    items = F.transform(F.filter(_named(r, "li"), lambda x: F.contains(x["text"], F.lit(":"))), lambda x: _pair(markup.stripped(F.substring_index(x["text"], ":", 1)), markup.stripped(F.regexp_replace(x["text"], "(?s)^[^:]*:", ""))))
+    items = F.transform(F.filter(_named(r, "li"), lambda x: F.contains(x["text"], F.lit(":"))), lambda x: _pair(t.strip(F.substring_index(x["text"], ":", 1)), t.strip(F.regexp_replace(x["text"], "(?s)^[^:]*:", ""))))
     classed = lambda pattern: F.filter(r["inner"], lambda x: _like(markup.attribute(x["tag"], "class"), pattern))
     return F.concat(items, _zipped(classed("label|key|name"), classed("value|data|content")))
 
@@ -142,7 +143,7 @@ def described() -> Column:
 
 def fallback_description() -> Column:
     div = first(of_kind("described_div"))
-    meta = markup.stripped(markup.attribute(first(of_kind("meta"))["tag"], "content"))
+    meta = t.strip(markup.attribute(first(of_kind("meta"))["tag"], "content"))
     main = F.coalesce(first(of_kind("main")), first(of_kind("article")), first(of_kind("content")))
     long_texts = F.filter(F.transform(_named(main, "p"), lambda x: x["text"]), lambda x: F.length(x) > 30)
     paragraphs = F.when(F.size(long_texts) > 0, F.array_join(F.slice(long_texts, 1, 3), "\n"))
@@ -181,9 +182,9 @@ def matched(text: Column, patterns: tuple[str, ...], group: int) -> Column:
 
 def tidy(x: Column) -> Column:
     """Blanks closed up, hard and no-width blanks as plain ones or none, at most one empty line; nothing left is null."""
-    x = F.regexp_replace(markup.stripped(x), "[ \t]+", " ")
+    x = F.regexp_replace(t.strip(x), "[ \t]+", " ")
     x = F.translate(x, "\xa0\u200b\ufeff", " ")
-    return F.nullif(markup.stripped(F.regexp_replace(x, "\n{3,}", "\n\n")), F.lit(""))
+    return F.nullif(t.strip(F.regexp_replace(x, "\n{3,}", "\n\n")), F.lit(""))
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", image_base: str = "https://images.example") -> DataFrame:
@@ -194,7 +195,7 @@ def parsed(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", im
     section = described()
     rich = F.when(F.length(section) > F.length("ld_description") * 1.3, section).when(F.length("ld_description") > 0, c("ld_description")).otherwise(section)
     trail = F.when(F.size("ld_crumbs") > 0, c("ld_crumbs")).otherwise(html_crumbs())
-    trail = F.filter(F.transform(trail, markup.stripped), lambda x: ~x.isin("", ">", "/", "»", "›"))
+    trail = F.filter(F.transform(trail, t.strip), lambda x: ~x.isin("", ">", "/", "»", "›"))
     maker = first(of_kind("maker"))["text"]
     by_key = first(F.filter("specs", lambda x: F.lower(x["key"]).rlike("produsent|manufacturer|leverandør|supplier|brand|merke")))["value"]
     rows = rows.withColumns({

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as t
+from . import cleaning
 
 c = F.col
 #: Characters on both sides of a match that its evidence holds.
@@ -44,27 +45,38 @@ def worth(value: Column, field: str) -> Column:
     return out
 
 
+_FLAGS = "(?dimsuU)"
+
+
+def _match(field: str, k: int) -> str:
+    return f"_{field}_{k}"
+
+
 def field_value(text: Column, field: str) -> Column:
-    """Struct (value, at, snippet, quality) of the first of a field's patterns that gives a fitting value, null if none does; at counts characters before the match."""
+    """Struct (value, at, snippet, quality) of the first of a field's matches that gives a fitting value, null if none does; at counts characters before the match.
+
+    A match begins where its text is first found: wherever a label stands before a character, the pattern matches.
+    """
     found = []
-    for pattern in fixed.SHEET_PATTERNS[field]:
-        flags = "(?dimsuU)"
-        whole, value = F.regexp_substr(text, F.lit(flags + pattern)), F.regexp_extract(text, flags + pattern, 1)
-        # the first place of the matched text that is a match; what lies before it can't hold it earlier
-        at = F.char_length(F.regexp_extract(text, rf"(?dimsuU)\A(.*?){pattern}", 1))
-        kept = shortened(tidy(value), fixed.SHEET_LONGEST[field])
+    for k, pattern in enumerate(fixed.SHEET_PATTERNS[field]):
+        whole = c(_match(field, k))
+        plain = tidy(F.regexp_extract(whole, _FLAGS + pattern, 1))
+        at = F.instr(text, whole) - 1
+        kept = shortened(plain, fixed.SHEET_LONGEST[field])
         begin, end = F.greatest(F.lit(0), at - AROUND), at + F.char_length(whole) + AROUND
         snippet = F.regexp_replace(t.strip(F.substr(text, begin + 1, end - begin)), "[ \t]+", " ")
         quality = worth(kept, field)
-        fits = whole.isNotNull() & (F.length(tidy(value)) > 1) & (quality >= 0.1)
-        found.append(F.when(fits, F.struct(kept.alias("value"), at.alias("at"), snippet.alias("snippet"), quality.alias("quality"))))
+        fits = (F.length(plain) > 1) & (quality >= 0.1)
+        found.append(F.when(whole.isNotNull(), F.when(fits, F.struct(kept.alias("value"), at.alias("at"), snippet.alias("snippet"), quality.alias("quality")))))
     return F.coalesce(*found)
 
 
 def values(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, field, value, at, snippet, quality): the labelled values of each text."""
+    matches = {_match(f, k): F.regexp_substr(text_col, F.lit(_FLAGS + p)) for f, ps in fixed.SHEET_PATTERNS.items() for k, p in enumerate(ps)}
+    seen = cleaning.once(docs.select(id_col, text_col), matches)
     each = [F.struct(F.lit(k).alias("field"), field_value(c(text_col), k).alias("x")) for k in fixed.SHEET_PATTERNS]
-    rows = docs.select(id_col, F.explode(F.array(*each)).alias("e")).filter("e.x is not null")
+    rows = seen.select(id_col, F.explode(F.array(*each)).alias("e")).filter("e.x is not null")
     return rows.select(id_col, "e.field", "e.x.value", "e.x.at", "e.x.snippet", "e.x.quality")
 
 

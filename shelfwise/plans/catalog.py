@@ -284,8 +284,8 @@ def q_batch_evaluate(spark, sf):
 
 @query(f"SELECT doc_id, n AS line, {sql.JUNK} AS reason FROM ({sql.STRIPPED}) WHERE {sql.JUNK} IS NOT NULL")
 def q_junk_lines(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "x"))
-    return lines.select("doc_id", c("n").cast("long").alias("line"), t.strip(c("x")).alias("x")).select("doc_id", "line", t.junk_reason(c("x")).alias("reason")).filter("reason is not null")
+    judged = cleaning.judged_lines(table(spark, sf, "documents"), "doc_id", "text")
+    return judged.filter("reason is not null").select("doc_id", c("line").cast("long").alias("line"), "reason")
 
 
 @query(f"""WITH k AS (SELECT doc_id, lower(regexp_replace(x, '\\s+', ' ', 'g')) AS y FROM ({sql.STRIPPED}) WHERE {sql.JUNK} IS NULL), f AS (SELECT DISTINCT doc_id, y FROM k)
@@ -293,7 +293,7 @@ def q_junk_lines(spark, sf):
 def q_clean_lines(spark, sf):
     """Junk lines out, then the first of each document's equal lines."""
     kept = F.filter(F.transform(F.split("text", "\n"), t.strip), lambda x: t.junk_reason(x).isNull())
-    keys_of = table(spark, sf, "documents").select("doc_id", F.array_distinct(F.transform(kept, t.line_key)).alias("y"))
+    keys_of = cleaning.once(table(spark, sf, "documents").select("doc_id", "text"), {"y": F.array_distinct(F.transform(kept, t.line_key))})
     return keys_of.filter(F.size("y") > 0).select("doc_id", F.size("y").cast("long").alias("n_lines"), F.aggregate("y", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
@@ -324,7 +324,7 @@ def q_clean_documents(spark, sf):
 
 @query(f"SELECT doc_id, {sql.GATE} AS reason FROM (SELECT doc_id, {sql.stripped("coalesce(text, '')")} AS t, string_split({sql.stripped("coalesce(text, '')")}, chr(10)) AS ls FROM documents)")
 def q_description_gate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.description_gate(c("text")).alias("reason"))
+    return cleaning.gated(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "reason")
 
 
 @query(f"""WITH d AS (SELECT doc_id, text, {sql.words('text')} AS w FROM documents), h AS (SELECT *, len(list_filter(w, lambda x: x IN ({sql.strings(fixed.ENGLISH)}))) AS n FROM d)
