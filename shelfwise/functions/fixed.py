@@ -187,3 +187,11 @@ SHEET_BOILERPLATE = (
 SHEET_PACKAGING = (r"(?i)\d+\s*(?:stk|pk|stykk|per|i\s+(?:pakning|eske|kartong|pall))", r"(?i)(?:eske|kartong|pall|pose|boks|pakke|forpakning|inner|outer|master)\b", r"(?i)\d+\s*(?:x\s*\d+)")
 SHEET_LINE = r"^([A-Z\u00C0-\u00FF][a-z\u00C0-\u00FF\s]+?)\s*[:\t]\s*(.+?)$"
 SHEET_SKIPPED = ("side", "page", "dato", "date", "rev")
+
+# Workbooks: headers of article numbers as they are compared, and the ERP's headers with its fields.
+ARTICLE_HEADERS = ["artikkelnummer", "artikkel", "artikkelnr", "artnr", "artnummer", "varenummer", "varenr", "article", "articlenumber", "sku", "item", "itemnumber", "produktnummer"]
+ERP_COLUMNS = {
+    "Item. No": "article_number", "GID": "gid", "Item description": "item_description", "Specification": "specification", "Supplier": "supplier", "Supplier Item.no": "supplier_item_no", "Product Brand": "product_brand", "Web Title": "web_title",
+    "Web Text": "web_text",
+}
+ERP_IDENTIFIERS = ("article_number", "gid", "supplier_item_no")
