@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import overrides, similar
+from ..operators import names, overrides, similar
 from ..sources.views import table
 from . import sql
 from .catalog import query
@@ -60,3 +60,12 @@ def q_overrides_settled(spark, sf):
 def q_similar_texts(spark, sf):
     """Documents and benchmark items of which a fifth of all words or more are shared."""
     return similar.similar_texts(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 0.2, "doc_id", "item_id")
+
+
+@query("""WITH b AS (SELECT DISTINCT lower(string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3]) AS name FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents)
+    SELECT doc_id, name, ((length(t) - length(replace(t, name, ''))) / length(name))::BIGINT AS n, (strpos(t, name) - 1)::INTEGER AS first_at FROM d, b WHERE contains(t, name)""")
+def q_names_in_texts(spark, sf):
+    """The first three words of each benchmark item as names: how often, and from where on, each document has them."""
+    known = table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
+    found = names.find(table(spark, sf, "documents"), known, "doc_id", "text", "name")
+    return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
