@@ -195,3 +195,15 @@ ERP_COLUMNS = {
     "Web Text": "web_text",
 }
 ERP_IDENTIFIERS = ("article_number", "gid", "supplier_item_no")
+
+# Reports: what a verification says where it has no evidence of its own, labels of fields and priorities.
+VERIFICATION_EVIDENCE = {
+    "EXACT_MATCH": "Produktidentitet bekreftet: artikkelnummeret stemmer eksakt med produktsiden.", "NORMALIZED_MATCH": "Produktidentitet bekreftet etter normalisering av artikkelnummer.",
+    "SKU_IN_PAGE": "Artikkelnummeret ble funnet i sideteksten, men ikke i produktets strukturerte data. Svakere bevis.",
+    "CDN_ONLY": "Produktbilde ble funnet i bildekatalogen, men ingen produktside med detaljer ble funnet eller hentet. Produktidentiteten er usikker.", "UNVERIFIED": "Produktet kunne ikke verifiseres mot nettstedet. Vurder manuelt om dataene er korrekte.",
+    "MISMATCH": "Artikkelnummeret på produktsiden stemmer IKKE med forventet artikkel. Dataene kan tilhøre feil produkt.", "AMBIGUOUS": "Motstridende signaler gjør det uklart om dette er riktig produkt. Krever manuell vurdering.",
+}
+FIELD_LABELS = {
+    "name": "Produktnavn", "description": "Beskrivelse", "specification": "Spesifikasjon", "manufacturer": "Produsent", "mfr_number": "Produsentens varenummer", "brand": "Merkevare", "category": "Kategori", "packaging": "Pakningsinformasjon", "image": "Bildekvalitet",
+}
+PRIORITY_LABELS = {"high": "Høy", "medium": "Medium", "low": "Lav"}
