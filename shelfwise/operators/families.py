@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as t
+from . import cleaning
 
 c = F.col
 P = {k: "(?U)" + v for k, v in fixed.DIMENSION_PATTERNS.items()}
@@ -68,20 +69,26 @@ def records(products: DataFrame) -> DataFrame:
     """key, article_number, name, brand, category, base, group_key and one column a dimension. Rows without a base name are out."""
     brand = t.effective_brand(c("brand"), c("supplier"))
     out = products.select("key", "article_number", c("family_name").alias("name"), brand.alias("brand"), c("family_category").alias("category"), c("family_specification").alias("specification"), "details")
-    out = out.withColumn("base", base_name(c("name"))).filter("base <> ''")
+    out = cleaning.once(out, {"base": base_name(c("name"))}).filter("base <> ''")
     out = out.withColumn("group_key", F.concat_ws("||", F.when(c("brand") == "", "_unknown_").otherwise(c("brand")), c("base")))
-    return out.withColumns({f"dim_{k}": v for k, v in dimensions(c("name"), c("specification"), c("details")).items()})
+    return cleaning.once(out, {f"dim_{k}": v for k, v in dimensions(c("name"), c("specification"), c("details")).items()})
 
 
 def groups(recs: DataFrame, least: int = 2) -> DataFrame:
-    """One row a candidate group: counts, score (hundredths), varying dimensions, mother and id. Only counts and minima are gathered."""
+    """One row a candidate group: counts, score (hundredths), varying dimensions, mother and id. Only counts, minima and maxima are gathered.
+
+    Whether a column has no, one or more values is told by its least and greatest one, so no distinct count spreads the rows.
+    """
+    varied = {"n_categories": "category", **{f"distinct_{d}": f"dim_{d}" for d in DIMS}}
     has_dim = F.coalesce(*[c(f"dim_{d}") for d in DIMS]).isNotNull()
     found = recs.groupBy("group_key").agg(
         F.count("*").alias("n"), F.min("brand").alias("brand"), F.min("base").alias("base"), F.min("key").alias("first_key"),
-        F.count_distinct("category").alias("n_categories"), F.count_if(has_dim).alias("n_with_dims"), F.count_if(~has_dim).alias("n_without"), F.min(F.when(~has_dim, c("key"))).alias("without_key"),
+        F.count_if(has_dim).alias("n_with_dims"), F.count_if(~has_dim).alias("n_without"), F.min(F.when(~has_dim, c("key"))).alias("without_key"),
         *[F.min(F.contains(F.lower("name"), F.lit(k))).alias(f"typed_{i}") for i, k in enumerate(fixed.TYPE_KEYWORDS)],
-        *[F.count(f"dim_{d}").alias(f"n_{d}") for d in DIMS], *[F.count_distinct(f"dim_{d}").alias(f"distinct_{d}") for d in DIMS],
+        *[F.count(f"dim_{d}").alias(f"n_{d}") for d in DIMS], *[F.struct(F.min(x).alias("least"), F.max(x).alias("greatest")).alias(f"_{k}") for k, x in varied.items()],
     ).filter(c("n") >= least)
+    several = lambda x: F.when(x["least"].isNull(), 0).when(x["least"] == x["greatest"], 1).otherwise(2)
+    found = cleaning.once(found, {k: several(c(f"_{k}")) for k in varied})
     common, typed = F.greatest(*[c(f"n_{d}") for d in DIMS]), F.greatest(*[c(f"typed_{i}") for i in range(len(fixed.TYPE_KEYWORDS))])
     raw = (
         F.lit(30) + F.when(c("brand") == "", -10).otherwise(20) + F.when(c("n_with_dims") >= 2, 25).when(c("n_with_dims") == 1, 5).otherwise(0) + F.when(typed, 15).otherwise(0)

@@ -134,9 +134,13 @@ def entries_of_found() -> Column:
     return F.coalesce(F.transform(F.map_entries("found"), lambda e: F.struct(e["key"].alias("key"), e["value"]["value"].alias("value"), e["value"]["url"].alias("url"))), none)
 
 
+def _category_words() -> Column:
+    pairs = F.transform(F.coalesce(F.map_entries("details"), F.array().cast("array<struct<key: string, value: string>>")), lambda e: F.concat_ws(" ", e["key"], e["value"]))
+    return F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.array_join(pairs, " ")))
+
+
 def _category_rungs() -> list[Column]:
-    words = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.array_join(F.transform(F.coalesce(F.map_entries("details"), F.array().cast("array<struct<key: string, value: string>>")), lambda e: F.concat_ws(" ", e["key"], e["value"])), " "))
-    inferred = t.first_match(F.lower(words), fixed.CATEGORY_PATTERNS, True)
+    inferred = t.first_match(c("_words"), fixed.CATEGORY_PATTERNS, True)
     shallow = F.coalesce(F.size("crumbs"), F.lit(0)) < 2
     return [rung(_new(F.when(shallow, inferred), c("category")), STRUCTURING, F.lit(50), F.lit("Basert på produktnavn og spesifikasjoner"), review=F.lit(True))]
 
@@ -180,13 +184,17 @@ def suggestions(rows: DataFrame, key: str = "key") -> DataFrame:
         texts = cleaning.once(texts, {f"_gate{clean}": t.description_gate(c(clean))})
         texts = texts.withColumn(f"_worth_{clean}", enrichment.description_quality(c(clean), c(f"_gate{clean}")))
     texts = cleaning.once(texts, {"_worth_description": enrichment.description_quality(c("description"))})
+    texts = cleaning.once(texts, {"_words": _category_words()})
+    # a field's ladder is made for weak fields only, and once: what is read of it are its first rung and the reasons
+    ladders = {f"_ladder_{field}": F.when(c(f"_weak_{field}"), F.array(*ladder)) for field, ladder in rungs().items()}
+    texts = cleaning.once(texts, ladders)
     packed = F.coalesce(t.filled(c("packaging")), c("packaging_unit"))
     trail = F.coalesce(t.filled(c("category")), F.array_join("crumbs", " > "))
     currents = {**FIELDS, "Pakningsinformasjon": packed, "Kategori": trail}
     each = []
-    for field, ladder in rungs().items():
+    for field in FIELDS:
         current = currents[field]
-        each.append(F.when(c(f"_weak_{field}"), F.struct(F.lit(field).alias("field"), (c(current) if isinstance(current, str) else current).alias("current"), climbed(F.array(*ladder)).alias("x"))))
+        each.append(F.when(c(f"_weak_{field}"), F.struct(F.lit(field).alias("field"), (c(current) if isinstance(current, str) else current).alias("current"), climbed(c(f"_ladder_{field}")).alias("x"))))
     # through a generator, so that the ladders are made once and not again in the filter
     out = texts.select(c(key), F.explode(F.array(*each)).alias("e")).filter("e is not null").select(key, "e.field", "e.current", "e.x.stands", "e.x.refused").filter("stands is not null or refused <> ''")
     return out.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, scores
 from ..functions import text as t
 from ..operators import cleaning, evidence, families, fields, keys, pages, state
+from ..sources.shared import written
 from ..sources.views import PRODUCTS_SQL, products, table
 from . import sql
 
@@ -413,7 +414,8 @@ def q_candidate_rank(spark, sf):
 
 
 def _records(spark, sf):
-    return families.records(products(spark, sf))
+    """The families' records, made once and stored: they are read for groups, members and names."""
+    return written(families.records(products(spark, sf)), "records")
 
 
 @query(f"{V}, {sql.RECORDS}, {sql.GROUPS} SELECT family_id, group_key, n, score, varying, needs_review, mother_key, first_key FROM fam")

@@ -10,7 +10,7 @@ from ..functions import text as t
 from ..operators import cleaning, enrichment, families, fields, images, state
 from ..sources.views import products, table
 from . import sql
-from .catalog import V, query
+from .catalog import V, _records, query
 
 c = F.col
 
@@ -264,7 +264,7 @@ _MEMBERS = f"{V}, {sql.RECORDS}, {sql.GROUPS}, m AS (SELECT r.key, f.family_id F
 
 
 def _members(spark, sf):
-    recs = families.records(products(spark, sf))
+    recs = _records(spark, sf)
     return families.members(recs, families.groups(recs)).select("key", "family_id")
 
 
