@@ -94,7 +94,8 @@ def groups(recs: DataFrame, least: int = 2) -> DataFrame:
         F.lit(30) + F.when(c("brand") == "", -10).otherwise(20) + F.when(c("n_with_dims") >= 2, 25).when(c("n_with_dims") == 1, 5).otherwise(0) + F.when(typed, 15).otherwise(0)
         + F.when(c("n_categories") == 1, 10).when(c("n_categories") > 1, -5).otherwise(0) + F.when(c("n") > 15, -5).when(c("n") >= 3, 5).otherwise(0) + F.when(common * 100 >= c("n") * 60, 10).otherwise(0)
     )
-    raw = F.least(F.greatest(raw, F.lit(0)), F.lit(100))
+    found = cleaning.once(found, {"_raw": F.least(F.greatest(raw, F.lit(0)), F.lit(100)), "_typed": typed})
+    raw, typed = c("_raw"), c("_typed")
     # dimensions count only if two members have some
     few = c("n_with_dims") < 2
     capped = F.when(few, F.least(raw, F.lit(40))).otherwise(raw)
@@ -104,10 +105,11 @@ def groups(recs: DataFrame, least: int = 2) -> DataFrame:
     for x, y in fixed.REDUCED_HALVES.items():
         reduced = F.when(low == x, y).otherwise(reduced)
     capped = F.when(c("brand") == "", reduced).otherwise(capped)
+    found = cleaning.once(found, {"score": capped.cast("long")})
     varying = F.filter(F.array(*[F.when(c(f"distinct_{d}") >= 2, name) for d, name in fixed.DIMENSION_NAMES.items()]), lambda x: x.isNotNull())
     return found.select(
-        F.concat(F.lit("FAM-"), F.substring(F.sha2("group_key", 256), 1, 16)).alias("family_id"), "group_key", "n", capped.cast("long").alias("score"), F.array_join(varying, ",").alias("varying"),
-        ((capped < 65) | (F.size(varying) == 0)).alias("needs_review"), F.when(c("n_without") == 1, c("without_key")).alias("mother_key"), "first_key",
+        F.concat(F.lit("FAM-"), F.substring(F.sha2("group_key", 256), 1, 16)).alias("family_id"), "group_key", "n", "score", F.array_join(varying, ",").alias("varying"),
+        ((c("score") < 65) | (F.size(varying) == 0)).alias("needs_review"), F.when(c("n_without") == 1, c("without_key")).alias("mother_key"), "first_key",
     )
 
 
@@ -115,7 +117,7 @@ def ordered(fams: DataFrame, least: int = 30) -> DataFrame:
     """Families of a sufficient score with their places: by score, then by size, then by their first member."""
     kept = fams.filter(c("score") >= least)
     reason = F.when(c("score") >= 70, "Sterk familiegruppe — høy likhet og konsistente varianter").when(c("score") >= 50, "Sannsynlig familie — moderat likhet").when(c("score") >= 30, "Mulig familie — krever manuell gjennomgang")
-    return kept.orderBy(F.desc("score"), F.desc("n"), "first_key").select("family_id", "group_key", "n", "score", reason.alias("reason"))
+    return kept.orderBy(F.desc("score"), F.desc("n"), "first_key").select("family_id", "group_key", "n", "score", "first_key", reason.alias("reason"))
 
 
 def members(recs: DataFrame, fams: DataFrame, least: int = 30) -> DataFrame:

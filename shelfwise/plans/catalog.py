@@ -451,7 +451,8 @@ def q_variant_dims(spark, sf):
 def q_family_order(spark, sf):
     """The first 50 families by score, then size, then first member."""
     top = families.ordered(families.groups(_records(spark, sf))).limit(50)
-    return top.withColumn("at", F.monotonically_increasing_id()).select("family_id", F.row_number().over(W.orderBy("at")).cast("long").alias("place"))
+    # numbered by the order itself: 50 rows
+    return top.select("family_id", F.row_number().over(W.orderBy(F.desc("score"), F.desc("n"), "first_key")).cast("long").alias("place"))
 
 
 @query("""
