@@ -591,4 +591,4 @@ def q_review_upsert(spark, sf):
     return state.upsert(base, log, "key", "seq").select("key", "status")
 
 
-from . import enrichment_rules, log_rules, page_rules, report_rules, rules  # noqa: E402, F401  (they register their queries beside these)
+from . import enrichment_rules, finding_rules, log_rules, page_rules, report_rules, rules  # noqa: E402, F401  (they register their queries beside these)
