@@ -12,7 +12,7 @@ from ..functions import fixed, scores
 from ..functions import text as t
 from ..operators import cleaning, evidence, families, fields, keys, pages, state
 from ..sources.shared import written
-from ..sources.views import PRODUCTS_SQL, products, table
+from ..sources.views import PRODUCTS_SQL, products, spread, table
 from . import sql
 
 c = F.col
@@ -283,9 +283,13 @@ def q_batch_evaluate(spark, sf):
 # text
 
 
+def _texts(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query(f"SELECT doc_id, n AS line, {sql.JUNK} AS reason FROM ({sql.STRIPPED}) WHERE {sql.JUNK} IS NOT NULL")
 def q_junk_lines(spark, sf):
-    judged = cleaning.judged_lines(table(spark, sf, "documents"), "doc_id", "text")
+    judged = cleaning.judged_lines(_texts(spark, sf), "doc_id", "text")
     return judged.filter("reason is not null").select("doc_id", c("line").cast("long").alias("line"), "reason")
 
 
@@ -294,7 +298,7 @@ def q_junk_lines(spark, sf):
 def q_clean_lines(spark, sf):
     """Junk lines out, then the first of each document's equal lines."""
     kept = F.filter(F.transform(F.split("text", "\n"), t.strip), lambda x: t.junk_reason(x).isNull())
-    keys_of = cleaning.once(table(spark, sf, "documents").select("doc_id", "text"), {"y": F.array_distinct(F.transform(kept, t.line_key))})
+    keys_of = cleaning.once(_texts(spark, sf).select("doc_id", "text"), {"y": F.array_distinct(F.transform(kept, t.line_key))})
     return keys_of.filter(F.size("y") > 0).select("doc_id", F.size("y").cast("long").alias("n_lines"), F.aggregate("y", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
@@ -304,7 +308,7 @@ _LINE_KEY = "trim(regexp_replace(lower(x), '[ \\t\\r\\n]+', ' ', 'g'))"
 @query(f"SELECT doc_id, min(n) AS line, count(*) AS n_copies FROM ({sql.LINES}) GROUP BY doc_id, {_LINE_KEY}")
 def q_dedup_lines(spark, sf):
     """The first of each document's equal lines."""
-    return cleaning.first_lines(table(spark, sf, "documents"), "doc_id", "text")
+    return cleaning.first_lines(_texts(spark, sf), "doc_id", "text")
 
 
 _UNVARIED = f"""SELECT doc_id, CASE WHEN len(p) >= 3 AND (b <> '' OR e <> '') THEN concat_ws(chr(10), nullif(b, ''), nullif(e, '')) ELSE text END AS text FROM
@@ -320,18 +324,18 @@ _UNVARIED = f"""SELECT doc_id, CASE WHEN len(p) >= 3 AND (b <> '' OR e <> '') TH
     SELECT doc_id, cleaned FROM r WHERE length(cleaned) >= 20""")
 def q_clean_documents(spark, sf):
     """What is left of each text as a description; texts of which under 20 characters are left have no row."""
-    return cleaning.clean_descriptions(table(spark, sf, "documents"), "doc_id", "text")
+    return cleaning.clean_descriptions(_texts(spark, sf), "doc_id", "text")
 
 
 @query(f"SELECT doc_id, {sql.GATE} AS reason FROM (SELECT doc_id, {sql.stripped("coalesce(text, '')")} AS t, string_split({sql.stripped("coalesce(text, '')")}, chr(10)) AS ls FROM documents)")
 def q_description_gate(spark, sf):
-    return cleaning.gated(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "reason")
+    return cleaning.gated(_texts(spark, sf), "doc_id", "text").select("doc_id", "reason")
 
 
 @query(f"""WITH d AS (SELECT doc_id, text, {sql.words('text')} AS w FROM documents), h AS (SELECT *, len(list_filter(w, lambda x: x IN ({sql.strings(fixed.ENGLISH)}))) AS n FROM d)
     SELECT doc_id, length(text) >= 20 AND n >= 3 AND n > len(w) * 0.15 AS english FROM h""")
 def q_looks_english(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.looks_english(c("text")).alias("english"))
+    return _texts(spark, sf).select("doc_id", t.looks_english(c("text")).alias("english"))
 
 
 @query(f"SELECT p_partkey, {sql.measurable('s')} AS measurable, {sql.hits('s')} AS n_keywords FROM (SELECT p_partkey, 'size ' || p_size || ' ' || p_type AS s FROM part)")
@@ -531,7 +535,7 @@ def q_sku_verify(spark, sf):
     l AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n+', chr(10), 'g') AS x FROM b)
     SELECT page_id, coalesce(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '') AS text FROM l""")
 def q_structured_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", pages.structured_text(c("html")).alias("text"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", pages.structured_text(c("html")).alias("text"))
 
 
 _URL = "image_url || CASE key % 4 WHEN 0 THEN '/logo.png' WHEN 1 THEN '/a.JPG?w=2' WHEN 2 THEN '/icon' ELSE '' END"

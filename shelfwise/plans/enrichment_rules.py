@@ -8,7 +8,7 @@ from ..functions import fixed
 from ..operators import fields, ladder, sheets
 from ..sources.views import PRODUCTS_SQL, products, table
 from . import sql
-from .catalog import query
+from .catalog import _texts, query
 
 c = F.col
 
@@ -74,7 +74,7 @@ _WORD = r"(^|[^\p{L}\p{N}_])(?:og|for|som|med|til|av|er|i|and|for|with|the|is)($
 
 
 def _sheets(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.expr(_HEAD), F.coalesce("text", F.lit(""))).alias("text"))
+    return _texts(spark, sf).select("doc_id", F.concat(F.expr(_HEAD), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _re2(pattern: str) -> str:

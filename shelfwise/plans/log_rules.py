@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import names, overrides, similar
 from ..sources.views import table
 from . import sql
-from .catalog import query
+from .catalog import _texts, query
 
 c = F.col
 
@@ -59,7 +59,7 @@ def q_overrides_settled(spark, sf):
     s AS (SELECT doc_id, item_id, len(list_intersect(a, b)) AS n, len(a) + len(b) AS total FROM d, b WHERE len(a) > 0 AND len(b) > 0) SELECT doc_id, item_id, n::DOUBLE / (total - n) AS similarity FROM s WHERE n::DOUBLE / (total - n) >= 0.2""")
 def q_similar_texts(spark, sf):
     """Documents and benchmark items of which a fifth of all words or more are shared."""
-    return similar.similar_texts(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 0.2, "doc_id", "item_id")
+    return similar.similar_texts(_texts(spark, sf), table(spark, sf, "benchmark"), 0.2, "doc_id", "item_id")
 
 
 @query("""WITH b AS (SELECT DISTINCT lower(string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3]) AS name FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents)
@@ -67,5 +67,5 @@ def q_similar_texts(spark, sf):
 def q_names_in_texts(spark, sf):
     """The first three words of each benchmark item as names: how often, and from where on, each document has them."""
     known = table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
-    found = names.find(table(spark, sf, "documents"), known, "doc_id", "text", "name")
+    found = names.find(_texts(spark, sf), known, "doc_id", "text", "name")
     return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))

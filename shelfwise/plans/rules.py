@@ -10,7 +10,7 @@ from ..functions import text as t
 from ..operators import cleaning, enrichment, families, fields, images, state
 from ..sources.views import products, table
 from . import sql
-from .catalog import V, _records, query
+from .catalog import V, _records, _texts, query
 
 c = F.col
 
@@ -185,7 +185,7 @@ _TECH = r"\b(?:mm|cm|ml|g|kg|stk|steril|nitril|vinyl|latex|engangs|flergangs|pud
         + CASE WHEN tech >= 3 THEN 25 WHEN tech >= 1 THEN 15 ELSE 0 END + CASE WHEN reason IS NULL THEN 25 ELSE 0 END END AS quality FROM n""")
 def q_description_quality(spark, sf):
     """How well a text serves as a description, in hundredths."""
-    judged = cleaning.gated(table(spark, sf, "documents"), "doc_id", "text")
+    judged = cleaning.gated(_texts(spark, sf), "doc_id", "text")
     measured = cleaning.once(judged, {"sentences": t.sentences(c("text")), "technical": enrichment.technical_words(c("text"))})
     return measured.select("doc_id", enrichment.points(c("text"), c("sentences"), c("technical"), c("reason")).alias("quality"))
 

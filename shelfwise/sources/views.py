@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as run at once, if it is read in fewer parts: a small file, or one whose rows lie in a single group.
+
+    For work that is done row by row and takes far longer than reading. What has parts enough stays where it lies.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 #: A website row and an ERP row of each part, side by side. Values and gaps follow from the key, so that the rules' branches
 #: occur; the expressions mean the same to Spark and to the SQL that results are held against. Details are "key=value|...",
 #: breadcrumbs "a > b > c".
@@ -59,7 +68,7 @@ COLUMNS = {
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """details as a map, breadcrumbs as an array, next to the plain columns."""
-    rows = table(spark, sf_dir, "part").select(*[F.expr(v).alias(k) for k, v in COLUMNS.items()])
+    rows = spread(table(spark, sf_dir, "part")).select(*[F.expr(v).alias(k) for k, v in COLUMNS.items()])
     return rows.withColumns({"details": F.str_to_map("details", F.lit(r"\|"), F.lit("=")), "crumbs": F.split("crumbs", " > ")})
 
 
@@ -90,7 +99,7 @@ PAGE_PARTS = {
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and html: each page with a shop's markup at the start of its body."""
     added = F.concat(*[F.expr(x) for x in PAGE_PARTS.values()])
-    return table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), added)).alias("html"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), added)).alias("html"))
 
 
 PRODUCT_PAGES_SQL = f"SELECT page_id, replace(html, '<body>', '<body>' || {' || '.join(PAGE_PARTS.values())}) AS html FROM pages"
