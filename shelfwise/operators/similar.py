@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.shared import written
 
 c = F.col
 
@@ -64,7 +65,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(l_set, r_set, similarity) of two collections of distinct sets (set, words)."""
     both = left.select(F.lit("l").alias("side"), "set", "words").unionByName(right.select(F.lit("r").alias("side"), "set", "words"))
-    prefix = prefixes(both, threshold)
+    prefix = written(prefixes(both, threshold), "prefixes")  # read by both sides, and for how many rows a key has
     proposed = candidates(prefix.filter("side = 'l'"), prefix.filter("side = 'r'"), threshold)
     whole = proposed.join(left.select(c("set").alias("l_set"), c("words").alias("l_words")), "l_set").join(right.select(c("set").alias("r_set"), c("words").alias("r_words")), "r_set")
     shared = F.size(F.array_intersect("l_words", "r_words"))
@@ -76,7 +77,8 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float, left_id:
     """(left_id, right_id, similarity) of all pairs of rows at the threshold or above."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and at most at 1")
-    l_rows, r_rows = sets_of(left, left_id, text_col), sets_of(right, right_id, text_col)
+    # texts are cut into words once; sets are read for prefixes, for the exact similarity and for their members
+    l_rows, r_rows = written(sets_of(left, left_id, text_col), "sets"), written(sets_of(right, right_id, text_col), "sets")
     one = lambda rows: rows.groupBy("set").agg(F.any_value("words").alias("words"))
     found = similar_sets(one(l_rows), one(r_rows), threshold)
     ids = found.join(l_rows.select(c("set").alias("l_set"), c("id").alias(left_id)), "l_set").join(r_rows.select(c("set").alias("r_set"), c("id").alias(right_id)), "r_set")
