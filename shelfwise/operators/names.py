@@ -4,8 +4,9 @@ Up to a size that is counted, not guessed, the names go to the tasks as one auto
 number. Beyond it they are joined: each name is asked for by its rarest n-gram only, so a text meets the few names that share
 one with it, and the name's place is then verified. Both ways give the same rows.
 
-Names and texts are compared in small letters. Of matches that overlap the leftmost stays, of those that begin together the
-longest. A null or empty name or text has no matches; a name that comes twice is one.
+Names and texts are compared in small letters. Where a text is parted into names (`find`), of matches that overlap the leftmost
+stays, of those that begin together the longest; where names are counted (`counts`), each is counted for itself. A null or empty
+name or text has no matches; a name that comes twice is one.
 """
 
 from __future__ import annotations
@@ -86,13 +87,30 @@ def _all(texts: DataFrame, known: DataFrame, id_type: str, small: bool, most_nam
     return _scanned(texts, [r[0] for r in short.collect()], id_type).unionByName(_joined(texts, known.filter(F.char_length("name") >= GRAM)))
 
 
-def find(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, most_names: int = MOST_NAMES, most_chars: int = MOST_CHARS) -> DataFrame:
-    """(id, name, at): the names in each text, leftmost and longest first; ids are unique, at counts characters before the name."""
+def _matches(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, most_names: int, most_chars: int) -> tuple[DataFrame, str]:
+    """(id, at, end, name) of all matches, those that overlap too, and the type of id."""
     plain = texts.select(c(id_col).alias("id"), F.lower(text_col).alias("text")).filter("text <> ''")
     known = names.select(F.lower(name_col).alias("name")).filter("name <> ''").distinct()
     n, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.char_length("name")), F.lit(0))).first()
     id_type = plain.schema["id"].dataType.simpleString()
-    every = _all(plain, known, id_type, n <= most_names and chars <= most_chars, most_names)
+    return _all(plain, known, id_type, n <= most_names and chars <= most_chars, most_names), id_type
+
+
+def counts(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, most_names: int = MOST_NAMES, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(id, name, n, first_at): each name for itself, whatever other names overlap it: how often it occurs from left to right, and where first.
+
+    Of one name's occurrences that overlap the leftmost counts. Ids are unique.
+    """
+    every, _ = _matches(texts, names, id_col, text_col, name_col, most_names, most_chars)
+    places = every.groupBy(c("id").alias(id_col), "name").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    start = F.struct(F.lit(0).alias("free"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, at: F.when(at >= a["free"], F.struct((at + F.char_length("name")).alias("free"), (a["n"] + 1).alias("n"))).otherwise(a)
+    return places.select(id_col, "name", F.aggregate("places", start, step)["n"].alias("n"), F.get("places", 0).alias("first_at"))
+
+
+def find(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, most_names: int = MOST_NAMES, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(id, name, at): the names in each text, leftmost and longest first; ids are unique, at counts characters before the name."""
+    every, id_type = _matches(texts, names, id_col, text_col, name_col, most_names, most_chars)
 
     def chosen(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         kept = leftmost_longest(list(zip(frame["at"], frame["end"], frame["name"])))

@@ -66,6 +66,6 @@ def q_similar_texts(spark, sf):
     SELECT doc_id, name, ((length(t) - length(replace(t, name, ''))) / length(name))::BIGINT AS n, (strpos(t, name) - 1)::INTEGER AS first_at FROM d, b WHERE contains(t, name)""")
 def q_names_in_texts(spark, sf):
     """The first three words of each benchmark item as names: how often, and from where on, each document has them."""
-    known = table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
-    found = names.find(_texts(spark, sf), known, "doc_id", "text", "name")
-    return found.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+    words = F.split("text", " ")
+    known = table(spark, sf, "benchmark").filter(F.size(words) >= 3).select(F.array_join(F.slice(words, 1, 3), " ").alias("name"))
+    return names.counts(_texts(spark, sf), known, "doc_id", "text", "name")

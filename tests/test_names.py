@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 
 from shelfwise.operators import names
+from shelfwise.plans import catalog
 
 
 def plain(rows, known):
@@ -32,6 +34,25 @@ def test_names_equal_a_plain_search(spark, most):
     assert sorted(map(tuple, done.collect())) == plain(rows, known) and done.count() > 50
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_counts_of_names_that_overlap(spark, most):
+    texts = spark.createDataFrame([(1, "Alpha beta Gamma delta alpha beta gamma"), (2, "abcabcabcabcabc"), (3, None), (4, "nothing")], "doc long, body string")
+    known = ["alpha beta gamma", "beta gamma delta", "gamma delta", "abcabc"]
+    done = names.counts(texts, spark.createDataFrame([(x,) for x in known], "name string"), "doc", "body", "name", most_names=most)
+    want = [(i, n, x.lower().count(n), x.lower().find(n)) for i, x in ((1, "Alpha beta Gamma delta alpha beta gamma"), (2, "abcabcabcabcabc")) for n in known if n in x.lower()]
+    assert sorted(map(tuple, done.collect())) == sorted(want) and (2, "abcabc", 2, 0) in want
+
+
+def test_names_in_texts_need_three_words(spark, tmp_path):
+    spark.createDataFrame([(1, "one two only"), (2, "two only three x"), (3, "only three"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "One two only three"), (8, "only three")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r[k] for k in ("doc_id", "name", "n", "first_at")) for r in catalog.queries()["q_names_in_texts"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(f"select doc_id, name, n, first_at from ({catalog.oracle_sql()['q_names_in_texts']})").fetchall()) and len(got) == 2
+
+
 def test_makers(spark):
     known = spark.createDataFrame([("mölnlycke", 1), ("b braun", 2), ("bbraun", 3), ("medline", 4), ("med", 5)], "maker string, place int")
     rows = spark.createDataFrame([(1, "Mölnlycke Health Care AB"), (2, "braun"), (3, "MEDLINE "), (4, "med"), (5, "Medtronic"), (6, "other"), (7, None), (8, " "), (9, "Mölnlycke Health Care AB")], "id int, name string")
