@@ -24,8 +24,8 @@ def judged_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def gated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, reason): each text without white space at its ends, and why it can't stand as a description, null if it can."""
-    plain = once(docs.select(id_col, text_col), {"_text": t.strip(F.coalesce(text_col, F.lit("")))}).select(id_col, c("_text").alias("text"))
+    """(id, text, reason): each text without ASCII white space at its ends, and why it can't stand as a description, null if it can."""
+    plain = once(docs.select(id_col, text_col), {"_text": t.ascii_strip(F.coalesce(text_col, F.lit("")))}).select(id_col, c("_text").alias("text"))
     return once(plain, {"reason": t.description_gate(c("text"), stripped=True)})
 
 

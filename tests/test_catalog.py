@@ -212,3 +212,24 @@ def test_image_means_are_summed_in_the_order_of_the_table(spark, tmp_path):
     want = con.execute(f"select l_partkey, n, best, mean, main, status from ({catalog.oracle_sql()['q_image_summary']})").fetchall()
     got = catalog.queries()["q_image_summary"](spark, str(tmp_path)).select("l_partkey", "n", "best", "mean", "main", "status").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 5
+
+
+def test_gate_and_quality_equal_their_sql_on_odd_texts(spark, tmp_path):
+    r = random.Random(5)
+    parts = [
+        "12345", "é12345", "12345é", "1 / 2", "ø1/2", "1\x0b/ 2", "side 7", "SİDE 7", "sıde 7", "ſide 7", "side\xa07", "2020-01-02", "å2020-01-02ø", "ſtørrelseskode", "STØRRELSESKODE", "bestillingsnummer", "beſtıllingsnummer",
+        "dispenser \xa0/ kartong", "salgsenhet", "øsalgsenhet", "SALGSENHET́", "transportKartong", "søer", "våg", "hus og", "båt i", "café", "steril", "5 mm", "µg", "gå", "STØRRELSE", "a long run of plain words that goes on and on for all of its line",
+        "\n", "\n", "\r\n", "\x0b", "\x85", " ", "\xa0", "　", "\t", "\x0c", "• ", "- ", ". ", "! ", "?", " ", "\xa0\xa0\xa0\xa0\xa0\xa0\xa0\xa0a.", " eleven char",
+    ]
+    sep = lambda: r.choice([" ", " ", "", ". "])
+    good = "This is a well made product. It is used every day in many clinics"
+    texts = ["".join(r.choice(parts) + sep() for _ in range(r.randrange(1, 14))) for _ in range(1500)]
+    texts += [f"{good}{sep()}{r.choice(parts)}{sep()}{r.choice(parts)}" for _ in range(1500)] + [None, "", " \xa0 ", "\x0b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name, column in (("q_description_gate", "reason"), ("q_description_quality", "quality")):
+        got = {x["doc_id"]: x[column] for x in catalog.queries()[name](spark, str(tmp_path)).collect()}
+        want = dict(con.execute(f"select doc_id, {column} from ({catalog.oracle_sql()[name]})").fetchall())
+        assert [(k, texts[k], got[k], want[k]) for k in want if got[k] != want[k]] == [] and len(got) == len(texts)
+    assert len(set(con.execute(f"select reason from ({catalog.oracle_sql()['q_description_gate']})").fetchall())) > 10
