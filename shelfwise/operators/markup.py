@@ -3,20 +3,26 @@
 A page is cut into tags and texts, each a row with its position. A running sum of +1 for an opening and -1 for a closing tag
 gives the depth; the same sum over the tags of one name pairs each opening tag with the closing one at its level. An element
 is then an interval of positions, what lies in it is an interval join within the page, and its text is a slice of the page's
-text between two running lengths. All of it is dealt by page once.
+text between two running lengths. `stream` and what follows it deal the rows by page; `in_rows` has the same within the page's own row, so
+nothing is dealt at all, and only the running sums leave the expressions.
 
 An element that nothing closes ends with its page. Comments, scripts and styles are single tokens and have no text.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import text as t
+from .cleaning import once
 
 c = F.col
+#: The end of an element that nothing closes.
+OPEN = 2**31 - 1
 
 _TOKEN = r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>|[^<]+|<"
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -96,3 +102,54 @@ def contained(outer: DataFrame, inner: DataFrame, keep: Column) -> DataFrame:
     item = F.struct("i.pos", "i.end", "i.name", "i.depth", "i.tag", "i.text")
     names = [f"o.{x}" for x in outer.columns]
     return o.join(i, within, "left").groupBy(*names).agg(F.array_sort(F.collect_list(F.when(c("i.pos").isNotNull(), item))).alias("inner"))
+
+
+@F.pandas_udf(StructType([StructField(x, ArrayType(IntegerType())) for x in ("depth", "end", "at", "raw_at")]))
+def _running(names: pd.Series, steps: pd.Series, sizes: pd.Series, raw_sizes: pd.Series) -> pd.DataFrame:
+    """Running sums over a page's tokens, and where each opening tag's element ends: at the closing tag of its name and level."""
+    rows = []
+    for name, step, size, raw in zip(names, steps, sizes, raw_sizes):
+        end, level, opened = list(range(len(step))), {}, {}
+        for k, (n, s) in enumerate(zip(name, step)):
+            if s > 0:
+                level[n] = level.get(n, 0) + 1
+                opened[n, level[n]], end[k] = k, OPEN
+            elif s < 0:
+                k_open = opened.pop((n, level.get(n, 0)), None)
+                level[n] = level.get(n, 0) - 1
+                if k_open is not None:
+                    end[k_open] = k
+        rows.append((step.cumsum(), end, size.cumsum(), raw.cumsum()))
+    return pd.DataFrame(rows, columns=["depth", "end", "at", "raw_at"])
+
+
+def in_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page, text, raw, items): per page its texts, run together stripped and as they are (null for none), and its elements and texts in order.
+
+    An item is (pos, end, name, depth, tag, cls, text_from, text_to, raw_from, raw_to, own): name is empty for a text, which own holds.
+    """
+    cut = once(pages.select(c(id_col).alias("page"), html_col), {"_cut": F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(_TOKEN), F.lit(0))}).drop(html_col)
+    is_text = lambda x: ~x.startswith("<") | (x == "<")
+    split = lambda x: F.struct(
+        F.when(~is_text(x), x).alias("tag"), F.when(is_text(x), "").otherwise(F.lower(F.regexp_extract(x, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))).alias("name"), F.when(is_text(x), decoded(x)).alias("text")
+    )
+    single = lambda x: x["name"].isin("", "script", "style", *_VOID) | F.coalesce(x["tag"].endswith("/>"), F.lit(False))
+    step = lambda x: F.when(single(x), 0).when(x["tag"].startswith("</"), -1).otherwise(1)
+    split_rows = once(cut, {"_split": F.transform("_cut", split)}).drop("_cut")
+    token = lambda x: F.struct(x["tag"], x["name"], step(x).alias("step"), F.when(x["name"] == "br", "\n").otherwise(x["text"]).alias("raw"))
+    stepped = once(split_rows, {"_raws": F.transform("_split", token)}).drop("_split")
+    tokens = once(stepped, {"_t": F.transform("_raws", lambda x: F.struct(x["tag"], x["name"], x["step"], x["raw"], t.strip(x["raw"]).alias("text")))}).drop("_raws")
+    size = lambda field: F.transform("_t", lambda x: F.coalesce(F.length(x[field]), F.lit(0)))
+    run = tokens.withColumn("_r", _running(F.transform("_t", lambda x: x["name"]), F.transform("_t", lambda x: x["step"]), size("text"), size("raw")))
+    at = lambda field, k: F.get(c("_r")[field], k)
+    until = lambda field, k: F.when(at("end", k) == OPEN, F.lit(OPEN)).otherwise(at(field, at("end", k)))
+    item = lambda x, k: F.when(
+        ((x["name"] != "") & (x["step"] >= 0)) | ((x["name"] == "") & x["raw"].isNotNull()),
+        F.struct(
+            k.alias("pos"), at("end", k).alias("end"), x["name"].alias("name"), (at("depth", k) + F.when(x["step"] == 0, 1).otherwise(0)).alias("depth"), x["tag"].alias("tag"), attribute(x["tag"], "class").alias("cls"),
+            at("at", k).alias("text_from"), until("at", k).alias("text_to"), at("raw_at", k).alias("raw_from"), until("raw_at", k).alias("raw_to"), F.when(x["name"] == "", x["text"]).alias("own"),
+        ),
+    )
+    texts = F.filter("_t", lambda x: x["raw"].isNotNull())
+    joined = lambda field: F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda x: x[field]), ""))
+    return once(run, {"text": joined("text"), "raw": joined("raw"), "items": F.filter(F.transform("_t", item), lambda x: x.isNotNull())}).select("page", "text", "raw", "items")

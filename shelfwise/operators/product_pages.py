@@ -1,8 +1,8 @@
 """Product pages to typed rows: specifications, breadcrumbs, texts and packaging of each page.
 
 The page is a stream of tags (`markup`); what is asked of it are intervals in intervals: cells of table rows, terms and
-definitions of lists, items of a breadcrumb, children of an accordion. They are joined once; what follows works within the
-row of a page.
+definitions of lists, items of a breadcrumb, children of an accordion. All of it stays within the row of the page: a page's
+elements are never dealt, only the product's fields are, to meet those of its JSON-LD.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as t
 from . import linked_data, markup
+from .cleaning import once
 
 c = F.col
 
@@ -27,18 +27,17 @@ def _like(x: Column, pattern: str) -> Column:
     return F.coalesce(F.lower(x).rlike(pattern), F.lit(False))
 
 
-def regions(found: DataFrame) -> DataFrame:
-    """Elements that something is read from, each with its kinds; those of no kind are left out."""
-    name, cls, own = c("name"), c("cls"), c("own_id")
-    kinds = {
-        "row": name == "tr", "terms": name == "dl", "pairs": name.isin("div", "section", "ul") & _like(cls, fixed.PAGE_PAIRS), "heading": name == "h1", "meta": (name == "meta") & (markup.attribute(c("tag"), "name") == "description"),
-        "crumbs_class": _like(cls, "breadcrumb"), "crumbs_nav": (name == "nav") & _like(markup.attribute(c("tag"), "aria-label"), "breadcrumb|brødsmule|sti"), "crumbs_list": name.isin(*_LISTS) & _like(cls, "breadcrumb|crumb"),
+def kinds(x: Column) -> Column:
+    """The kinds of an element that something is read from; none for any other."""
+    name, cls, own = x["name"], x["cls"], markup.attribute(x["tag"], "id")
+    of = {
+        "row": name == "tr", "terms": name == "dl", "pairs": name.isin("div", "section", "ul") & _like(cls, fixed.PAGE_PAIRS), "heading": name == "h1", "meta": (name == "meta") & (markup.attribute(x["tag"], "name") == "description"),
+        "crumbs_class": _like(cls, "breadcrumb"), "crumbs_nav": (name == "nav") & _like(markup.attribute(x["tag"], "aria-label"), "breadcrumb|brødsmule|sti"), "crumbs_list": name.isin(*_LISTS) & _like(cls, "breadcrumb|crumb"),
         "described": F.coalesce(own.isin(*fixed.PAGE_DESCRIPTIONS), F.lit(False)), "described_class": _like(cls, "accordion.*desc|desc.*accordion"), "described_div": (name == "div") & _like(cls, "description|product-desc"),
         "specified": F.coalesce(own.isin(*fixed.PAGE_SPECIFICATIONS), F.lit(False)), "specified_class": _like(cls, "accordion.*spec|spec.*accordion"), "specified_block": name.isin("div", "section") & _like(cls, "spec|technical|egenskap"),
         "main": name == "main", "article": name == "article", "content": _like(own, "product|content"), "maker": _like(cls, "brand|manufacturer|producer|supplier"),
     }
-    named = F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in kinds.items()]), lambda x: x.isNotNull())
-    return found.withColumns({"cls": markup.attribute(c("tag"), "class"), "own_id": markup.attribute(c("tag"), "id")}).withColumn("kinds", named).filter(F.size("kinds") > 0)
+    return F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in of.items()]), lambda k: k.isNotNull())
 
 
 def structured(e: Column) -> Column:
@@ -54,20 +53,27 @@ def structured(e: Column) -> Column:
     return F.when(e.isNotNull(), joined)
 
 
+_CHILDREN = ("described", "described_class", "described_div", "specified", "specified_class", "specified_block")
+_ASKED = ("td", "th", "dt", "dd", "li", "a", "span", "p", "table", "dl")
+
+
 def pages_of(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page, text, raw, regions): per page its texts and its regions in order, each with what lies in it."""
-    tokens = markup.stream(pages, id_col, html_col)
-    found = markup.with_text(markup.elements(tokens), tokens)
-    depth = F.sum("step").over(W.partitionBy("page").orderBy("pos"))
-    texts = tokens.withColumn("depth", depth + 1).filter("name = '' and text is not null").select("page", "pos", c("pos").alias("end"), "name", "depth", F.lit(None).cast("string").alias("tag"), t.strip(c("text")).alias("text"))
-    inner = found.select("page", "pos", "end", "name", "depth", "tag", "text").unionByName(texts)
+    rows = markup.in_rows(pages, id_col, html_col)
+    cut = lambda text, a, b: F.coalesce(markup.text_between(c(text), a, b), F.lit(""))
+    own_text = lambda x: F.coalesce(x["own"], cut("text", x["text_from"], x["text_to"]))
+    named = F.transform(F.filter("items", lambda x: x["name"] != ""), lambda x: F.struct(x.alias("x"), kinds(x).alias("kinds")))
+    rows = once(rows, {"_named": named})
+    rows = once(rows, {"_regions": F.filter("_named", lambda o: F.size(o["kinds"]) > 0)}).drop("_named")
     # texts and inline elements of their own are only asked for where a region is read by its children
-    by_child = F.arrays_overlap("o.kinds", F.array(*map(F.lit, ("described", "described_class", "described_div", "specified", "specified_class", "specified_block"))))
-    asked = c("i.name").isin("td", "th", "dt", "dd", "li", "a", "span", "p", "table", "dl") | markup.attribute(c("i.tag"), "class").isNotNull() | (by_child & (c("i.depth") == c("o.depth") + 1))
-    held = markup.contained(regions(found), inner, asked)
-    region = F.struct("pos", "end", "name", "depth", "tag", "cls", "own_id", "kinds", "text", "raw", "inner")
-    by_page = held.groupBy("page").agg(F.array_sort(F.collect_list(region)).alias("regions"))
-    return pages.select(c(id_col).alias("page")).join(markup.page_texts(tokens), "page", "left").join(by_page, "page", "left")
+    asked = lambda o, i: i["name"].isin(*_ASKED) | i["cls"].isNotNull() | (F.arrays_overlap(o["kinds"], F.array(*map(F.lit, _CHILDREN))) & (i["depth"] == o["x"]["depth"] + 1))
+    within = lambda o: F.filter("items", lambda i: (i["pos"] > o["x"]["pos"]) & (i["pos"] < o["x"]["end"]) & asked(o, i))
+    item = lambda i: F.struct(i["pos"].alias("pos"), i["end"].alias("end"), i["name"].alias("name"), i["depth"].alias("depth"), i["tag"].alias("tag"), own_text(i).alias("text"))
+    region = lambda o: F.struct(
+        *[o["x"][k].alias(k) for k in ("pos", "end", "name", "depth", "tag", "cls")], markup.attribute(o["x"]["tag"], "id").alias("own_id"), o["kinds"].alias("kinds"), own_text(o["x"]).alias("text"),
+        cut("raw", o["x"]["raw_from"], o["x"]["raw_to"]).alias("raw"), F.transform(within(o), item).alias("inner"),
+    )
+    return once(rows, {"regions": F.transform("_regions", region)}).select("page", "text", "raw", "regions")
 
 
 def of_kind(kind: str) -> Column:
@@ -190,28 +196,32 @@ def tidy(x: Column) -> Column:
 def parsed(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", image_base: str = "https://images.example") -> DataFrame:
     """Per page its product: name, description, image_url, crumbs, category, manufacturer, product_url, specs, specification, packaging_info, packaging_unit, transport_packaging, mfr_number."""
     linked = linked_data.products(pages, id_col, html_col).withColumnsRenamed({k: f"ld_{k}" for k in ("name", "description", "sku", "image", "url", "price", "brand", "crumbs")})
-    rows = pages_of(pages, id_col, html_col).join(linked, "page", "left").withColumns({"raw": F.coalesce("raw", F.lit("")), "specs": last_values(specifications())})
+    raw = pages_of(pages, id_col, html_col).withColumn("raw", F.coalesce("raw", F.lit("")))
+    # what the page itself says, before its row is dealt
+    own = once(raw, {
+        "specs": last_values(specifications()), "_section": described(), "_fallback": fallback_description(), "_trail": html_crumbs(), "_heading": first(of_kind("heading"))["text"], "_maker": first(of_kind("maker"))["text"],
+        "_specified": fallback_specification(), "mfr_number": F.trim(matched(c("raw"), fixed.PAGE_MAKER_NUMBER, 1)), "_packed": matched(c("raw"), fixed.PAGE_PACKAGING, 0), "_count": matched(c("raw"), fixed.PAGE_PACKAGING, 1),
+        "_shipped": F.nullif(F.regexp_extract("raw", "(?i)" + fixed.PAGE_SHIPPING, 1), F.lit("")),
+    }).drop("text", "raw", "regions")
+    rows = own.join(linked, "page", "left")
     filled = lambda x: F.nullif(x, F.lit(""))
-    section = described()
+    section, maker = c("_section"), c("_maker")
     rich = F.when(F.length(section) > F.length("ld_description") * 1.3, section).when(F.length("ld_description") > 0, c("ld_description")).otherwise(section)
-    trail = F.when(F.size("ld_crumbs") > 0, c("ld_crumbs")).otherwise(html_crumbs())
+    trail = F.when(F.size("ld_crumbs") > 0, c("ld_crumbs")).otherwise(c("_trail"))
     trail = F.filter(F.transform(trail, t.strip), lambda x: ~x.isin("", ">", "/", "»", "›"))
-    maker = first(of_kind("maker"))["text"]
     by_key = first(F.filter("specs", lambda x: F.lower(x["key"]).rlike("produsent|manufacturer|leverandør|supplier|brand|merke")))["value"]
     rows = rows.withColumns({
-        "name": F.coalesce(filled(c("ld_name")), first(of_kind("heading"))["text"]), "description": F.coalesce(filled(rich), fallback_description()), "image_url": F.coalesce(filled(c("ld_image")), F.concat(F.lit(image_base + "/"), c("page"), F.lit(".jpg"))),
+        "name": F.coalesce(filled(c("ld_name")), c("_heading")), "description": F.coalesce(filled(rich), c("_fallback")), "image_url": F.coalesce(filled(c("ld_image")), F.concat(F.lit(image_base + "/"), c("page"), F.lit(".jpg"))),
         "crumbs": F.when(F.size(trail) > 0, trail), "manufacturer": F.coalesce(filled(c("ld_brand")), F.when((F.length(maker) > 0) & (F.length(maker) < 100), maker), by_key), "routes": routed(c("specs")),
-        "specification": F.when(F.size("specs") > 0, F.array_join(F.transform("specs", lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n")).otherwise(fallback_specification()),
-        "mfr_number": F.trim(matched(c("raw"), fixed.PAGE_MAKER_NUMBER, 1)),
+        "specification": F.when(F.size("specs") > 0, F.array_join(F.transform("specs", lambda x: F.concat(x["key"], F.lit(": "), x["value"])), "\n")).otherwise(c("_specified")),
     })
     last = lambda route: F.get(F.reverse(F.filter("routes", lambda x: x["route"] == route)), 0)["value"]
     label = lambda x: F.when(x["route"] == "unit", "Antall i pakning: ").when(x["route"] == "transport", "Antall i transportpakke: ").otherwise("Antall på pall: ")
     said = F.array_join(F.transform("routes", lambda x: F.concat(label(x), x["value"])), "; ")
-    none, count = F.size("routes") == 0, matched(c("raw"), fixed.PAGE_PACKAGING, 1)
-    shipped = F.nullif(F.regexp_extract("raw", "(?i)" + fixed.PAGE_SHIPPING, 1), F.lit(""))
+    none = F.size("routes") == 0
     rows = rows.withColumns({
-        "packaging_info": F.when(none, matched(c("raw"), fixed.PAGE_PACKAGING, 0)).otherwise(said), "packaging_unit": F.when(none, F.concat(count, F.lit(" stk"))).otherwise(last("unit")),
-        "transport_packaging": F.when(none, F.concat(shipped, F.lit(" stk"))).otherwise(last("transport")), "category": F.get(F.reverse("crumbs"), 0),
+        "packaging_info": F.when(none, c("_packed")).otherwise(said), "packaging_unit": F.when(none, F.concat(c("_count"), F.lit(" stk"))).otherwise(last("unit")),
+        "transport_packaging": F.when(none, F.concat(c("_shipped"), F.lit(" stk"))).otherwise(last("transport")), "category": F.get(F.reverse("crumbs"), 0),
     })
     cleaned = {k: tidy(c(k)) for k in ("name", "description", "specification", "manufacturer", "mfr_number", "category", "packaging_info")}
     return rows.withColumns(cleaned).select(

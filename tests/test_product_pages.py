@@ -132,3 +132,15 @@ def test_elements_equal_a_plain_parser(spark):
         plain.feed(html)
         mine = sorted((x.pos, x.name, x.text) for x in found if x.page == k)
         assert [x[1:] for x in mine] == [x[1:] for x in sorted(plain.done)]
+
+
+def test_pages_stay_in_their_rows(spark):
+    html = '<html><body><div class="spec-list"><div/>Mål<ul><li>a: 1</li><li>b: 2</li></ul></div><table><tr><td>k</td><td>v<br>w</td></tr><tr><td>open'
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "</p></p><p>x</p>")], "page_id long, html string")
+    done = product_pages.pages_of(pages)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    got = {r.page: r for r in done.collect()}
+    assert (got[1].text, got[1].raw, got[2].text, got[3].text) == ("Måla: 1b: 2kvwopen", "Måla: 1b: 2kv\nwopen", None, "x") and not got[2].regions
+    assert [(r.name, r.text, [i.name for i in r.inner]) for r in got[1].regions] == [("div", "Måla: 1b: 2", ["div", "", "ul", "li", "li"]), ("tr", "kvw", ["td", "td"]), ("tr", "open", ["td"])]
+    pairs = {r.page: [tuple(x) for x in r.x or []] for r in done.select("page", product_pages.last_values(product_pages.specifications()).alias("x")).collect()}
+    assert pairs == {1: [("k", "vw"), ("a", "1"), ("b", "2")], 2: [], 3: []}
