@@ -44,18 +44,33 @@ def _family(x: Column) -> Column:
     return F.nullif(x, F.lit("standalone"))
 
 
+def _next_merges(rows: DataFrame, merges: DataFrame) -> DataFrame:
+    """rows (session, family, at, ...) with `next`, the (seq, target) of the first merge of their family after at, null for none.
+
+    Rows and merges are put in one order and read from behind, so none of a family's merges are gathered and none sent to the driver.
+    """
+    merge = F.struct("seq", "target")
+    events = merges.select("session", c("source").alias("family"), c("seq").alias("_at"), merge.alias("_merge"))
+    asked = rows.select("session", "family", c("at").alias("_at"), F.struct(*rows.columns).alias("_row"))
+    # a merge at a row's own place isn't after it: at one place rows come first from behind
+    behind = W.partitionBy("session", "family").orderBy(F.desc("_at"), F.col("_merge").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = asked.unionByName(events, allowMissingColumns=True).withColumn("next", F.last("_merge", ignorenulls=True).over(behind))
+    return both.filter("_row is not null").select("_row.*", "next")
+
+
 def merge_ends(stands: DataFrame) -> DataFrame:
     """(session, source, seq, target) of each standing merge, target being where its members are in the end.
 
     A merge is followed by the first later merge of its target. Each round doubles the way that is known.
     """
     edges = stands.filter("action = 'merge'").select("session", "source", "seq", "target")
-    later = edges.select("session", c("source").alias("target"), c("seq").alias("next_seq"))
-    follows = edges.join(later, ["session", "target"]).filter("next_seq > seq").groupBy("session", "seq").agg(F.min("next_seq").alias("next"))
-    held = written(edges.join(follows, ["session", "seq"], "left").select("session", "source", "seq", "target", "next"), "merges")
+    follows = _next_merges(edges.select("*", c("target").alias("family"), c("seq").alias("at")), edges)
+    held = written(follows.select("session", "source", "seq", "target", c("next.seq").alias("next")), "merges")
     while not held.filter("next is not null").isEmpty():
         onward = held.select("session", c("seq").alias("next"), c("target").alias("far"), c("next").alias("further"))
-        held = written(held.join(onward, ["session", "next"], "left").select("session", "source", "seq", F.coalesce("far", "target").alias("target"), c("further").alias("next")), "merges")
+        # both sides grow with the log, so neither is sent through the driver
+        joined = held.join(onward.hint("merge"), ["session", "next"], "left")
+        held = written(joined.select("session", "source", "seq", F.coalesce("far", "target").alias("target"), c("further").alias("next")), "merges")
     return held.drop("next")
 
 
@@ -66,13 +81,12 @@ def settled(members: DataFrame, log: DataFrame) -> DataFrame:
     made = F.when(c("target") == "standalone", F.lit(None).cast("string")).otherwise(split_id(c("source"), c("keys")))
     splits = stands.filter("action = 'split'").select("session", F.explode("keys").alias("key"), "seq", made.alias("to"))
     last = moves.unionByName(splits).groupBy("session", "key").agg(F.max("seq").alias("at"), F.max_by("to", "seq").alias("to"))
-    placed = members.select("session", "key", _family(c("family_id")).alias("family_id")).join(last, ["session", "key"], "left")
-    placed = placed.select("session", "key", F.when(c("at").isNull(), c("family_id")).otherwise(c("to")).alias("family_id"), F.coalesce("at", F.lit(-1)).alias("at"))
-    # of each family's merges the first after the key was placed there; families' merges are few, keys may be many
-    merges = merge_ends(stands).groupBy("session", c("source").alias("family_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "target"))).alias("merges"))
-    joined = placed.join(merges, ["session", "family_id"], "left")
-    end = F.get(F.filter("merges", lambda m: m["seq"] > c("at")), 0)["target"]
-    return joined.select("session", "key", F.coalesce(end, "family_id").alias("family_id"), ((c("at") >= 0) | end.isNotNull()).alias("moved"))
+    placed = members.select("session", "key", _family(c("family_id")).alias("family_id")).join(last.hint("merge"), ["session", "key"], "left")
+    placed = placed.select("session", "key", F.when(c("at").isNull(), c("family_id")).otherwise(c("to")).alias("family"), F.coalesce("at", F.lit(-1)).alias("at"))
+    # of each family's merges the first after the key was placed there; keys without a family meet none
+    joined = _next_merges(placed.filter("family is not null"), merge_ends(stands)).unionByName(placed.filter("family is null"), allowMissingColumns=True)
+    end = c("next.target")
+    return joined.select("session", "key", F.coalesce(end, "family").alias("family_id"), ((c("at") >= 0) | end.isNotNull()).alias("moved"))
 
 
 def made_by_splits(log: DataFrame, suffix: str = " (splittet)") -> DataFrame:

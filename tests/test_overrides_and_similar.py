@@ -97,3 +97,13 @@ def test_similar_texts_equal_all_pairs(spark, threshold, monkeypatch):
 def test_similar_texts_of_no_rows(spark):
     none = spark.createDataFrame([], "i long, text string")
     assert similar.similar_texts(none, none.withColumnRenamed("i", "j"), 0.5, "i", "j").count() == 0
+
+
+def test_merges_are_neither_gathered_nor_broadcast(spark):
+    members = spark.createDataFrame([("s", "1", "A"), ("s", "2", "B"), ("s", "3", None)], "session string, key string, family_id string")
+    merge = lambda seq, a, b: ("s", seq, "merge", None, a, b, None)
+    log = spark.createDataFrame([merge(1, "A", "B"), merge(2, "B", "C"), merge(3, "A", "D"), ("s", 4, "move", "2", "C", "A", None), merge(5, "A", "E"), merge(6, "C", "F")], overrides.LOG)
+    done = overrides.settled(members, log)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "collect_list" not in plan
+    assert sorted(map(tuple, done.collect())) == [("s", "1", "F", True), ("s", "2", "E", True), ("s", "3", None, False)]
