@@ -33,15 +33,16 @@ def sets_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """(side, set, size, word, place): the rarest words of each set, as many as the threshold asks for. sets: (side, set, words)."""
     each = sets.select("side", "set", F.size("words").alias("size"), F.explode("words").alias("word"))
-    counts = each.groupBy("word").agg(F.count("*").alias("n"))
+    counts = each.groupBy("word").agg(F.count("*").alias("n"), (F.min("side") != F.max("side")).alias("both"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     frequent = counts.filter(c("n") * FREQUENT >= total)  # at most FREQUENT rows
     known = each.join(F.broadcast(frequent), "word", "left")
-    rare = known.filter("n is null").drop("n").join(counts.filter(c("n") * FREQUENT < total), "word")
-    ranked = known.filter("n is not null").unionByName(rare).groupBy("side", "set", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("words"))
+    rare = known.filter("n is null").drop("n", "both").join(counts.filter(c("n") * FREQUENT < total), "word")
+    ranked = known.filter("n is not null").unionByName(rare).groupBy("side", "set", "size").agg(F.array_sort(F.collect_list(F.struct("both", "n", "word"))).alias("words"))
     # a hair is taken off before rounding up, so that no product that is a whole number in truth is rounded past it
     first = F.slice("words", F.lit(1), (c("size") - F.ceil(c("size") * threshold - 1e-9) + 1).cast("int"))
-    return ranked.select("side", "set", "size", F.posexplode(F.transform(first, lambda x: x["word"])).alias("place", "word"))
+    # a word of one side only takes its place, before all others, but meets nothing
+    return ranked.select("side", "set", "size", F.posexplode(first).alias("place", "x")).filter("x.both").select("side", "set", "size", "place", "x.word")
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -78,7 +79,12 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float, left_id:
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and at most at 1")
     # texts are cut into words once; sets are read for prefixes, for the exact similarity and for their members
-    l_rows, r_rows = written(sets_of(left, left_id, text_col), "sets"), written(sets_of(right, right_id, text_col), "sets")
+    r_rows = written(sets_of(right, right_id, text_col), "sets")
+    # sizes that no set of the right side agrees with go before anything is stored or dealt
+    least, most = r_rows.agg(F.min(F.size("words")), F.max(F.size("words"))).first()
+    size = F.size("words")
+    near = (size >= least * threshold - 1e-9) & (size * threshold - 1e-9 <= most) if most else F.lit(False)
+    l_rows = written(sets_of(left, left_id, text_col).filter(near), "sets")
     one = lambda rows: rows.groupBy("set").agg(F.any_value("words").alias("words"))
     found = similar_sets(one(l_rows), one(r_rows), threshold)
     ids = found.join(l_rows.select(c("set").alias("l_set"), c("id").alias(left_id)), "l_set").join(r_rows.select(c("set").alias("r_set"), c("id").alias(right_id)), "r_set")

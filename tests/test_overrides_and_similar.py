@@ -107,3 +107,8 @@ def test_merges_are_neither_gathered_nor_broadcast(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "collect_list" not in plan
     assert sorted(map(tuple, done.collect())) == [("s", "1", "F", True), ("s", "2", "E", True), ("s", "3", None, False)]
+
+
+def test_words_of_one_side_only_are_not_joined(spark):
+    sets = spark.createDataFrame([("l", "a", ["x", "y", "z"]), ("r", "b", ["y", "z", "w"])], "side string, set string, words array<string>")
+    assert sorted((r.side, r.word, r.place) for r in similar.prefixes(sets, 0.5).collect()) == [("l", "y", 1), ("r", "y", 1)]
