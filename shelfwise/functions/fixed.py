@@ -179,6 +179,12 @@ SHEET_PATTERNS = {
     "materials": (r"(?:materiale?|material|sammensetning|composition)\s*[:\-]?\s*(.+?)(?:\n|$)",),
     "dimensions": (r"(?:dimensjoner?|dimensions?|st.rrelse|size|m.l)\s*[:\-]?\s*(.+?)(?:\n|$)",),
 }
+#: What a lower-cased text must hold for a pattern to match, so that texts without it are not searched; a dot is any character. Letters that a pattern takes for an ASCII one where case doesn't count, as they stand in lower case.
+SHEET_LABELS = {
+    "product_name": (("produktnavn", "product", "varenavn", "betegnelse"),), "description": (("beskrivelse", "description"), ("beskrivelse", "description")), "manufacturer": (("produsent", "manufacturer", "leverand", "supplier", "fabrikant"),),
+    "manufacturer_article_number": (("produsent", "manufacturer"), ("ref",)), "packaging_info": (("pakning", "emballasje", "pack"), ("antall",)), "materials": (("material", "sammensetning", "composition"),), "dimensions": (("dimensjon", "dimension", "rrelse", "size", "m.l"),),
+}
+SHEET_LETTERS = ("i\u0307", "\u0131", "\u017f")
 SHEET_LONGEST = {"product_name": 200, "description": 2000, "manufacturer": 100, "manufacturer_article_number": 60, "packaging_info": 200, "materials": 300, "dimensions": 200}
 SHEET_BOILERPLATE = (
     r"(?i)(?:oppbevar|lagr)\w*\s+(?:tørt|kjølig|mørkt|romtemperatur)", r"(?i)(?:best\s*før|holdbar|expir|shelf\s*life)", r"(?i)(?:les\s+bruksanvisning|read\s+instructions)", r"(?i)(?:kontakt\s+(?:lege|helsepersonell)|consult\s+(?:doctor|physician))",

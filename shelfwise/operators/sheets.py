@@ -48,34 +48,44 @@ def worth(value: Column, field: str) -> Column:
 _FLAGS = "(?dimsuU)"
 
 
-def _match(field: str, k: int) -> str:
-    return f"_{field}_{k}"
+def _may_match(low: Column, labels: tuple[str, ...]) -> Column:
+    """Whether a lower-cased text holds what a match needs; plain substrings first, as they are found far faster than patterns."""
+    plain = [F.contains(low, F.lit(x)) for x in (*labels, *fixed.SHEET_LETTERS) if "." not in x]
+    return reduce(lambda a, b: a | b, plain + [low.rlike("(?s)" + x) for x in labels if "." in x])
 
 
-def field_value(text: Column, field: str) -> Column:
-    """Struct (value, at, snippet, quality) of the first of a field's matches that gives a fitting value, null if none does; at counts characters before the match.
+def values(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, field, value, at, snippet, quality): of each text and field the first match that gives a fitting value; at counts characters before the match.
 
     A match begins where its text is first found: wherever a label stands before a character, the pattern matches.
+    Each step's columns are made once for each row, as the next step names them many times.
     """
-    found = []
-    for k, pattern in enumerate(fixed.SHEET_PATTERNS[field]):
-        whole = c(_match(field, k))
-        plain = tidy(F.regexp_extract(whole, _FLAGS + pattern, 1))
-        at = F.instr(text, whole) - 1
-        kept = shortened(plain, fixed.SHEET_LONGEST[field])
-        begin, end = F.greatest(F.lit(0), at - AROUND), at + F.char_length(whole) + AROUND
-        snippet = F.regexp_replace(t.strip(F.substr(text, begin + 1, end - begin)), "[ \t]+", " ")
-        quality = worth(kept, field)
-        fits = (F.length(plain) > 1) & (quality >= 0.1)
-        found.append(F.when(whole.isNotNull(), F.when(fits, F.struct(kept.alias("value"), at.alias("at"), snippet.alias("snippet"), quality.alias("quality")))))
-    return F.coalesce(*found)
-
-
-def values(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, field, value, at, snippet, quality): the labelled values of each text."""
-    matches = {_match(f, k): F.regexp_substr(text_col, F.lit(_FLAGS + p)) for f, ps in fixed.SHEET_PATTERNS.items() for k, p in enumerate(ps)}
-    seen = cleaning.once(docs.select(id_col, text_col), matches)
-    each = [F.struct(F.lit(k).alias("field"), field_value(c(text_col), k).alias("x")) for k in fixed.SHEET_PATTERNS]
+    tried = [(f, k, p) for f, ps in fixed.SHEET_PATTERNS.items() for k, p in enumerate(ps)]
+    col = lambda what, f, k: c(f"_{what}_{f}_{k}")
+    step = lambda rows, made: cleaning.once(rows, {f"_{what}_{f}_{k}": x for f, k, p in tried for what, x in made(f, k, p).items()})
+
+    def whole(f, k, p):
+        return {"whole": F.when(_may_match(c("_low"), fixed.SHEET_LABELS[f][k]), F.regexp_extract(text_col, _FLAGS + p, 0))}
+
+    def plain(f, k, p):
+        m = col("whole", f, k)
+        return {"at": F.when(m != "", F.instr(text_col, m) - 1), "plain": F.when(m != "", tidy(F.regexp_extract(m, _FLAGS + p, 1)))}
+
+    def kept(f, k, p):
+        at, end = col("at", f, k), col("at", f, k) + F.char_length(col("whole", f, k)) + AROUND
+        begin = F.greatest(F.lit(0), at - AROUND)
+        fits = F.length(col("plain", f, k)) > 1
+        snippet = F.regexp_replace(t.strip(F.substr(text_col, begin + 1, end - begin)), "[ \t]+", " ")
+        return {"value": F.when(fits, shortened(col("plain", f, k), fixed.SHEET_LONGEST[f])), "snippet": F.when(fits, snippet)}
+
+    def quality(f, k, p):
+        return {"quality": F.when(col("value", f, k).isNotNull(), worth(col("value", f, k), f))}
+
+    seen = cleaning.once(docs.select(id_col, text_col), {"_low": F.lower(text_col)})
+    for made in (whole, plain, kept, quality):
+        seen = step(seen, made)
+    first = lambda f: F.coalesce(*[F.when(col("quality", f, k) >= 0.1, F.struct(*[col(x, f, k).alias(x) for x in ("value", "at", "snippet", "quality")])) for g, k, _ in tried if g == f])
+    each = [F.struct(F.lit(f).alias("field"), first(f).alias("x")) for f in fixed.SHEET_PATTERNS]
     rows = seen.select(id_col, F.explode(F.array(*each)).alias("e")).filter("e.x is not null")
     return rows.select(id_col, "e.field", "e.x.value", "e.x.at", "e.x.snippet", "e.x.quality")
 

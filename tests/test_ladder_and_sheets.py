@@ -120,6 +120,25 @@ def test_values_equal_plain_loops(spark):
         assert (got[k].value, got[k].at, got[k].snippet) == (value, at, snippet) and abs(got[k].quality - worth) < 1e-9
 
 
+def test_every_label_is_found_in_any_case(spark):
+    """Texts are searched only if they hold a part of a label; letters that equal an ASCII one where case doesn't count are no way past it."""
+    labels = ["produktnavn", "product name", "productname", "varenavn", "betegnelse", "beskrivelse", "description", "produktbeskrivelse", "product\xa0description", "produsent", "manufacturer", "leverandør", "leverandor", "supplier", "fabrikant"]
+    labels += ["produsentens varenummer", "produsenten kode", "produsentens artikkel nr", "manufacturer item code", "manufacturer no", "ref. nr", "ref number", "refkode", "pakning", "emballasje", "packaging", "pack size", "pakningsstørrelse", "forpakning"]
+    labels += ["antall i pakning", "antall eske", "antall pr kartong", "antallperpall", "materiale", "material", "sammensetning", "composition", "dimensjone", "dimensjoner", "dimension", "dimensions", "størrelse", "storrelse", "size", "mål", "m\nl", "m\U0001f600l"]
+    others = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+    forms = [form for x in labels for form in (x, x.upper(), x.title(), *[x.upper().replace(a.upper(), b) for a, bs in others.items() for b in bs if a in x])]
+    rows = [(k, f"\u0130 før {form}: 50 stk i hver.\n" if k % 2 else f"før {form}: 50 stk i hver.\n") for k, form in enumerate(forms)]
+    got = {(x.id, x.field): (x.value, x["at"]) for x in sheets.values(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    want = {(k, f): v[:2] for k, text in rows for f in fixed.SHEET_PATTERNS if (v := plain_value(text, f))}
+    assert got == want and {k for k, _ in want} == set(range(len(forms)))
+
+
+def test_each_match_is_sought_once(spark):
+    plan = sheets.values(spark.createDataFrame([(1, "Size: 4")], "id long, text string"), "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    patterns = sum(map(len, fixed.SHEET_PATTERNS.values()))
+    assert 0 < plan.count("regexp_extract") <= 2 * patterns and plan.count("regexp_replace") <= 3 * patterns
+
+
 def test_label_lines(spark):
     text = "Farge: blå\nStørrelse\tM\nfarge: no\nDate: 1\nFarge: rød  \nLengde : 20 cm\nX: y\nSide: 3"
     (row,) = sheets.labelled_lines(spark.createDataFrame([(1, text), (2, None), (3, "none")], "id long, text string"), "id", "text").collect()
